@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip, gaussian_shift_density, norm_pdf, valid_p, z_left, z_right
-from .ordered import GROUP, attach, lookup, quantile_row
+from .ordered import GROUP, attach, quantile_row
 
 
 def storey_pi0(df: DataFrame, p: str = "p", by: Sequence[str] = (), lam: float = 0.5, floor: float = 0.0) -> DataFrame:
@@ -52,10 +52,10 @@ def with_gaussian_shift(
     fit = gaussian_shift(df, p, by, **kw) if fit is None else fit
     z_cap = kw.get("z_cap")
     z = z_right(p) if z_cap is None else clip(z_right(p), -z_cap, z_cap)
-    table = fit.select(*by, F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"), F.col("n").alias("_n"))
-    out = attach(df, table, by, "_n")
+    table = fit.select(*by, F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))
+    out = attach(df, table, by)
     out = out.withColumn("f0", F.lit(1.0)).withColumn("f1", gaussian_shift_density(z, F.col("_mu"), F.col("_sigma"), cap))
-    return out.drop("_mu", "_sigma", "_n")
+    return out.drop("_mu", "_sigma")
 
 
 # Box width (in bandwidths), number of Taylor terms and reach (in bandwidths) of the KDE expansion; with these the
@@ -71,7 +71,7 @@ def kde_1d(df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] =
     which every row then evaluates.  No pair of rows is ever formed.  ``bandwidth``: (group keys, ``h``, ``n``).
     """
     keys = list(by) or [GROUP]
-    rows = attach(df, bandwidth.select(*by, F.col("h").alias("_h"), F.col("n").alias("_n")), by, "_n")
+    rows = attach(df, bandwidth.select(*by, F.col("h").alias("_h"), F.col("n").alias("_n")), by)
     rows = rows if by else rows.withColumn(GROUP, F.lit(0))
     rows = rows.withColumn("_box", F.floor(F.col(value) / (F.col("_h") * BOX)).cast("bigint"))
     rows = rows.withColumn("_t", F.col(value) / F.col("_h") - (F.col("_box") + 0.5) * BOX)
@@ -102,15 +102,13 @@ def kde_1d(df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] =
         for t in terms[1:]:
             total = total + t
         local.append(F.sum(total * F.lit((-1.0) ** j / fact[j])).alias(f"l{j}"))
-    poly = near.groupBy(*keys, "_box").agg(*local, F.sum("m0").alias("_near"))
-    sizes = rows.groupBy(*keys, "_box").agg(F.count(F.lit(1)).alias("_boxn"))
-    poly = poly.join(sizes, [*keys, "_box"])
-    out_rows = lookup(rows, poly, [*keys, "_box"], "_boxn")
+    poly = near.groupBy(*keys, "_box").agg(*local)
+    out_rows = attach(rows, poly, [*keys, "_box"])
     value_col = F.col(f"l{TERMS - 1}")
     for j in range(TERMS - 2, -1, -1):
         value_col = value_col * F.col("_t") + F.col(f"l{j}")
     dens = value_col / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    drop = ["_h", "_n", "_box", "_t", "_near", "_boxn", GROUP, *[f"l{j}" for j in range(TERMS)]]
+    drop = ["_h", "_n", "_box", "_t", GROUP, *[f"l{j}" for j in range(TERMS)]]
     return out_rows.withColumn(out, dens).drop(*drop)
 
 
@@ -143,13 +141,12 @@ def with_empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) ->
     table = params.select(*by, "delta", "sigma", F.col("pi0").alias("_pi0"), F.col("n").alias("_nv"))
     rows = df.where(valid_p(p)).withColumn("_z", z_left(p))
     rows = kde_1d(rows, "_z", params.select(*by, "h", "n"), by, "_kde")
-    rows = attach(rows, table, by, "_nv").withColumn("_null", norm_pdf("_z", F.col("delta"), F.col("sigma")))
+    rows = attach(rows, table, by).withColumn("_null", norm_pdf("_z", F.col("delta"), F.col("sigma")))
     ratio = F.col("_kde") / (F.col("_null") + F.lit(1e-10))
     temp = rows.groupBy(*by).agg(
         clip(F.coalesce(F.min(F.when(F.col("_z") > F.col("delta"), ratio)), F.lit(1.0)), 0.5, 1.0).alias("pi0_temp"),
-        F.count(F.lit(1)).alias("_nt"),
     )
-    rows = attach(rows, temp, by, "_nt")
+    rows = attach(rows, temp, by)
     phi = norm_pdf("_z")
     excess = F.when(F.col("_z") > F.col("delta"), 0.0).otherwise(
         F.greatest(F.lit(0.0), F.col("_kde") - F.col("pi0_temp") * F.col("_null"))
@@ -160,7 +157,7 @@ def with_empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) ->
         "f1", F.when(tiny, (F.lit(1.0) - F.col(p)) * 2).otherwise(excess / phi / (F.lit(1.0) - F.col("pi0_temp") + 1e-6))
     )
     out = out.withColumn("pi0", F.when(tiny, 0.9).otherwise(F.col("_pi0")))
-    return out.drop("_z", "_kde", "_null", "_nv", "_nt", "_pi0", "delta", "sigma")
+    return out.drop("_z", "_kde", "_null", "_nv", "_pi0", "delta", "sigma")
 
 
 def beta_mle(df: DataFrame, p: str = "p", threshold: float = 0.1) -> tuple[float, float]:

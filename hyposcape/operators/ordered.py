@@ -2,15 +2,18 @@
 
 A global ``ORDER BY`` window would send a whole dataset to one task.  Here a value is first mapped to one of
 N ordered buckets (cut points come from a sample, so they steer balance only, never the result).  Per-bucket
-counts and sums form a table of N rows per group; its prefix sums are the offsets of each bucket.  Operators
-that need one rank (thresholds, quantiles, cut-offs) then look only at the bucket that holds it; operators
-that need all ranks sort inside (group, bucket).  Equal values are collapsed to one weighted row first, so a
-value shared by a third of all rows costs one row.
+counts and sums form a small table; its prefix sums are the offsets of each bucket.  Operators that need one
+rank (thresholds, quantiles, cut-offs) then read only the bucket that holds it; operators that need all ranks
+sort inside (group, bucket).  A value that covers more than one cut point is hot: it gets a bucket of its own,
+which is spread further over hash buckets of the row key.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -22,8 +25,8 @@ from ..session import order_buckets
 
 GROUP = "_g"
 BUCKET = "_b"
+SUB = "_sub"
 SAMPLE_BYTES = 256 << 20
-HEAVY_SHARE = 64
 
 
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -32,8 +35,16 @@ def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, by) if by else (df.withColumn(GROUP, F.lit(0)), [GROUP])
 
 
-def cut_points(df: DataFrame, value: str, n_buckets: int | None = None) -> list[float]:
-    """At most n-1 increasing cut points from a bounded sample of the column."""
+@dataclass(frozen=True)
+class Order:
+    """Ordered buckets of a column: cut points and the buckets that hold a single hot value."""
+
+    cuts: tuple[float, ...]
+    hot: tuple[int, ...]
+
+
+def plan_order(df: DataFrame, value: str, n_buckets: int | None = None) -> Order:
+    """Cut points from a bounded sample of the column (at most n-1 of them reach the driver)."""
     n = n_buckets or order_buckets(df.sparkSession)
     column = df.select(F.col(value).cast("double").alias(value))
     size = int(str(column._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -44,18 +55,29 @@ def cut_points(df: DataFrame, value: str, n_buckets: int | None = None) -> list[
         cuts = column.sample(SAMPLE_BYTES / size, seed=7).approxQuantile(value, probs, error)
     if len(set(cuts)) < n // 4:
         cuts = column.approxQuantile(value, probs, error)
-    return sorted({c for c in cuts if c == c})
+    finite = [c for c in cuts if math.isfinite(c)]
+    hot = {c for c, times in Counter(finite).items() if times > 1}
+    points = sorted(set(finite) | {math.nextafter(c, math.inf) for c in hot})
+    return Order(tuple(points), tuple(i + 1 for i, c in enumerate(points) if c in hot))
 
 
-def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+def with_bucket(df: DataFrame, value: str, order: Order) -> DataFrame:
     """Ordered bucket of a double column; the lookup is a JVM binary search."""
-    if not cuts:
+    if not order.cuts:
         return df.withColumn(BUCKET, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *order.cuts, float("inf")]
     out = Bucketizer(splits=splits, inputCol=value, outputCol=BUCKET, handleInvalid="keep").transform(df)
     return out.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
+def with_spread(df: DataFrame, order: Order, key: str) -> DataFrame:
+    """Sub-bucket: rows of a hot value are spread by the hash of their key, others stay in 0."""
+    if not order.hot:
+        return df.withColumn(SUB, F.lit(0))
+    n = order_buckets(df.sparkSession)
+    return df.withColumn(SUB, F.when(F.col(BUCKET).isin(*order.hot), hash_bucket(key, "tie", n)).otherwise(F.lit(0)))
+
+
 def numbers(df: DataFrame, *columns: str) -> DataFrame:
     """Drop NULL and NaN in the given columns."""
     for c in columns:
@@ -63,25 +85,25 @@ def numbers(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def prefix_over(df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]) -> DataFrame:
+def prefix_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Exclusive prefix sums over a small ordered table (buckets of a group)."""
-    w = W.partitionBy(*keys).orderBy(order)
+    w = W.partitionBy(*keys).orderBy(*order)
     for m in measures:
         df = df.withColumn(f"{m}_before", F.sum(m).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(m))
     return df
 
 
 def cumulate(
-    df: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (), cuts: Sequence[float] | None = None
+    df: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (), order: Order | None = None
 ) -> DataFrame:
     """Per distinct value, add ``<m>_before`` = sum of m over smaller values of the group, and ``<m>_all``.
 
     ``df`` must hold one row per (group, value).
     """
     base, keys = keyed(df, by)
-    b = with_bucket(base, value, cut_points(base, value) if cuts is None else cuts)
+    b = with_bucket(base, value, order or plan_order(base, value))
     totals = b.groupBy(*keys, BUCKET).agg(*[F.sum(m).alias(m) for m in measures])
-    totals = prefix_over(totals, keys, BUCKET, measures)
+    totals = prefix_over(totals, keys, [BUCKET], measures)
     whole = W.partitionBy(*keys)
     offsets = totals.select(
         *keys,
@@ -100,47 +122,39 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[s
     """One row per (group, distinct value): ``cnt``, ``cnt_before``, ``cnt_all`` and the same for extra sums."""
     extra = extra or {}
     base = numbers(df, value)
-    cuts = cut_points(base, value)
+    order = plan_order(base, value)
     vc = base.groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(name) for name, c in extra.items()]
     )
-    return cumulate(vc, value, ["cnt", *extra], by, cuts)
+    return cumulate(vc, value, ["cnt", *extra], by, order)
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None, how: str = "inner") -> DataFrame:
-    """Attach a table with one row per key without letting a hot key pile up in one task.
+def attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach a table with one row per group.
 
-    ``weight`` names the table's column with the number of df rows per key.  Keys holding at least 1/64 of
-    all rows number at most 64, so that part is broadcast with a proven size; the rest joins normally.
+    Ungrouped parameters are one row, hence a broadcast of proven size.  With groups both sides carry a salt,
+    so a group that holds a third of all rows is still spread over many tasks (the parameter table is small
+    next to the rows and is repeated once per salt).
     """
-    if not weight:
-        return df.join(table, list(on), how)
-    total = table.agg(F.sum(weight).alias("t")).select("t")
-    heavy = table.where(F.col(weight) * HEAVY_SHARE >= total.scalar())
-    light = table.where(F.col(weight) * HEAVY_SHARE < total.scalar())
-    hot_rows = df.join(F.broadcast(heavy), list(on), "inner")
-    rest = df.join(F.broadcast(heavy.select(*on)), list(on), "left_anti")
-    return hot_rows.unionByName(rest.join(light, list(on), how))
-
-
-def attach(df: DataFrame, params: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Attach per-group parameters; ungrouped parameters are one row, hence a broadcast of proven size."""
-    if by:
-        return lookup(df, params, list(by), weight)
-    left = df.withColumn(GROUP, F.lit(0))
-    right = params if GROUP in params.columns else params.withColumn(GROUP, F.lit(0))
-    return left.join(F.broadcast(right), GROUP).drop(GROUP)
+    if not by:
+        right = params if GROUP in params.columns else params.withColumn(GROUP, F.lit(0))
+        return df.withColumn(GROUP, F.lit(0)).join(F.broadcast(right), GROUP).drop(GROUP)
+    salts = min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    scalar = ["id"] if "id" in df.columns else [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*scalar), F.lit(salts)))
+    right = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, [*by, "_salt"]).drop("_salt")
 
 
 def select_by_rank(
-    df: DataFrame, value: str, ranks: DataFrame, by: Sequence[str] = (), cuts: Sequence[float] | None = None
+    df: DataFrame, value: str, ranks: DataFrame, by: Sequence[str] = (), order: Order | None = None
 ) -> DataFrame:
     """Values at given 0-based ranks.  ``ranks``: (group keys, ``rank``) -> adds the value column."""
     base, keys = keyed(numbers(df.select(*by, value), value), by)
     if not by and GROUP not in ranks.columns:
         ranks = ranks.withColumn(GROUP, F.lit(0))
-    b = with_bucket(base, value, cut_points(base, value) if cuts is None else cuts)
-    totals = prefix_over(b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, BUCKET, ["cnt"])
+    b = with_bucket(base, value, order or plan_order(base, value))
+    totals = prefix_over(b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
     wanted = totals.join(ranks, keys).where(
         (F.col("rank") >= F.col("cnt_before")) & (F.col("rank") < F.col("cnt_before") + F.col("cnt"))
     )
@@ -196,7 +210,7 @@ def with_hash_order(df: DataFrame, key: str, salt: str) -> DataFrame:
 def hash_rank(df: DataFrame, key: str, salt: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """0-based rank of each row in (hash, key) order within its group, plus ``<out>_n`` = group size."""
     base, keys = keyed(with_hash_order(df, key, salt), by)
-    sizes = prefix_over(base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, BUCKET, ["cnt"])
+    sizes = prefix_over(base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
     sizes = sizes.select(
         *keys, BUCKET, F.col("cnt_before").alias("_off"), F.sum("cnt").over(W.partitionBy(*keys)).alias(f"{out}_n")
     )
@@ -212,7 +226,7 @@ def hash_take(df: DataFrame, key: str, salt: str, quota: Column | int, by: Seque
     ``quota`` may use the per-group row count ``_n``.
     """
     base, keys = keyed(with_hash_order(df, key, salt), by)
-    sizes = prefix_over(base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, BUCKET, ["cnt"])
+    sizes = prefix_over(base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
     sizes = sizes.withColumn("_n", F.sum("cnt").over(W.partitionBy(*keys)))
     want = quota if isinstance(quota, Column) else F.lit(quota)
     sizes = sizes.withColumn("_left", want - F.col("cnt_before")).where("_left > 0")
@@ -223,41 +237,55 @@ def hash_take(df: DataFrame, key: str, salt: str, quota: Column | int, by: Seque
     return whole.unionByName(edge.where("_r <= _left").select(*cols))
 
 
-def row_prefix(
+def ordered_rows(
     df: DataFrame, value: str, key: str, by: Sequence[str] = (), measures: dict[str, Column] | None = None
-) -> DataFrame:
-    """Per row, in (value, hash of key) order of its group: 1-based ``rk``, group size ``rk_n`` and, for each
-    measure m, the inclusive prefix sum ``<m>_cum``.
-
-    Prefix sums come from distinct values; inside one value the rows are spread over hash buckets, so a value
-    shared by many rows is never sorted as a whole.
-    """
+) -> tuple[DataFrame, list[str]]:
+    """Rows with the offsets of their bucket: ``_k0`` rows and ``_s_<m>`` sums before it, ``_bn`` rows in its value
+    bucket, ``_v0`` rows before its value bucket, group size ``rk_n``.  Also returns the bucket key columns."""
     measures = measures or {}
-    base = numbers(df, value)
+    base, keys = keyed(numbers(df, value), by)
     for m, c in measures.items():
         base = base.withColumn(f"_m_{m}", c)
-    sums = {m: F.col(f"_m_{m}") for m in measures}
-    table = value_ranks(base, value, by, sums)
-    table = table.select(
-        *by, value, "cnt", F.col("cnt_before").alias("_k0"), F.col("cnt_all").alias("rk_n"),
+    order = plan_order(base, value)
+    rows = with_spread(with_bucket(base, value, order), order, key)
+    cell = [*keys, BUCKET, SUB]
+    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("c"), *[F.sum(f"_m_{m}").alias(m) for m in measures])
+    sizes = prefix_over(sizes, keys, [BUCKET, SUB], ["c", *measures])
+    sizes = sizes.select(
+        *cell,
+        F.col("c_before").alias("_k0"),
         *[F.col(f"{m}_before").alias(f"_s_{m}") for m in measures],
+        F.sum("c").over(W.partitionBy(*keys, BUCKET)).alias("_bn"),
+        F.min("c_before").over(W.partitionBy(*keys, BUCKET)).alias("_v0"),
+        F.sum("c").over(W.partitionBy(*keys)).alias("rk_n"),
     )
-    rows = with_hash_order(lookup(base, table, [*by, value], "cnt"), key, "tie")
-    keys = [*by, value]
-    spread = F.when(F.col("cnt") > 1, F.col(BUCKET)).otherwise(F.lit(0))
-    rows = rows.withColumn(BUCKET, spread)
-    sizes = rows.where("cnt > 1").groupBy(*keys, BUCKET)
-    sizes = sizes.agg(F.count(F.lit(1)).alias("_c"), *[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in measures])
-    sizes = prefix_over(sizes, keys, BUCKET, ["_c", *[f"_t_{m}" for m in measures]])
-    sizes = sizes.select(*keys, BUCKET, "_c_before", *[f"_t_{m}_before" for m in measures])
-    local = W.partitionBy(*keys, BUCKET).orderBy("_h", key)
+    hot = F.col(BUCKET).isin(*order.hot) if order.hot else F.lit(False)
+    return rows.join(sizes, cell).withColumn("_hot", hot), cell
+
+
+def row_prefix(
+    df: DataFrame, value: str, key: str, by: Sequence[str] = (), measures: dict[str, Column] | None = None
+) -> DataFrame:
+    """Per row, in (value, hash of key) order of its group: 1-based ``rk``, group size ``rk_n`` and, for each
+    measure m, the inclusive prefix sum ``<m>_cum``."""
+    measures = measures or {}
+    rows, cell = ordered_rows(df, value, key, by, measures)
+    rows = rows.withColumn("_h", hash32(key, "tie"))
+    local = W.partitionBy(*cell).orderBy(value, "_h", key)
     running = local.rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(sizes, [*keys, BUCKET], "left")
-    zero = F.lit(0)
-    out = out.withColumn("rk", F.row_number().over(local) + F.coalesce("_c_before", zero) + F.col("_k0"))
+    out = rows.withColumn("rk", F.row_number().over(local) + F.col("_k0"))
     for m in measures:
-        inner = F.sum(f"_m_{m}").over(running) + F.coalesce(F.col(f"_t_{m}_before"), F.lit(0.0))
-        out = out.withColumn(f"{m}_cum", F.col(f"_s_{m}") + inner)
-    drop = ["_h", BUCKET, "_k0", "_c_before", "cnt"]
-    drop += [f"{a}{m}{z}" for m in measures for a, z in (("_m_", ""), ("_s_", ""), ("_t_", "_before"))]
+        out = out.withColumn(f"{m}_cum", F.col(f"_s_{m}") + F.sum(f"_m_{m}").over(running))
+    drop = ["_h", BUCKET, SUB, "_k0", "_bn", "_v0", "_hot", GROUP, *[f"{a}{m}" for m in measures for a in ("_m_", "_s_")]]
     return out.drop(*drop)
+
+
+def average_rank(df: DataFrame, value: str, key: str, by: Sequence[str] = (), out: str = "rk") -> DataFrame:
+    """1-based average rank (ties share the mean of their positions) plus group size ``<out>_n``."""
+    rows, cell = ordered_rows(df, value, key, by)
+    first = F.rank().over(W.partitionBy(*cell).orderBy(value))
+    ties = F.count(F.lit(1)).over(W.partitionBy(*cell, value))
+    cold = F.col("_k0") + first + (ties - 1) / F.lit(2.0)
+    hot = F.col("_v0") + (F.col("_bn") + 1) / F.lit(2.0)
+    ranked = rows.withColumn(out, F.when(F.col("_hot"), hot).otherwise(cold)).withColumnRenamed("rk_n", f"{out}_n")
+    return ranked.drop(BUCKET, SUB, "_k0", "_bn", "_v0", "_hot", GROUP)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, norm_sf
-from .ordered import attach, exact_quantiles, hash_rank, hash_take, lookup
+from .ordered import attach, exact_quantiles, hash_rank, hash_take
 
 # Probability of a null inside / outside the signal clusters.
 CLUSTER_STRENGTH = {"none": (0.7, 0.7), "weak": (0.6, 0.8), "medium": (0.4, 0.9), "strong": (0.2, 0.95)}
@@ -48,7 +48,7 @@ def stratified_subsample(
     edges = exact_quantiles(df, p, probs, by).groupBy(*by).agg(
         F.array_sort(F.collect_set("value")).alias("_edges"), F.max("n").alias("_n")
     )
-    rows = attach(df, edges, by, "_n")
+    rows = attach(df, edges, by)
     # number of inner edges strictly below p = index of the right-closed bin
     inner = F.slice("_edges", F.lit(2), F.size("_edges") - 2)
     bin_no = F.when(F.size("_edges") <= 2, F.lit(0)).otherwise(F.size(F.filter(inner, lambda e: e < F.col(p))))
@@ -142,9 +142,8 @@ def beta_quantile(u: Column, a: float, b: int) -> Column:
 def evaluation_data(df: DataFrame, strength: str, effect: str, group: str = "group_id", seed: int = 42) -> DataFrame:
     """Labels from signal-rich clusters, then p-values under the next seed."""
     sig = signal_groups(df, group, seed=seed).withColumn("is_signal", F.lit(True))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    flags = sizes.join(sig, group, "left").select(group, F.coalesce("is_signal", F.lit(False)).alias("is_signal"), "_n")
-    rows = lookup(df, flags, [group], "_n").drop("_n")
+    flags = df.select(group).distinct().join(sig, group, "left")
+    rows = attach(df, flags.select(group, F.coalesce("is_signal", F.lit(False)).alias("is_signal")), [group])
     return p_values(clustered_labels(rows, strength, seed=seed), effect, seed=seed + 1)
 
 

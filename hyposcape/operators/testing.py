@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
 from .ordered import (
     BUCKET,
+    SUB,
+    average_rank,
     GROUP,
     attach,
-    cut_points,
     keyed,
-    lookup,
     numbers,
+    ordered_rows,
+    plan_order,
     prefix_over,
     row_prefix,
     value_ranks,
@@ -32,11 +35,11 @@ def bh_threshold(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: flo
     the undecided buckets are read again and ranked.
     """
     base, keys = keyed(numbers(df.select(*by, F.col(p).alias("_p")), "_p"), by)
-    b = with_bucket(base, "_p", cut_points(base, "_p"))
+    b = with_bucket(base, "_p", plan_order(base, "_p"))
     stats = b.groupBy(*keys, BUCKET).agg(
         F.count(F.lit(1)).alias("cnt"), F.min("_p").alias("lo"), F.max("_p").alias("hi")
     )
-    stats = prefix_over(stats, keys, BUCKET, ["cnt"])
+    stats = prefix_over(stats, keys, [BUCKET], ["cnt"])
     whole = W.partitionBy(*keys)
     stats = stats.withColumn("n", F.sum("cnt").over(whole))
     line = (F.col("cnt_before") + F.col("cnt")) / F.col("n") * F.lit(level)
@@ -59,9 +62,9 @@ def bh_threshold(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: flo
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: float = 0.1) -> DataFrame:
     """Add ``threshold`` and ``rejected`` (p <= threshold, ties included)."""
     cut = bh_threshold(df, p, by, level)
-    out = attach(df, cut.withColumnRenamed("n", "_n"), by, "_n")
+    out = attach(df, cut.drop("n"), by)
     keep = (F.col("threshold") > 0) & (F.col(p) <= F.col("threshold"))
-    return out.withColumn("rejected", F.coalesce(keep, F.lit(False))).drop("_n")
+    return out.withColumn("rejected", F.coalesce(keep, F.lit(False)))
 
 
 def bh_first_k(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] = (), level: float = 0.1) -> DataFrame:
@@ -70,28 +73,29 @@ def bh_first_k(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] =
     return benjamini_hochberg(df, p, by, level)
 
 
-def bh_adjusted(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
+def bh_adjusted(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """Add step-up adjusted ``q`` (running minimum of p * n / rank from the largest p, capped at 1) and ``rejected``.
 
-    Works on distinct values: the minimum over a bucket's later buckets is the offset of that bucket.
+    Inside a bucket the running minimum is local; the minimum over the later buckets is that bucket's offset.
     """
-    ranks = value_ranks(df, p, by)
-    base, keys = keyed(ranks, by)
-    raw = F.col(p) / ((F.col("cnt_before") + F.col("cnt")) / F.col("cnt_all"))
-    base = base.withColumn("raw", raw)
-    b = with_bucket(base, p, cut_points(numbers(df, p), p))
-    later = W.partitionBy(*keys).orderBy(F.col(BUCKET).desc()).rowsBetween(W.unboundedPreceding, -1)
-    tail = b.groupBy(*keys, BUCKET).agg(F.min("raw").alias("m")).withColumn("tail", F.min("m").over(later)).drop("m")
-    local = W.partitionBy(*keys, BUCKET).orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-    q = b.join(tail, [*keys, BUCKET]).withColumn("q", F.least(F.min("raw").over(local), F.col("tail"), F.lit(1.0)))
-    table = q.select(*by, p, "q", F.col("cnt").alias("_n"))
-    return lookup(df, table, [*by, p], "_n").withColumn("rejected", F.col("q") <= level).drop("_n")
+    rows, cell = ordered_rows(df, p, key, by)
+    keys = cell[:-2]
+    rows = rows.withColumn("_h", hash32(key, "tie"))
+    local = W.partitionBy(*cell).orderBy(p, "_h", key)
+    rows = rows.withColumn("_raw", F.col(p) / ((F.row_number().over(local) + F.col("_k0")) / F.col("rk_n")))
+    later = W.partitionBy(*keys).orderBy(F.col(BUCKET).desc(), F.col(SUB).desc()).rowsBetween(W.unboundedPreceding, -1)
+    # the last row of a cell has its largest p and rank; a cell's minimum needs all of its rows
+    tail = rows.groupBy(*cell).agg(F.min("_raw").alias("_m")).withColumn("_tail", F.min("_m").over(later)).drop("_m")
+    down = W.partitionBy(*cell).orderBy(F.col(p).desc(), F.col("_h").desc(), F.col(key).desc())
+    best = F.min("_raw").over(down.rowsBetween(W.unboundedPreceding, 0))
+    out = rows.join(tail, cell).withColumn("q", F.least(best, F.col("_tail"), F.lit(1.0)))
+    out = out.withColumn("rejected", F.col("q") <= level)
+    return out.drop("_h", "_raw", "_tail", BUCKET, SUB, "_k0", "_bn", "_v0", "_hot", "rk_n", GROUP)
 
 
 def strict_signal_truth(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """Proxy truth for held-out nodes: ``label`` = 0 where p is strictly below the step-up cut line."""
-    cut = bh_threshold(df, p, by, level).withColumnRenamed("n", "_n")
-    out = attach(df, cut, by, "_n").drop("_n")
+    out = attach(df, bh_threshold(df, p, by, level).drop("n"), by)
     return out.withColumn("label", F.when(F.col(p) < F.col("threshold"), 0).otherwise(1).cast("int"))
 
 
@@ -112,9 +116,9 @@ def step_up_cutoff(df: DataFrame, lfdr: str = "lfdr", by: Sequence[str] = (), le
     end exceeds the level; only that bucket is read again.
     """
     base, keys = keyed(numbers(df.select(*by, F.col(lfdr).alias("_v")), "_v"), by)
-    b = with_bucket(base, "_v", cut_points(base, "_v"))
+    b = with_bucket(base, "_v", plan_order(base, "_v"))
     stats = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt"), F.sum("_v").alias("s"), F.max("_v").alias("hi"))
-    stats = prefix_over(stats, keys, BUCKET, ["cnt", "s"])
+    stats = prefix_over(stats, keys, [BUCKET], ["cnt", "s"])
     whole = W.partitionBy(*keys)
     over = (F.col("s_before") + F.col("s")) > F.lit(level) * (F.col("cnt_before") + F.col("cnt"))
     stats = stats.withColumn("edge", F.min(F.when(over, F.col(BUCKET))).over(whole))
@@ -147,19 +151,19 @@ def lfdr_step_up(
 ) -> DataFrame:
     """Add ``rejected`` by the running-mean rule; equal values at the cut are taken in key-hash order."""
     cut = step_up_cutoff(df, lfdr, by, level)
-    out = attach(df, cut.withColumnRenamed("n", "_n"), by, "_n")
+    out = attach(df, cut.drop("n", "k"), by)
     below = F.coalesce(F.col(lfdr) < F.col("cut"), F.lit(False))
     partial = out.where(F.col(lfdr).eqNullSafe(F.col("cut")))
     rest = out.where(~F.col(lfdr).eqNullSafe(F.col("cut"))).withColumn("rejected", below)
     tied = tie_accept(partial, key, by)
-    return rest.unionByName(tied.select(rest.columns)).drop("cut", "ties", "k", "_n")
+    return rest.unionByName(tied.select(rest.columns)).drop("cut", "ties")
 
 
 def tie_accept(partial: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
     """Among rows equal to the cut accept the first ``ties`` in hash order, ranking inside hash buckets only."""
     base, keys = keyed(with_hash_order(partial, key, "tie"), by)
     sizes = base.groupBy(*keys, BUCKET, "ties").agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = prefix_over(sizes, keys, BUCKET, ["cnt"]).select(*keys, BUCKET, F.col("cnt_before").alias("_off"))
+    sizes = prefix_over(sizes, keys, [BUCKET], ["cnt"]).select(*keys, BUCKET, F.col("cnt_before").alias("_off"))
     r = F.row_number().over(W.partitionBy(*keys, BUCKET).orderBy("_h", key)) + F.col("_off")
     out = base.join(sizes, [*keys, BUCKET]).withColumn("rejected", r <= F.col("ties"))
     return out.drop("_h", BUCKET, "_off", GROUP)
@@ -196,12 +200,13 @@ def rolling_by_rank(
     return out.drop("_hi", "_lo", "_y0", "_y1", "_yy0", "_yy1", "y_cum", "yy_cum")
 
 
-def rank_p_values(df: DataFrame, score: str, by: Sequence[str] = (), eps: float = 1e-10) -> DataFrame:
+def rank_p_values(
+    df: DataFrame, score: str, key: str = "id", by: Sequence[str] = (), eps: float = 1e-10
+) -> DataFrame:
     """Anomaly score to p: 1 - average rank / n, clipped to [eps, 1-eps]."""
-    r = value_ranks(df, score, by)
-    avg_rank = F.col("cnt_before") + (F.col("cnt") + 1) / F.lit(2.0)
-    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.lit(1.0) - avg_rank / F.col("cnt_all")))
-    return lookup(df, r.select(*by, score, p.alias("p"), F.col("cnt").alias("_n")), [*by, score], "_n").drop("_n")
+    r = average_rank(df, score, key, by, "_r")
+    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.lit(1.0) - F.col("_r") / F.col("_r_n")))
+    return r.withColumn("p", p).drop("_r", "_r_n")
 
 
 def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, confusion_code, local_fdr, neg_log10
 from ..operators import density, metrics, testing
+from ..session import cut_lineage
 from ..sources.fixtures import hyp_events, hyp_events_null
 from .registry import EVENTS, LFDR, hash_sql, query, rnd
 
@@ -111,7 +112,9 @@ def events_lfdr(spark, sf):
     df = density.with_gaussian_shift(hyp_events(spark, sf), by=[])
     pi0 = density.storey_pi0(df).select("pi0")
     df = df.withColumn("alpha", pi0.scalar())
-    return df.withColumn("lfdr", local_fdr("alpha", "f0", "f1"))
+    df = df.withColumn("lfdr", local_fdr("alpha", "f0", "f1"))
+    # the densities are read many times below; a checkpoint fixes them once and cuts the plan
+    return cut_lineage(df)
 
 
 @query("local_fdr", f"WITH {LFDR} SELECT id, round(f1,6) AS f1, round(lfdr,9) AS lfdr FROM lf")
@@ -128,13 +131,14 @@ def local_fdr_rule(spark, sf):
 
 
 STEP = f"""{LFDR}, o AS (SELECT *, row_number() OVER w AS k, avg(lfdr) OVER (w ROWS UNBOUNDED PRECEDING) AS q FROM (
- SELECT *, {hash_sql('id', 'tie')} AS h FROM lf) WINDOW w AS (ORDER BY lfdr,h,id)),
+ SELECT * EXCLUDE (lfdr), round(lfdr,12) AS lfdr, {hash_sql('id', 'tie')} AS h FROM lf) WINDOW w AS (ORDER BY lfdr,h,id)),
 st AS (SELECT *, k<=coalesce((SELECT max(k) FROM o WHERE q<=0.1e0),0) AS rejected FROM o)"""
 
 
 @query("lfdr_step_up", f"WITH {STEP} SELECT id, rejected FROM st")
 def lfdr_step_up(spark, sf):
-    return testing.lfdr_step_up(events_lfdr(spark, sf)).select("id", "rejected")
+    df = events_lfdr(spark, sf).withColumn("lfdr", rnd("lfdr", 12))
+    return testing.lfdr_step_up(df).select("id", "rejected")
 
 
 @query(
@@ -152,7 +156,8 @@ def lfdr_step_up_ties(spark, sf):
 
 @query("running_mean_q", f"WITH {STEP} SELECT id, round(q,8) AS q FROM st")
 def running_mean_q(spark, sf):
-    return testing.running_mean_q(events_lfdr(spark, sf)).select("id", rnd("q", 8).alias("q"))
+    df = events_lfdr(spark, sf).withColumn("lfdr", rnd("lfdr", 12))
+    return testing.running_mean_q(df).select("id", rnd("q", 8).alias("q"))
 
 
 @query(
@@ -163,14 +168,13 @@ r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY score) + (count(*)
 SELECT id, round(greatest(1e-10,least(1e0-1e-10,1e0-r/n)),9) AS p FROM r""",
 )
 def rank_p_values(spark, sf):
-    df = hyp_events(spark, sf).select("id", "event_type", F.floor(-F.log("u") * 50).cast("double").alias("_"))
     df = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("event_id").alias("id"), "event_type", F.floor("value").cast("double").alias("score")
     )
-    return testing.rank_p_values(df, "score", ["event_type"]).select("id", rnd("p", 9).alias("p"))
+    return testing.rank_p_values(df, "score", by=["event_type"]).select("id", rnd("p", 9).alias("p"))
 
 
-AUC = f"""{EVENTS}, s AS (SELECT label, -log10(p+1e-100) AS x FROM hyp),
+AUC = f"""{EVENTS}, s AS (SELECT label, round(-log10(p+1e-100),9) AS x FROM hyp),
 r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x)-1)/2e0 AS r FROM s),
 a AS (SELECT sum(r) FILTER (WHERE label=0) AS sr, count(*) FILTER (WHERE label=0) AS np, count(*) AS n FROM r)"""
 
@@ -180,7 +184,7 @@ a AS (SELECT sum(r) FILTER (WHERE label=0) AS sr, count(*) FILTER (WHERE label=0
     f"""WITH {AUC} SELECT round((sr-np*(np+1)/2e0)/np/(n-np),9) AS auc, np AS n_pos, n, 'ok' AS reason FROM a""",
 )
 def roc_auc(spark, sf):
-    df = hyp_events(spark, sf).withColumn("x", -F.log10(F.col("p") + 1e-100)).withColumn("pos", F.col("label") == 0)
+    df = hyp_events(spark, sf).withColumn("x", rnd(-F.log10(F.col("p") + 1e-100), 9)).withColumn("pos", F.col("label") == 0)
     return testing.auc(df, "x", "pos").select(rnd("auc", 9).alias("auc"), "n_pos", "n", "reason")
 
 
