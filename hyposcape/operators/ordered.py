@@ -166,7 +166,7 @@ def select_by_rank(
     hit = inside.join(places.select(*keys, BUCKET, "rs"), [*keys, BUCKET]).select(
         *keys, F.col(value), F.explode(F.filter("rs", lambda r: (r >= F.col("lo")) & (r < F.col("hi")))).alias("rank")
     )
-    return hit.drop(GROUP)
+    return hit if GROUP in by else hit.drop(GROUP)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
