@@ -357,13 +357,15 @@ def neighbours(pts: Points, k: int, include_self: bool = False, other: Points |
         out = pd.DataFrame({"id": np.repeat(ids, kk), "nid": nids[order].ravel(), "d": dd.ravel()})
         return out[np.isfinite(out.d)]
 
+    alone = other is None
+
     def fn(a: Block, b: Block, d: np.ndarray):
-        same = other is None and a.blk == b.blk
+        same = alone and a.blk == b.blk
         if same and not include_self:
             d = d.copy()
             np.fill_diagonal(d, np.inf)
         yield best(a.ids, b.ids, d)
-        if other is None and not same:
+        if alone and not same:
             yield best(b.ids, a.ids, d.T)
 
     cand = pts.reduce(fn, "id bigint, nid bigint, d double", other)

@@ -1 +1,189 @@
-"""Registered queries."""
+"""Graph operators over the part graph (neighbouring order lines) and enrichment of part sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import local_fdr
+from ..operators import density, enrichment, graph, sampling, testing
+from ..operators.solver import GLOBAL_PRESETS, make_config
+from ..session import cut_lineage
+from ..sources.fixtures import hyp_parts, part_edges
+from ..sources.tables import table
+from .registry import hash_sql, ppf_sql, query, rnd, uniform_sql
+
+EDGES = """raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::double AS w FROM lineitem a JOIN lineitem b
+ ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_partkey<>b.l_partkey GROUP BY 1,2),
+ed AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w/2e0 AS w FROM raw UNION ALL SELECT dst, src, w/2e0 FROM raw) GROUP BY 1,2),
+dg AS (SELECT src AS id, sum(w) AS degree, count(*) AS n_edges FROM ed GROUP BY 1),
+nrm AS (SELECT ed.src, ed.dst, w/sqrt(a.degree*b.degree) AS a FROM ed JOIN dg a ON a.id=src JOIN dg b ON b.id=dst)"""
+
+PARTS = f"""hp AS (SELECT p_partkey AS id, p_brand, (CASE WHEN p_size<=5 THEN 0 ELSE 1 END)::int AS label,
+ CASE WHEN p_size<=5 THEN pow(u,10e0) ELSE u END AS p FROM (SELECT *, {uniform_sql('p_partkey', 'gene|7')} AS u FROM part))"""
+
+
+def edges(spark, sf):
+    return graph.symmetrize(part_edges(spark, sf))
+
+
+@query("graph_degrees", f"WITH {EDGES} SELECT id, round(degree,6) AS degree, n_edges FROM dg")
+def graph_degrees(spark, sf):
+    return graph.degrees(edges(spark, sf)).select("id", rnd("degree").alias("degree"), "n_edges")
+
+
+@query(
+    "graph_laplacian",
+    f"""WITH {EDGES}, {PARTS} SELECT src, dst, round(l,9) AS l FROM (SELECT src, dst, -a AS l FROM nrm UNION ALL SELECT id, id, 1e0 FROM hp)""",
+)
+def graph_laplacian(spark, sf):
+    return graph.laplacian(edges(spark, sf), hyp_parts(spark, sf)).select("src", "dst", rnd("l", 9).alias("l"))
+
+
+@query(
+    "graph_laplacian_plain",
+    f"""WITH {EDGES}, {PARTS} SELECT src AS id, round(sum(l*l),6) AS row_norm FROM (SELECT src, -w AS l FROM ed UNION ALL
+ SELECT hp.id, coalesce(degree,0) FROM hp LEFT JOIN dg USING (id)) GROUP BY 1""",
+)
+def graph_laplacian_plain(spark, sf):
+    lap = graph.laplacian(edges(spark, sf), hyp_parts(spark, sf), normalised=False)
+    return lap.groupBy(F.col("src").alias("id")).agg(rnd(F.sum(F.col("l") * F.col("l"))).alias("row_norm"))
+
+
+def taylor_sql(terms: int, beta: float) -> str:
+    steps, coef, acc = ["y0 AS (SELECT id, (CASE WHEN label=0 THEN 1e0 ELSE 0e0 END) AS y FROM hp)"], 1.0, ["SELECT id, y FROM y0"]
+    for k in range(1, terms + 1):
+        coef *= beta / k
+        steps.append(f"y{k} AS MATERIALIZED (SELECT dst AS id, sum(a*y) AS y FROM nrm JOIN y{k - 1} ON src=id GROUP BY 1)")
+        acc.append(f"SELECT id, y*{coef:.20e} FROM y{k}")
+    return f"{', '.join(steps)} SELECT id, round(sum(y)*exp(-{beta}e0),8) AS heat FROM ({' UNION ALL '.join(acc)}) GROUP BY 1"
+
+
+@query("graph_diffusion", f"WITH {EDGES.replace('nrm AS (', 'nrm AS MATERIALIZED (')}, {PARTS}, {taylor_sql(16, 1.0)}")
+def graph_diffusion(spark, sf):
+    """Heat that spreads from the signal nodes: exp(-L) applied to their indicator, over the whole graph."""
+    nodes = hyp_parts(spark, sf)
+    op = graph.DiffusionOperator.build(edges(spark, sf), nodes, beta=1.0)
+    start = nodes.select("id", F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("y"))
+    return op.apply(start).select("id", rnd("y", 8).alias("heat"))
+
+
+@query(
+    "graph_alignment",
+    f"""WITH {EDGES}, {PARTS}, z0 AS (SELECT id, {ppf_sql('1e0-least(1e0-1e-10,greatest(1e-10,p))')} AS z FROM hp),
+z AS (SELECT id, z-(SELECT avg(z) FROM z0) AS z FROM z0), pl AS (SELECT id, row_number() OVER (ORDER BY {hash_sql('id', 'place')}, id) AS k FROM z),
+dr AS (SELECT pm, z, row_number() OVER (PARTITION BY pm ORDER BY {hash_sql("id::varchar||'|'||pm::varchar", 'perm')}, id::varchar||'|'||pm::varchar) AS k
+ FROM z, (SELECT i AS pm FROM range(1,101) t(i))),
+zp AS (SELECT 0 AS pm, id, z FROM z UNION ALL SELECT pm, id, z FROM dr JOIN pl USING (k)),
+sc AS (SELECT a.pm, sum(w*a.z*b.z) AS s FROM ed JOIN zp a ON a.id=src JOIN zp b ON b.id=dst AND b.pm=a.pm GROUP BY 1),
+st AS (SELECT max(s) FILTER (WHERE pm=0) AS observed, avg(s) FILTER (WHERE pm>0) AS mean_perm, stddev_pop(s) FILTER (WHERE pm>0)+1e-10 AS std_perm FROM sc)
+SELECT round(observed,5) AS observed, round(mean_perm,5) AS mean_perm, round(std_perm,5) AS std_perm,
+ round((observed-mean_perm)/std_perm,6) AS z_spatial, (SELECT round(avg(CASE WHEN s>=observed THEN 1e0 ELSE 0e0 END),6) FROM sc WHERE pm>0) AS p_spatial,
+ (observed-mean_perm)/std_perm>2e0 AS aligned FROM st""",
+)
+def graph_alignment(spark, sf):
+    out = graph.signal_alignment(edges(spark, sf), hyp_parts(spark, sf))
+    return out.select(
+        *[rnd(c, 5).alias(c) for c in ("observed", "mean_perm", "std_perm")],
+        rnd("z_spatial").alias("z_spatial"), rnd("p_spatial").alias("p_spatial"), "aligned",
+    )
+
+
+@query(
+    "graph_gene_alignment",
+    f"""WITH {EDGES}, {PARTS}, k AS (SELECT id FROM hp WHERE p<0.5e0 AND id IN (SELECT src FROM ed UNION SELECT dst FROM ed))
+SELECT (SELECT count(*) FROM k) AS n_nodes, count(*) AS n_edges, round(sum(w),6) AS weight FROM ed WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""",
+)
+def graph_gene_alignment(spark, sf):
+    nodes, sub = graph.align(hyp_parts(spark, sf).where("p < 0.5"), edges(spark, sf))
+    s = sub.agg(F.count(F.lit(1)).alias("n_edges"), rnd(F.sum("w")).alias("weight"))
+    return s.withColumn("n_nodes", nodes.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+SETS = """mem AS (SELECT DISTINCT 'supplier '||l_suppkey AS pathway, l_partkey AS gene FROM lineitem UNION SELECT 'brand '||p_brand, p_partkey FROM part
+ UNION SELECT 'type '||p_type, p_partkey FROM part)"""
+
+
+def set_members(spark, sf):
+    """Pathway-like sets of parts: what a supplier ships, brands and types."""
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    a = li.select(F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("pathway"), F.col("l_partkey").alias("gene"))
+    b = p.select(F.concat(F.lit("brand "), "p_brand").alias("pathway"), F.col("p_partkey").alias("gene"))
+    c = p.select(F.concat(F.lit("type "), "p_type").alias("pathway"), F.col("p_partkey").alias("gene"))
+    return a.unionByName(b).unionByName(c).distinct()
+
+
+ENRICH = f"""{PARTS}, {SETS}, rk AS (SELECT p, row_number() OVER (ORDER BY p,id) AS k, count(*) OVER () AS n FROM hp),
+sel AS (SELECT id FROM hp WHERE p<=(SELECT coalesce(max(p) FILTER (WHERE p<=k::double/n*0.1e0),0e0) FROM rk)),
+ct AS (SELECT pathway, count(*) AS n, count(*) FILTER (WHERE gene IN (SELECT id FROM sel)) AS k, (SELECT count(*) FROM hp) AS m,
+ (SELECT count(*) FROM sel) AS nn FROM mem WHERE gene IN (SELECT id FROM hp) GROUP BY 1),
+tl AS (SELECT pathway, sum(exp(lgamma(n+1)-lgamma(x+1)-lgamma(n-x+1)+lgamma(m-n+1)-lgamma(nn-x+1)-lgamma(m-n-nn+x+1)
+ -lgamma(m+1)+lgamma(nn+1)+lgamma(m-nn+1))) AS pv FROM (SELECT *, unnest(range(greatest(k,n+nn-m),least(n,nn)+1)) AS x FROM ct) GROUP BY 1),
+en AS (SELECT pathway, CASE WHEN n<3 OR k=0 THEN 1e0 ELSE least(1e0,pv) END AS pval, (CASE WHEN n<3 THEN 0 ELSE k END)::bigint AS overlap, n AS size
+ FROM ct JOIN tl USING (pathway))"""
+
+
+def enriched(spark, sf):
+    genes = hyp_parts(spark, sf)
+    chosen = testing.benjamini_hochberg(genes).where("rejected")
+    ids = genes.select(F.col("id").alias("gene"))
+    return enrichment.enrichment(set_members(spark, sf), chosen.select(F.col("id").alias("gene")), ids)
+
+
+@query("enrichment", f"WITH {ENRICH} SELECT pathway, round(pval,8) AS pval, overlap, size FROM en")
+def enrichment_rows(spark, sf):
+    return enriched(spark, sf).select("pathway", rnd("pval", 8).alias("pval"), "overlap", "size")
+
+
+@query(
+    "enrichment_auc",
+    f"""WITH {ENRICH}, s AS (SELECT round(-log10(pval+1e-100),8) AS x, pathway LIKE 'brand%' AS pos FROM en),
+r AS (SELECT pos, rank() OVER (ORDER BY x)+(count(*) OVER (PARTITION BY x)-1)/2e0 AS r FROM s),
+a AS (SELECT sum(r) FILTER (WHERE pos) AS sr, count(*) FILTER (WHERE pos) AS np, count(*) AS n FROM r)
+SELECT round((sr-np*(np+1)/2e0)/np/(n-np),8) AS auc, np AS n_pos, n, 'ok' AS reason FROM a""",
+)
+def enrichment_auc(spark, sf):
+    res = enriched(spark, sf)
+    res = cut_lineage(res.withColumn("x", rnd(-F.log10(F.col("pval") + F.lit(1e-100)), 8)))
+    out = testing.auc(res.withColumn("pos", F.col("pathway").startswith("brand")), "x", "pos")
+    return out.select(rnd("auc", 8).alias("auc"), "n_pos", "n", "reason")
+
+
+def bounded_graph(spark, sf, n_target: int, n_bins: int):
+    """Stratified sample of the genes and the subgraph it induces, with densities: the input of the dense routines."""
+    nodes, sub = graph.align(hyp_parts(spark, sf), edges(spark, sf))
+    nodes = density.with_gaussian_shift(nodes, by=[])
+    drawn = cut_lineage(sampling.stratified_subsample(nodes, n_target=n_target, n_bins=n_bins))
+    kept = cut_lineage(graph.induced(sub, drawn))
+    return drawn.withColumn("dataset", F.lit("parts")), kept.withColumn("dataset", F.lit("parts"))
+
+
+@query("graph_structure")
+def graph_structure(spark, sf):
+    nodes, e = bounded_graph(spark, sf, 1000, 50)
+    return graph.graph_structure(nodes.select("dataset", "id"), e)
+
+
+@query("graph_lambda_tuning")
+def graph_lambda_tuning(spark, sf):
+    nodes, e = bounded_graph(spark, sf, 500, 25)
+    nodes = sampling.k_folds(nodes, 3)
+    cfg = make_config("graph_gsea", max_iter=300)
+    out = graph.tune_lambda(nodes, e, cfg, lambdas=[1e-3, 1.0, 10.0, 1e3])
+    return out.groupBy("dataset", "beta", "lam").agg(F.avg("nll").alias("mean_nll"))
+
+
+@query("graph_smooth_fdr")
+def graph_smooth_fdr(spark, sf):
+    """Sampled graph -> diffusion kernel -> Stage 1 -> local FDR -> running-mean step-up."""
+    nodes, e = bounded_graph(spark, sf, 1000, 50)
+    a = graph.smooth_alpha(nodes, e, make_config("graph_gsea", max_iter=500))
+    a = cut_lineage(a.withColumn("lfdr", local_fdr("alpha", "f0", "f1", floor=None)))
+    return testing.lfdr_step_up(a, by=["dataset"]).select("dataset", "id", "alpha", "lfdr", "verdict", "rejected")
+
+
+@query("graph_allspace")
+def graph_allspace(spark, sf):
+    nodes, e = bounded_graph(spark, sf, 1000, 50)
+    nodes = sampling.train_test_split(nodes)
+    out = graph.allspace_alpha(nodes, e, make_config("graph_allspace", max_iter=500), GLOBAL_PRESETS["graph_allspace"])
+    return out.where("split = 'test'").select("dataset", "id", "alpha_null")
