@@ -176,13 +176,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     at = counts.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
     at = at.withColumn("pos", (F.col("n") - 1) * F.col("prob"))
     at = at.withColumn("lo", F.floor("pos").cast("bigint")).withColumn("hi", F.ceil("pos").cast("bigint"))
-    ranks = at.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    found = select_by_rank(base, value, ranks, keys)
-    low = found.select(*keys, F.col("rank").alias("lo"), F.col(value).alias("_vlo"))
-    high = found.select(*keys, F.col("rank").alias("hi"), F.col(value).alias("_vhi"))
-    out = at.join(low, [*keys, "lo"]).join(high, [*keys, "hi"])
-    part = F.col("pos") - F.col("lo")
-    out = out.withColumn("value", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * part)
+    each = at.withColumn("rank", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    found = select_by_rank(base, value, each.select(*keys, "rank").distinct(), keys).withColumnRenamed(value, "_v")
+    low, high = F.min_by("_v", "rank"), F.max_by("_v", "rank")
+    part = F.col("pos") - F.floor("pos")
+    out = each.join(found, [*keys, "rank"]).groupBy(*keys, "prob", "n", "pos").agg((low + (high - low) * part).alias("value"))
     return out.select(*by, "prob", "value", "n")
 
 

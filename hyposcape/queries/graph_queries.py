@@ -36,7 +36,7 @@ def graph_degrees(spark, sf):
     f"""WITH {EDGES}, {PARTS} SELECT src, dst, round(l,9) AS l FROM (SELECT src, dst, -a AS l FROM nrm UNION ALL SELECT id, id, 1e0 FROM hp)""",
 )
 def graph_laplacian(spark, sf):
-    return graph.laplacian(edges(spark, sf), hyp_parts(spark, sf)).select("src", "dst", rnd("l", 9).alias("l"))
+    return graph.laplacian(cut_lineage(edges(spark, sf)), hyp_parts(spark, sf)).select("src", "dst", rnd("l", 9).alias("l"))
 
 
 @query(
@@ -62,7 +62,7 @@ def taylor_sql(terms: int, beta: float) -> str:
 def graph_diffusion(spark, sf):
     """Heat that spreads from the signal nodes: exp(-L) applied to their indicator, over the whole graph."""
     nodes = hyp_parts(spark, sf)
-    op = graph.DiffusionOperator.build(edges(spark, sf), nodes, beta=1.0)
+    op = graph.DiffusionOperator.build(cut_lineage(edges(spark, sf)), nodes, beta=1.0)
     start = nodes.select("id", F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("y"))
     return op.apply(start).select("id", rnd("y", 8).alias("heat"))
 
@@ -150,8 +150,8 @@ def enrichment_auc(spark, sf):
 
 def bounded_graph(spark, sf, n_target: int, n_bins: int):
     """Stratified sample of the genes and the subgraph it induces, with densities: the input of the dense routines."""
-    nodes, sub = graph.align(hyp_parts(spark, sf), edges(spark, sf))
-    nodes = density.with_gaussian_shift(nodes, by=[])
+    nodes, sub = graph.align(hyp_parts(spark, sf), cut_lineage(edges(spark, sf)))
+    nodes = cut_lineage(density.with_gaussian_shift(nodes, by=[]))
     drawn = cut_lineage(sampling.stratified_subsample(nodes, n_target=n_target, n_bins=n_bins))
     kept = cut_lineage(graph.induced(sub, drawn))
     return drawn.withColumn("dataset", F.lit("parts")), kept.withColumn("dataset", F.lit("parts"))

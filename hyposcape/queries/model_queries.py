@@ -1 +1,343 @@
-"""Registered queries."""
+"""Objectives, fits, predictions, cross-validation, cluster designs and whole experiment flows on the embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import expit, hash_uniform
+from ..operators import clustering, density, kernels, metrics, sampling, solver, tuning
+from ..operators.kernels import BlockKernel, Kernel, Points
+from ..operators.solver import GLOBAL_PRESETS, SolverConfig, make_config
+from ..plans import experiments
+from ..plans.model import SpatialNullEstimator
+from ..session import cut_lineage
+from ..sources.fixtures import hyp_points, points
+from ..sources.tables import table
+from .registry import POINTS, hash_sql, ppf_sql, query, rnd, uniform_sql
+
+K15 = Kernel("matern", 1.0, 1.5)
+
+# hypotheses on the embeddings with Gaussian-shift densities and the Matern 3/2 kernel matrix
+MODEL = f"""{POINTS}, zed AS (SELECT *, {ppf_sql('1e0-least(1e0-1e-10,greatest(1e-10,p))')} AS z FROM pts),
+par AS (SELECT avg(z) FILTER (WHERE p<0.2e0) AS mu, stddev_pop(z) FILTER (WHERE p<0.2e0) AS sg FROM zed),
+dn AS (SELECT id, v, label, 1e0 AS f0, least(5000e0, exp((z*z-((z-mu)/sg)*((z-mu)/sg))/2e0)/sg) AS f1 FROM zed, par),
+km AS MATERIALIZED (SELECT i, j, (1e0+sqrt(3e0)*d)*exp(-sqrt(3e0)*d) AS k FROM (SELECT a.id AS i, b.id AS j,
+ CASE WHEN a.id=b.id THEN 0e0 ELSE list_distance(a.v,b.v) END AS d FROM pts a, pts b))"""
+
+FIXED_C = f"cc AS (SELECT *, ({uniform_sql('id', 'coef')}-0.3e0)*0.02e0 AS c FROM dn), st AS (SELECT cc.*, al AS alpha FROM cc JOIN (SELECT i, sum(k*c) AS al FROM km JOIN cc ON cc.id=j GROUP BY 1) ON i=id)"
+
+
+def densities(spark, sf):
+    return density.with_gaussian_shift(hyp_points(spark, sf), by=[])
+
+
+def fixed_state(spark, sf):
+    """Rows (id, f0, f1, c, alpha) for given coefficients: alpha = K c over the whole table."""
+    rows = cut_lineage(densities(spark, sf).withColumn("c", (hash_uniform("id", "coef") - 0.3) * 0.02))
+    bk = BlockKernel.build(Points.pack(rows.select("id", "v")), K15)
+    alpha = bk.matvec(rows.select("id", F.col("c").alias("y"))).withColumnRenamed("y", "alpha")
+    out = cut_lineage(rows.select("id", "f0", "f1", "c", "label").join(alpha, "id"))
+    bk.release()
+    return out
+
+
+LOSS_CFG = SolverConfig(floor=1e-10)
+
+
+@query(
+    "stage1_loss",
+    f"""WITH {MODEL}, {FIXED_C} SELECT round(f,5) AS fit, round(pn,5) AS penalty, round(bd,5) AS bound, n_floored, round(f+pn+bd,5) AS loss FROM (
+SELECT sum(-ln(greatest(alpha*f0+(1e0-alpha)*f1,1e-10))) AS f, 10e0*sum(c*alpha) AS pn,
+ 500e0*sum(pow(greatest(0e0,alpha-1e0),2)+pow(greatest(0e0,-alpha),2)) AS bd, count(*) FILTER (WHERE alpha*f0+(1e0-alpha)*f1<=1e-10) AS n_floored FROM st)""",
+)
+def stage1_loss(spark, sf):
+    out = solver.stage1_loss(fixed_state(spark, sf), LOSS_CFG)
+    return out.select(*[rnd(c, 5).alias(c) for c in ("fit", "penalty", "bound", "loss")], "n_floored")
+
+
+@query(
+    "stage1_gradient",
+    f"""WITH {MODEL}, {FIXED_C} SELECT id, round(alpha,8) AS alpha, round((f1-f0)/greatest(alpha*f0+(1e0-alpha)*f1,1e-10)+20e0*c
+ +1000e0*(greatest(0e0,alpha-1e0)-greatest(0e0,-alpha)),5) AS gradient FROM st""",
+)
+def stage1_gradient(spark, sf):
+    st = fixed_state(spark, sf)
+    return st.select("id", rnd("alpha", 8).alias("alpha"), rnd(solver.gradient_column(LOSS_CFG), 5).alias("gradient"))
+
+
+@query(
+    "stage2_loss",
+    f"""WITH {MODEL}, {FIXED_C}, s AS (SELECT *, 1e0/(1e0+exp(-least(500e0,greatest(-500e0,alpha)))) AS s,
+ (CASE WHEN label=1 THEN 0.9e0 ELSE 0.2e0 END) AS t FROM st)
+SELECT round(sum(-(t*ln(s)+(1e0-t)*ln(1e0-s)))+0.1e0*sum(c*alpha),6) AS loss, round(sqrt(sum(pow(s-t+0.2e0*c,2))),6) AS grad_norm FROM s""",
+)
+def stage2_loss(spark, sf):
+    st = fixed_state(spark, sf).withColumnRenamed("alpha", "g")
+    st = st.withColumn("target", F.when(F.col("label") == 1, 0.9).otherwise(0.2))
+    out = solver.stage2_loss(st, 0.1)
+    return out.select(rnd("loss").alias("loss"), rnd("grad_norm").alias("grad_norm"))
+
+
+def ngd_sql(steps: int) -> str:
+    parts = ["s0 AS (SELECT id, f0, f1, 0.005e0 AS c FROM dn)"]
+    for t in range(1, steps + 1):
+        p = f"s{t - 1}"
+        parts.append(f"a{t} AS MATERIALIZED (SELECT i AS id, sum(k*c) AS alpha FROM km JOIN {p} ON {p}.id=j GROUP BY 1)")
+        parts.append(
+            f"g{t} AS MATERIALIZED (SELECT {p}.*, (f1-f0)/greatest(alpha*f0+(1e0-alpha)*f1,1e-12)+20e0*c"
+            f"+1000e0*(greatest(0e0,alpha-1e0)-greatest(0e0,-alpha)) AS g FROM {p} JOIN a{t} USING (id))"
+        )
+        parts.append(
+            f"s{t} AS MATERIALIZED (SELECT id, f0, f1, c-0.0005e0*g*least(1e0,5e0/(SELECT sqrt(sum(g*g)) FROM g{t})) AS c FROM g{t})"
+        )
+    return ", ".join(parts)
+
+
+@query("fit_three_steps", f"WITH {MODEL}, {ngd_sql(3)} SELECT id, round(c,9) AS c FROM s3")
+def fit_three_steps(spark, sf):
+    """Three natural-gradient steps over the whole table with the distributed kernel."""
+    cfg = make_config("default", c_init=0.005, max_iter=3)
+    return solver.fit_blocks(densities(spark, sf), K15, cfg).select("id", rnd("c", 9).alias("c"))
+
+
+CENTRES = f"ct AS (SELECT id, ({uniform_sql('id', 'coef')}-0.3e0)*0.1e0 AS c FROM pts ORDER BY {hash_sql('id', 'sub|42')}, id LIMIT 200)"
+PRED = f"pd AS (SELECT i AS id, sum(k*c) AS g FROM km JOIN ct ON ct.id=j GROUP BY 1)"
+
+
+@query(
+    "predict_alpha",
+    f"""WITH {MODEL}, {CENTRES}, {PRED} SELECT id, round(least(1e0,greatest(0e0,g)),7) AS alpha_linear, round(1e0/(1e0+exp(-g)),7) AS alpha_sigmoid FROM pd""",
+)
+def predict_alpha(spark, sf):
+    """Null probability at every row from two hundred training centres with given coefficients."""
+    pts = points(spark, sf)
+    centres = sampling.subsample(pts, 200).withColumn("c", (hash_uniform("id", "coef") - 0.3) * 0.1)
+    out = kernels.cross_apply(pts, centres, K15, ["c"])
+    linear = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("k_c")))
+    return out.select("id", rnd(linear, 7).alias("alpha_linear"), rnd(expit("k_c"), 7).alias("alpha_sigmoid"))
+
+
+@query(
+    "held_out_scores",
+    f"""WITH {MODEL}, {CENTRES}, {PRED}, h AS (SELECT * FROM dn JOIN pd USING (id) WHERE id NOT IN (SELECT id FROM ct))
+SELECT round(sum(ln(greatest(g*f0+(1e0-g)*f1,1e-10))),5) AS loglik, round(-sum(ln(greatest(least(1e0,greatest(0e0,g))*f0+(1e0-least(1e0,greatest(0e0,g)))*f1,1e-12))),5) AS nll,
+ count(*) FILTER (WHERE g<0 OR g>1) AS violations FROM h""",
+)
+def held_out_scores(spark, sf):
+    df = densities(spark, sf)
+    centres = sampling.subsample(points(spark, sf), 200).withColumn("c", (hash_uniform("id", "coef") - 0.3) * 0.1)
+    held = df.join(centres.select("id"), "id", "left_anti")
+    out = kernels.cross_apply(held, centres, K15, ["c"])
+    a = F.col("k_c")
+    cut = F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+    mix = lambda x, lo: F.log(F.greatest(x * F.col("f0") + (1 - x) * F.col("f1"), F.lit(lo)))
+    return out.agg(
+        rnd(F.sum(mix(a, 1e-10)), 5).alias("loglik"),
+        rnd(-F.sum(mix(cut, 1e-12)), 5).alias("nll"),
+        F.count_if((a < 0) | (a > 1)).alias("violations"),
+    )
+
+
+@query(
+    "best_setting",
+    """WITH s AS (SELECT event_type AS dataset, user_id::int AS setting, round(avg(ln(greatest(value,1e-3))),9) AS ll, (count(*) FILTER (WHERE value>100e0))::double AS v FROM events GROUP BY 1,2),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN v<=5 THEN 0 ELSE 1 END, ll DESC, setting) AS r,
+ row_number() OVER (PARTITION BY dataset ORDER BY -ll, setting) AS rn FROM s)
+SELECT a.dataset, a.setting, round(a.ll,6) AS mean_loglik, b.setting AS nll_setting FROM r a JOIN r b ON a.dataset=b.dataset AND a.r=1 AND b.rn=1""",
+)
+def best_setting(spark, sf):
+    """Selection rules over a table of scores: event types play datasets, users play settings."""
+    e = table(spark, sf, "events").withColumnsRenamed({"event_type": "dataset"})
+    s = e.groupBy("dataset", F.col("user_id").cast("int").alias("setting")).agg(
+        rnd(F.avg(F.log(F.greatest("value", F.lit(1e-3)))), 9).alias("mean_loglik"),
+        F.count_if(F.col("value") > 100).cast("double").alias("mean_violations"),
+    )
+    s = s.withColumn("mean_nll", -F.col("mean_loglik"))
+    a = tuning.best_setting(s).select("dataset", "setting", rnd("mean_loglik").alias("mean_loglik"))
+    b = tuning.best_by_nll(s).select("dataset", F.col("setting").alias("nll_setting"))
+    return a.join(b, "dataset")
+
+
+# --- fits: results of iterative solvers, checked by rows here and by numpy in the tests ---
+
+
+@query("fit_predict_reject")
+def fit_predict_reject(spark, sf):
+    """Facade: train on a sample, apply to the whole table, decide by the step-up rule."""
+    est = SpatialNullEstimator(config=make_config("facade", max_iter=200), train_rows=400)
+    df = hyp_points(spark, sf)
+    out = est.fit(df, entire_domain=True).reject(df)
+    return out.select("id", "label", "alpha_null", "lfdr", "rejected")
+
+
+@query("empirical_null_fit_predict")
+def empirical_null_fit_predict(spark, sf):
+    est = SpatialNullEstimator(config=make_config("facade", max_iter=200), train_rows=400, density="empirical_null")
+    df = cut_lineage(hyp_points(spark, sf))
+    return est.fit(df).reject(df, rule="threshold").select("id", "label", "alpha_null", "lfdr", "rejected")
+
+
+@query("optimizer_history")
+def optimizer_history(spark, sf):
+    df = sampling.subsample(densities(spark, sf), 400)
+    methods = [make_config("default", max_iter=400), make_config("single_run", max_iter=400), make_config("facade", max_iter=400)]
+    out = None
+    for cfg in methods:
+        one = df.withColumn("dataset", F.lit(cfg.method))
+        h = solver.fit_history(cut_lineage(one), K15, cfg)
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+@query("cross_validation")
+def cross_validation(spark, sf):
+    """Hyper-parameter grid times folds on a training sample: one task per setting and fold."""
+    df = sampling.k_folds(sampling.subsample(densities(spark, sf), 300).withColumn("dataset", F.lit("points")), 5)
+    grid = {"lambda_reg": [1.0, 10.0], "lambda_bound": [100.0, 500.0], "learning_rate": [0.001, 0.005], "gradient_clip": [5.0, 10.0]}
+    scores = tuning.cross_validate(cut_lineage(df), grid, K15, make_config("fold", max_iter=200))
+    return tuning.best_setting(tuning.summarise_folds(cut_lineage(scores)))
+
+
+@query("euclidean_cv_run")
+def euclidean_cv_run(spark, sf):
+    """Ward design, kernel-width cross-validation, refit, step-up decisions and metrics."""
+    design = cut_lineage(experiments.euclidean_design(points(spark, sf), [50, 100, 100], 30))
+    cfg = make_config("euclidean_cv", max_iter=300)
+    out = experiments.euclidean_cv(design, [0.5, 1.0, 2.0], cfg)
+    return metrics.compute_metrics(out, ["dataset", "sigma_factor"])
+
+
+@query("replicated_evaluation")
+def replicated_evaluation(spark, sf):
+    """Conditions times replicates, baseline against spatial method, summarised."""
+    sets = experiments.replicates(points(spark, sf), ["none", "medium", "strong"], "medium", reps=3, n_samples=200)
+    runs = experiments.evaluate_sets(cut_lineage(sets), K15, make_config("default", max_iter=300))
+    return metrics.summarize(cut_lineage(runs), ["power", "FDR"], ["method", "condition"])
+
+
+@query("lambda_sensitivity")
+def lambda_sensitivity(spark, sf):
+    sets = experiments.replicates(points(spark, sf), ["medium"], "medium", reps=3, n_samples=200)
+    return experiments.lambda_sensitivity(cut_lineage(sets), K15, make_config("default", max_iter=200), [0.1, 1.0, 10.0])
+
+
+@query("allspace_prediction")
+def allspace_prediction(spark, sf):
+    """Training split drawn to a bounded sample, both stages, prediction of the null probability at every row."""
+    df = cut_lineage(densities(spark, sf))
+    split = sampling.train_test_split(df, strata=["label"])
+    train = cut_lineage(sampling.subsample(split.where("split = 'train'"), 500))
+    out = experiments.allspace(train, df.select("id", "v", "label"), K15, make_config("euclidean_cv", max_iter=300))
+    return metrics.separation(out, "alpha_null")
+
+
+@query("prediction_uncertainty")
+def prediction_uncertainty(spark, sf):
+    pts = cut_lineage(points(spark, sf))
+    centres = cut_lineage(sampling.subsample(pts, 200).withColumn("c", (hash_uniform("id", "coef") - 0.3) * 0.1))
+    g = kernels.cross_apply(pts, centres, K15, ["c"]).select("id", F.col("k_c").alias("g"))
+    return solver.predictive_std(pts.join(g, "id"), centres, K15, GLOBAL_PRESETS["euclidean"].lambda_global)
+
+
+@query("square_experiment")
+def square_experiment(spark, sf):
+    """Recovery of the known surface from a sample of the derived unit-square data, predicted on the regular grid."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    out = experiments.square_experiment(e)
+    return out.groupBy("alpha_true").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("alpha_null").alias("mean_alpha"), F.avg(F.abs(F.col("alpha_null") - F.col("alpha_true"))).alias("mae")
+    )
+
+
+# --- cluster structure and designs ---
+
+
+@query("spectral_gap")
+def spectral_gap(spark, sf):
+    _, eig = clustering.spectral_embedding(points(spark, sf), Kernel("rbf", 0.7), k=6, iterations=8)
+    return clustering.eigengap(eig.withColumn("dataset", F.lit("points")), ["dataset"])
+
+
+@query("spectral_scan")
+def spectral_scan(spark, sf):
+    pts = points(spark, sf)
+    emb, eig = clustering.spectral_embedding(pts, Kernel("rbf", 0.7), k=3, iterations=8)
+    blocks = clustering.kmeans(emb, 3, "u").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("dataset", F.lit("points"))
+    gaps = clustering.eigengap(eig.withColumn("dataset", F.lit("points")), ["dataset"], ignore_first=True)
+    return clustering.structure_report(gaps, blocks)
+
+
+@query("kmeans_signal_clusters")
+def kmeans_signal_clusters(spark, sf):
+    rows = cut_lineage(clustering.kmeans(points(spark, sf), 5))
+    return sampling.evaluation_data(rows, "medium", "medium", group="cluster").groupBy("cluster", "is_signal").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("label").alias("null_share")
+    )
+
+
+MEDOID = f"""{MODEL}, ow AS (SELECT a.group_id, a.id, sum(k) AS s FROM km JOIN pts a ON a.id=i JOIN pts b ON b.id=j WHERE a.group_id=b.group_id AND i<>j GROUP BY 1,2)"""
+
+
+@query(
+    "cluster_medoids",
+    f"""WITH {MEDOID} SELECT group_id, arg_max(id, s) AS medoid FROM ow GROUP BY 1""",
+)
+def cluster_medoids(spark, sf):
+    return clustering.medoids(points(spark, sf), K15, "group_id")
+
+
+@query(
+    "seed_and_grow",
+    f"""WITH {MEDOID}, m AS (SELECT arg_max(id, s) AS id FROM ow WHERE group_id=0),
+r AS (SELECT i AS id, row_number() OVER (ORDER BY k, {hash_sql('i', 'tie')}, i) AS r, count(*) OVER () AS n FROM km WHERE j=(SELECT id FROM m))
+SELECT id, (CASE WHEN r>n-floor(n*0.2e0) THEN 0 ELSE 1 END)::int AS label FROM r""",
+)
+def seed_and_grow(spark, sf):
+    pts = cut_lineage(points(spark, sf))
+    med = clustering.medoids(pts.where("group_id = 0"), K15, "group_id").select(F.col("medoid").alias("id"))
+    seeds = pts.join(med, "id", "left_semi")
+    return clustering.seed_and_grow(pts, seeds, K15).select("id", "label")
+
+
+@query("mixed_cluster_sample")
+def mixed_cluster_sample(spark, sf):
+    rows = points(spark, sf).select("id", F.col("group_id").alias("cluster"))
+    out = clustering.mixed_cluster_sample(rows, n_total=120)
+    return out.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("four_group_sample")
+def four_group_sample(spark, sf):
+    rows = cut_lineage(points(spark, sf).select("id", "v", F.col("group_id").alias("cluster")))
+    out = clustering.four_group_sample(rows, K15, signal=0, quotas=(20, 60, 12, 100), compact=1)
+    return out.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ward_selection")
+def ward_selection(spark, sf):
+    pool = cut_lineage(sampling.candidate_pool(points(spark, sf), 10000).withColumn("dataset", F.lit("points")))
+    out = clustering.ward_selection(pool.select("dataset", "id", "v"))
+    return out.groupBy("selected", "n_cut").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("similarity_selection")
+def similarity_selection(spark, sf):
+    pool = cut_lineage(sampling.candidate_pool(points(spark, sf), 1000).withColumn("dataset", F.lit("points")))
+    out = clustering.similarity_selection(pool, 60, 3)
+    return out.groupBy("cluster", "objective").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "local_outlier_factor",
+    """WITH pts AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings), pr AS (SELECT a.id AS i, b.id AS j, list_distance(a.v,b.v) AS d FROM pts a, pts b WHERE a.id<>b.id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pr) WHERE r<=20), kd AS (SELECT i, max(d) AS kd FROM nn GROUP BY 1),
+lr AS (SELECT nn.i, 1e0/(avg(greatest(d,kd))+1e-10) AS l FROM nn JOIN kd ON kd.i=nn.j GROUP BY 1)
+SELECT nn.i AS id, round(avg(b.l)/max(a.l),6) AS lof, CASE WHEN avg(b.l)/max(a.l)>1.5e0 THEN 1e0 ELSE -1e0 END AS score FROM nn JOIN lr b ON b.i=nn.j JOIN lr a ON a.i=nn.i GROUP BY 1""",
+)
+def local_outlier_factor(spark, sf):
+    return clustering.local_outlier_scores(Points.pack(points(spark, sf))).select("id", rnd("lof").alias("lof"), "score")
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf):
+    return clustering.isolation_scores(points(spark, sf))
