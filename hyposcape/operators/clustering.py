@@ -301,7 +301,9 @@ def similarity_selection(df: DataFrame, n: int, n_clusters: int, sigma_factor: f
         np.fill_diagonal(k, 0.0)
         seeds = [int(k.sum(1).argmax())]
         while len(seeds) < n_clusters:
-            seeds.append(int(k[:, seeds].max(1).argmin()))
+            far = k[:, seeds].max(1)
+            far[seeds] = np.inf
+            seeds.append(int(far.argmin()))
         lab = np.full(len(k), -1)
         lab[seeds] = np.arange(n_clusters)
         s = np.stack([k[:, [c]].sum(1) for c in seeds], 1)

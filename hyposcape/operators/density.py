@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip, gaussian_shift_density, norm_pdf, valid_p, z_left, z_right
+from ..session import cut_lineage
 from .ordered import GROUP, attach, quantile_row
 
 
@@ -94,15 +95,17 @@ def kde_1d(df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] =
         ),
     )
     near = near.withColumn("_he", herm)
-    fact = [math.factorial(k) for k in range(TERMS)]
-    local = []
-    for j in range(TERMS):
-        terms = [F.col(f"m{k}") * F.col("_he")[j + k] / F.lit(float(fact[k])) for k in range(TERMS)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        local.append(F.sum(total * F.lit((-1.0) ** j / fact[j])).alias(f"l{j}"))
-    poly = near.groupBy(*keys, "_box").agg(*local)
+    # local coefficient j = (-1)^j / j! * sum_k m_k / k! * he_{k+j}, as small array dot products
+    scaled = F.array(*[F.col(f"m{k}") / F.lit(float(math.factorial(k))) for k in range(TERMS)])
+    coef = F.transform(
+        F.sequence(F.lit(1), F.lit(TERMS)),
+        lambda j: F.aggregate(
+            F.zip_with("_m", F.slice("_he", j, F.lit(TERMS)), lambda m, h: m * h), F.lit(0.0), lambda acc, x: acc + x
+        ),
+    )
+    near = near.withColumn("_m", scaled).withColumn("_loc", coef)
+    sign = [(-1.0) ** j / math.factorial(j) for j in range(TERMS)]
+    poly = near.groupBy(*keys, "_box").agg(*[F.sum(F.col("_loc")[j] * F.lit(sign[j])).alias(f"l{j}") for j in range(TERMS)])
     out_rows = attach(rows, poly, [*keys, "_box"])
     value_col = F.col(f"l{TERMS - 1}")
     for j in range(TERMS - 2, -1, -1):
@@ -112,10 +115,10 @@ def kde_1d(df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] =
     return out_rows.withColumn(out, dens).drop(*drop)
 
 
-def empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+def empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = (), z: str | None = None) -> DataFrame:
     """Right-tail anchored null: ``delta`` = median z, ``sigma`` = max(1, (q75 - median) / 0.6745), bandwidth ``h``,
-    ``pi0`` and ``n`` per group, all from the valid p-values."""
-    z = df.where(valid_p(p)).withColumn("_z", z_left(p))
+    ``pi0`` and ``n`` per group, all from the valid p-values.  ``z`` names a column ``_z`` that is already there."""
+    z = df if z else cut_lineage(df.where(valid_p(p)).select(*by, p, z_left(p).alias("_z")))
     q = quantile_row(z, "_z", {"delta": 0.5, "q75": 0.75}, by)
     s = z.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -137,10 +140,10 @@ def with_empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) ->
     The scale of f1 (``pi0_temp``) is the smallest ratio of the density to the null right of the median, over
     the same batch of rows the densities are evaluated on.
     """
-    params = empirical_null(df, p, by)
+    rows = cut_lineage(df.where(valid_p(p)).withColumn("_z", z_left(p)))
+    params = cut_lineage(empirical_null(rows, p, by, z="_z"))
     table = params.select(*by, "delta", "sigma", F.col("pi0").alias("_pi0"), F.col("n").alias("_nv"))
-    rows = df.where(valid_p(p)).withColumn("_z", z_left(p))
-    rows = kde_1d(rows, "_z", params.select(*by, "h", "n"), by, "_kde")
+    rows = cut_lineage(kde_1d(rows, "_z", params.select(*by, "h", "n"), by, "_kde"))
     rows = attach(rows, table, by).withColumn("_null", norm_pdf("_z", F.col("delta"), F.col("sigma")))
     ratio = F.col("_kde") / (F.col("_null") + F.lit(1e-10))
     temp = rows.groupBy(*by).agg(

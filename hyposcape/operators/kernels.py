@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BLOCK_ROWS = 1024
+BLOCK_BYTES = 64 << 20
+STRIP_CELLS = 4_000_000
 MAX_CENTRES = 20000
 
 
@@ -79,12 +80,13 @@ def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def distances(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
-    """Euclidean distances of two blocks by the Gram identity; zero on the diagonal of a block with itself."""
+def distances(a: np.ndarray, b: np.ndarray, same: bool, offset: int = 0) -> np.ndarray:
+    """Euclidean distances by the Gram identity.  ``same``: row i of a is row i + offset of b, so that cell is zero."""
     sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     d = np.sqrt(np.maximum(sq, 0.0))
     if same:
-        np.fill_diagonal(d, 0.0)
+        i = np.arange(len(a))
+        d[i, i + offset] = 0.0
     return d
 
 
@@ -94,10 +96,18 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def block_count(df: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
-    """Blocks of at most ~block_rows points; small inputs still get a few blocks so that tasks run side by side."""
-    n = df.count()
-    return max(1, math.ceil(n / block_rows), min(4, math.ceil(n / 256)))
+def block_count(df: DataFrame, features: str = "v", block_rows: int | None = None) -> int:
+    """How many blocks to cut the points into.
+
+    Every block travels to every other, so the traffic is points * blocks: as few blocks as give the cluster
+    some four block pairs per core, but none above 64 MiB of features.
+    """
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
+    n, d = size["n"], size["d"] or 1
+    if block_rows:
+        return max(1, math.ceil(n / block_rows))
+    for_cores = math.ceil(math.sqrt(8 * df.sparkSession.sparkContext.defaultParallelism))
+    return max(1, math.ceil(n * d * 8 / BLOCK_BYTES), min(for_cores, math.ceil(n / 64)))
 
 
 def to_blocks(df: DataFrame, n_blocks: int, features: str = "v", key: str = "id", extra: Sequence[str] = ()) -> DataFrame:
@@ -112,12 +122,23 @@ def to_blocks(df: DataFrame, n_blocks: int, features: str = "v", key: str = "id"
 
 @dataclass
 class Block:
-    """One side of a block pair inside a task."""
+    """One side of a block pair inside a task.  The left side comes in strips of rows; ``offset`` is the strip's first
+    row within its block."""
 
     blk: int
     ids: np.ndarray
     x: np.ndarray
     extra: dict[str, np.ndarray]
+    offset: int = 0
+
+    def strip(self, at: int, rows: int) -> Block:
+        to = slice(at, at + rows)
+        return Block(self.blk, self.ids[to], self.x[to], {c: v[to] for c, v in self.extra.items()}, at)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of a strip against its whole block that pair a point with itself."""
+        i = np.arange(len(self.ids))
+        return i, i + self.offset
 
 
 def pair_reduce(
@@ -127,20 +148,23 @@ def pair_reduce(
     n_right: int,
     reduce: Callable[[Block, Block, np.ndarray], Iterator[pd.DataFrame]],
     schema: str,
+    triangle: bool = True,
 ) -> DataFrame:
     """Let every block of ``left`` meet every block of ``right`` and emit what ``reduce`` returns.
 
-    ``right=None`` pairs ``left`` with itself and visits each unordered pair of blocks once.
+    ``right=None`` pairs ``left`` with itself; with ``triangle`` each unordered pair of blocks is visited once.
+    Inside a task the left block is worked through in strips, so the dense part stays small.
     """
-    triangle = right is None
-    right = left if right is None else right
-    tasks = min(20000, n_left * (n_left + 1) // 2 if triangle else n_left * n_right)
+    alone = right is None
+    half = alone and triangle
+    right = left if alone else right
+    tasks = min(20000, n_left * (n_left + 1) // 2 if half else n_left * n_right)
     extra_l = [c for c in left.columns if c not in ("blk", "ids", "x")]
     extra_r = [c for c in right.columns if c not in ("blk", "ids", "x")]
-    lo = F.col("blk") if triangle else F.lit(0)
+    lo = F.col("blk") if half else F.lit(0)
     a = left.withColumn("bj", F.explode(F.sequence(lo, F.lit(n_right - 1))))
     a = a.select(F.col("blk").alias("bi"), "bj", *[F.col(c).alias(f"l_{c}") for c in ("ids", "x", *extra_l)])
-    hi = F.col("blk") if triangle else F.lit(n_left - 1)
+    hi = F.col("blk") if half else F.lit(n_left - 1)
     b = right.withColumn("bi", F.explode(F.sequence(F.lit(0), hi)))
     b = b.select("bi", F.col("blk").alias("bj"), *[F.col(c).alias(f"r_{c}") for c in ("ids", "x", *extra_r)])
     met = a.repartition(tasks, "bi", "bj").join(b.repartition(tasks, "bi", "bj"), ["bi", "bj"])
@@ -150,8 +174,10 @@ def pair_reduce(
             for row in pdf.to_dict("records"):
                 li = Block(row["bi"], row["l_ids"], unpack(row["l_x"], len(row["l_ids"])), {c: row[f"l_{c}"] for c in extra_l})
                 rj = Block(row["bj"], row["r_ids"], unpack(row["r_x"], len(row["r_ids"])), {c: row[f"r_{c}"] for c in extra_r})
-                same = triangle and li.blk == rj.blk
-                yield from reduce(li, rj, distances(li.x, rj.x, same))
+                step = max(1, STRIP_CELLS // len(rj.ids))
+                for at in range(0, len(li.ids), step):
+                    part = li.strip(at, step)
+                    yield from reduce(part, rj, distances(part.x, rj.x, alone and li.blk == rj.blk, at))
 
     return met.mapInPandas(run, schema)
 
@@ -168,15 +194,14 @@ class Points:
     n_blocks: int
 
     @classmethod
-    def pack(cls, df: DataFrame, extra: Sequence[str] = (), block_rows: int = BLOCK_ROWS, materialise: bool = True) -> Points:
-        nb = block_count(df, block_rows)
+    def pack(cls, df: DataFrame, extra: Sequence[str] = (), block_rows: int | None = None, materialise: bool = True) -> Points:
+        nb = block_count(df, "v", block_rows)
         b = to_blocks(df, nb, extra=extra)
         return cls(cut_lineage(b) if materialise else b, nb)
 
-    def reduce(self, fn, schema: str, other: Points | None = None) -> DataFrame:
-        return pair_reduce(
-            self.blocks, None if other is None else other.blocks, self.n_blocks, (other or self).n_blocks, fn, schema
-        )
+    def reduce(self, fn, schema: str, other: Points | None = None, triangle: bool = True) -> DataFrame:
+        right = None if other is None else other.blocks
+        return pair_reduce(self.blocks, right, self.n_blocks, (other or self).n_blocks, fn, schema, triangle)
 
 
 def row_sums(pts: Points, kernels: dict[str, Kernel], jitter: float = 0.0) -> DataFrame:
@@ -196,20 +221,21 @@ def row_sums(pts: Points, kernels: dict[str, Kernel], jitter: float = 0.0) -> Da
 def group_similarity(pts: Points, kernel: Kernel, group: str) -> DataFrame:
     """Per point and group: sum and number of kernel values to that group's other points (self left out)."""
 
-    def side(ids, k, groups, drop_self):
+    def side(ids, k, groups, me):
         frames = []
         for g in np.unique(groups):
             m = groups == g
             s, c = k[:, m].sum(1), np.full(len(ids), m.sum())
-            if drop_self is not None:
-                s, c = s - np.where(m, drop_self, 0.0), c - m
+            if me is not None:
+                mine = m[me[1]]
+                s, c = s - np.where(mine, k[me], 0.0), c - mine
             frames.append(pd.DataFrame({"id": ids, "other": int(g), "s": s, "c": c.astype("int64")}))
         return pd.concat(frames)
 
     def fn(a: Block, b: Block, d: np.ndarray):
         k = kernel.of_distance(d)
         same = a.blk == b.blk
-        yield side(a.ids, k, b.extra[group], np.diag(k) if same else None)
+        yield side(a.ids, k, b.extra[group], a.own() if same else None)
         if not same:
             yield side(b.ids, k.T, a.extra[group], None)
 
@@ -232,7 +258,8 @@ def _types(a: Block, b: Block, label: str | None) -> np.ndarray:
     """Pair code per cell: 0 signal-signal, 1 cross, 2 null-null; -1 for cells that are not counted."""
     code = np.zeros((len(a.ids), len(b.ids)), dtype=int) if label is None else a.extra[label][:, None] + b.extra[label][None, :]
     if a.blk == b.blk:
-        code = np.where(np.triu(np.ones(code.shape, bool), 1), code, -1)
+        later = np.arange(len(b.ids))[None, :] > (np.arange(len(a.ids)) + a.offset)[:, None]
+        code = np.where(later, code, -1)
     return code
 
 
@@ -363,7 +390,7 @@ def neighbours(pts: Points, k: int, include_self: bool = False, other: Points |
         same = alone and a.blk == b.blk
         if same and not include_self:
             d = d.copy()
-            np.fill_diagonal(d, np.inf)
+            d[a.own()] = np.inf
         yield best(a.ids, b.ids, d)
         if alone and not same:
             yield best(b.ids, a.ids, d.T)
@@ -401,14 +428,12 @@ class BlockKernel:
         def fn(a: Block, b: Block, d: np.ndarray):
             k = kernel.of_distance(d)
             if a.blk == b.blk and jitter:
-                k = k + jitter * np.eye(len(k))
+                k[a.own()] += jitter
             if scale:
                 k = a.extra[scale][:, None] * k * b.extra[scale][None, :]
             yield pd.DataFrame({"bi": [a.blk], "bj": [b.blk], "ids": [a.ids], "k": [k.ravel()]})
-            if a.blk != b.blk:
-                yield pd.DataFrame({"bi": [b.blk], "bj": [a.blk], "ids": [b.ids], "k": [k.T.ravel()]})
 
-        blocks = pts.reduce(fn, "bi int, bj int, ids array<bigint>, k array<double>")
+        blocks = pts.reduce(fn, "bi int, bj int, ids array<bigint>, k array<double>", triangle=False)
         # kept where the vector blocks come to meet them; a lost partition is rebuilt from the checkpointed points
         blocks = blocks.repartition(min(2000, pts.n_blocks), "bj").persist(StorageLevel.MEMORY_AND_DISK)
         return cls(blocks, pts.n_blocks)

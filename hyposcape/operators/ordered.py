@@ -26,7 +26,6 @@ from ..session import order_buckets
 GROUP = "_g"
 BUCKET = "_b"
 SUB = "_sub"
-SAMPLE_BYTES = 256 << 20
 
 
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -44,16 +43,20 @@ class Order:
 
 
 def plan_order(df: DataFrame, value: str, n_buckets: int | None = None) -> Order:
-    """Cut points from a bounded sample of the column (at most n-1 of them reach the driver)."""
-    n = n_buckets or order_buckets(df.sparkSession)
+    """Cut points from a mergeable quantile sketch of the column; at most n-1 numbers reach the driver.
+
+    ``hyposcape.order.sampleFraction`` lets a very large input be sketched from a sample.
+    """
+    spark = df.sparkSession
+    n = n_buckets or order_buckets(spark)
     column = df.select(F.col(value).cast("double").alias(value))
-    size = int(str(column._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     probs = [i / n for i in range(1, n)]
     error = 1.0 / (4 * n)
+    fraction = float(spark.conf.get("hyposcape.order.sampleFraction", "1.0"))
     cuts: list[float] = []
-    if size > SAMPLE_BYTES:
-        cuts = column.sample(SAMPLE_BYTES / size, seed=7).approxQuantile(value, probs, error)
-    if len(set(cuts)) < n // 4:
+    if fraction < 1.0:
+        cuts = column.sample(fraction, seed=7).approxQuantile(value, probs, error)
+    if not cuts:
         cuts = column.approxQuantile(value, probs, error)
     finite = [c for c in cuts if math.isfinite(c)]
     hot = {c for c, times in Counter(finite).items() if times > 1}
@@ -197,12 +200,16 @@ HASH_SPAN = 4294967296
 
 def hash_bucket(key: str, salt: str, n_buckets: int) -> Column:
     """Ordered bucket of the hash; uniform by construction, so no sampling is needed."""
-    return F.floor(hash32(key, salt) * F.lit(n_buckets) / F.lit(float(HASH_SPAN))).cast("int")
+    return bucket_of_hash(hash32(key, salt), n_buckets)
+
+
+def bucket_of_hash(h: Column, n_buckets: int) -> Column:
+    return F.floor(h * F.lit(n_buckets) / F.lit(float(HASH_SPAN))).cast("int")
 
 
 def with_hash_order(df: DataFrame, key: str, salt: str) -> DataFrame:
     n = order_buckets(df.sparkSession)
-    return df.withColumn("_h", hash32(key, salt)).withColumn(BUCKET, hash_bucket(key, salt, n))
+    return df.withColumn("_h", hash32(key, salt)).withColumn(BUCKET, bucket_of_hash(F.col("_h"), n))
 
 
 def hash_rank(df: DataFrame, key: str, salt: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -239,14 +239,21 @@ def fit_pointwise(
     jitter: float = 1e-6,
     dense_limit: int = DENSE_LIMIT,
 ) -> DataFrame:
-    """Stage 1 per dataset: (by, id, v, f0, f1) -> adds ``c``, ``alpha`` (clipped to [0, 1]) and ``alpha_raw``."""
+    """Stage 1 per dataset: (by, id, v, f0, f1) -> adds ``c``, ``alpha`` (clipped to [0, 1]) and ``alpha_raw``.
+
+    Group columns named like a solver setting (``lambda_reg`` ...) or ``sigma_factor`` override that setting for
+    their group, so a whole grid runs side by side.
+    """
     check_bounded(df, by, dense_limit)
+    own = [b for b in by if b in {f.name for f in fields(SolverConfig)}]
     cols = [*by, "id", "v", "f0", "f1"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        k = gram(pdf, kernel, sigma_factor, jitter)
-        c, _ = descend(k, pdf.f0.to_numpy(), pdf.f1.to_numpy(), cfg)
+        first = pdf.iloc[0]
+        k = gram(pdf, kernel, float(first.sigma_factor) if "sigma_factor" in by else sigma_factor, jitter)
+        conf = replace(cfg, **{b: float(first[b]) for b in own})
+        c, _ = descend(k, pdf.f0.to_numpy(), pdf.f1.to_numpy(), conf)
         a = k @ c
         return pdf.drop(columns="v").assign(c=c, alpha_raw=a, alpha=np.clip(a, 0, 1))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hash_uniform, local_fdr
 from ..operators import clustering, density, features, kernels, metrics, sampling, testing, tuning
 from ..operators.kernels import Kernel
+from ..operators.ordered import hash_take
 from ..operators.solver import GLOBAL_PRESETS, GlobalConfig, SolverConfig, fit_pointwise, fit_stage2
 from ..session import cut_lineage
 
@@ -20,27 +20,24 @@ def replicates(
 ) -> DataFrame:
     """Evaluation sets side by side: (condition, seed, id, v, label, p), each a fresh sample with fresh labels.
 
-    Every replicate draws its rows first and only then assigns labels, so the copies stay small.
+    One pass draws the row keys of all replicates; only the drawn rows (n_samples * reps of them, broadcast) meet
+    the features again, and the conditions are unfolded on those.
     """
-    parts = []
     signal = sampling.signal_groups(points, group).withColumn("is_signal", F.lit(True))
-    flags = points.select(group).distinct().join(signal, group, "left").select(group, F.coalesce("is_signal", F.lit(False)).alias("is_signal"))
-    for seed in range(reps):
-        drawn = sampling.subsample(points, n_samples, seed=100 + seed).join(F.broadcast(flags), group)
-        for s in strengths:
-            inside, outside = sampling.CLUSTER_STRENGTH[s]
-            null_prob = F.when(F.col("is_signal"), inside).otherwise(outside)
-            lab = F.when(hash_uniform("id", f"lab|{s}|{seed}") < null_prob, 1).otherwise(0).cast("int")
-            parts.append(
-                sampling.p_values(drawn.withColumn("label", lab), effect, seed=1000 + seed)
-                .withColumn("condition", F.lit(s))
-                .withColumn("seed", F.lit(seed))
-                .select("condition", "seed", "id", "v", "label", "p")
-            )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    seeds = points.select("id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    seeds = seeds.withColumn("key", F.concat_ws("|", F.col("id").cast("string"), F.col("seed").cast("string")))
+    drawn = hash_take(seeds, "key", "rep", n_samples, ["seed"])
+    rows = points.select("id", "v", group).join(F.broadcast(drawn), "id")
+    rows = rows.join(F.broadcast(signal), group, "left").withColumn("is_signal", F.coalesce("is_signal", F.lit(False)))
+    table = F.array(*[
+        F.struct(F.lit(s).alias("condition"), *[F.lit(x).alias(n) for n, x in zip(("inside", "outside"), sampling.CLUSTER_STRENGTH[s])])
+        for s in strengths
+    ])
+    rows = cut_lineage(rows).select("*", F.inline(table))
+    null_prob = F.when(F.col("is_signal"), F.col("inside")).otherwise(F.col("outside"))
+    cell = F.concat_ws("|", "key", "condition")
+    rows = rows.withColumn("label", F.when(hash_uniform(cell, "label") < null_prob, 1).otherwise(0).cast("int"))
+    return sampling.p_values(rows, effect, key="key").select("condition", "seed", "id", "v", "label", "p")
 
 
 def evaluate_sets(sets: DataFrame, kernel: Kernel, cfg: SolverConfig, level: float = 0.1, by: Sequence[str] = ("condition", "seed"), sigma_factor: float | None = None) -> DataFrame:
@@ -59,11 +56,9 @@ def lambda_sensitivity(sets: DataFrame, kernel: Kernel, cfg: SolverConfig, lambd
     """Power and FDR of the spatial method over replicates for each regularisation value."""
 
 
-    logs = None
-    for lam in lambdas:
-        m = evaluate_sets(sets, kernel, replace(cfg, lambda_reg=lam)).where("method = 'spatial'").withColumn("lambda_reg", F.lit(float(lam)))
-        logs = m if logs is None else logs.unionByName(m)
-    return tuning.sensitivity(logs)
+    grid = sets.withColumn("lambda_reg", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
+    runs = evaluate_sets(cut_lineage(grid), kernel, cfg, by=("lambda_reg", "condition", "seed"))
+    return tuning.sensitivity(runs.where("method = 'spatial'"))
 
 
 def euclidean_design(points: DataFrame, targets: Sequence[int], min_size: int, effect: str = "medium", pool: int = 10000, seed: int = 42) -> DataFrame:
@@ -81,13 +76,8 @@ def euclidean_cv(design: DataFrame, sigmas: Sequence[float], cfg: SolverConfig,
     data = cut_lineage(density.with_gaussian_shift(design, by=["dataset"], cap=2000.0, unit_sigma=True))
     data = cut_lineage(sampling.k_folds(data, folds, by=["dataset"]))
     scores = tuning.cross_validate(data, {"sigma_factor": sigmas}, Kernel("rbf"), cfg)
-    best = tuning.best_by_nll(tuning.summarise_folds(scores))
-    choice = {r["dataset"]: r["sigma_factor"] for r in best.select("dataset", "sigma_factor").collect()}  # one row per dataset
-    out = None
-    for name, factor in choice.items():
-        one = fit_pointwise(data.where(F.col("dataset") == name), Kernel("rbf"), cfg, sigma_factor=factor)
-        one = one.withColumn("sigma_factor", F.lit(factor))
-        out = one if out is None else out.unionByName(one)
+    best = tuning.best_by_nll(tuning.summarise_folds(scores)).select("dataset", "sigma_factor")
+    out = fit_pointwise(data.join(best, "dataset"), Kernel("rbf"), cfg, by=("dataset", "sigma_factor"))
     scored = out.withColumn("lfdr", local_fdr("alpha", "f0", "f1", floor=None))
     rows = scored.join(data.select("dataset", "id", "group_id", "label", "p"), ["dataset", "id"])
     return testing.lfdr_step_up(cut_lineage(rows), by=["dataset"], level=level)
