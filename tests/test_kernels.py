@@ -102,3 +102,25 @@ def test_cross_apply_broadcast_and_block_paths_agree(cloud):
     for limit in (100, 10):
         out = kernels.cross_apply(df, centres, Kernel("rbf", 1.0), ["w"], max_centres=limit).toPandas().sort_values("id")
         assert np.allclose(out.k_w, k, atol=1e-6)
+
+
+def test_strips_inside_a_block_change_nothing(cloud, spark, monkeypatch):
+    _, lab, d, df, _ = cloud
+    monkeypatch.setattr(kernels, "STRIP_CELLS", 200)
+    pts = Points.pack(df, extra=["label"], block_rows=50)
+    k = np.exp(-(d**2) / 2)
+    out = kernels.row_sums(pts, {"a": Kernel("rbf", 1.0)}).toPandas().sort_values("id")
+    assert np.allclose(out.a, k.sum(1), atol=1e-6)
+    iu = np.triu_indices(len(d), 1)
+    n = {r.pair_type: r.n for r in kernels.pair_type_stats(pts, Kernel("rbf", 1.0)).collect()}
+    assert sum(n.values()) == len(iu[0])
+    sim = kernels.group_similarity(pts, Kernel("rbf", 1.0), "label").toPandas()
+    assert np.isclose(sim.sim_sum.sum(), (k - np.eye(90)).sum(), atol=1e-6)
+    nn = kernels.neighbours(pts, 3).toPandas()
+    want = np.sort(d + np.diag(np.full(90, np.inf)), axis=1)[:, :3]
+    assert np.allclose(nn.sort_values(["id", "rank"]).d.to_numpy().reshape(-1, 3), want, atol=1e-6)
+    bk = BlockKernel.build(pts, Kernel("rbf", 1.0), jitter=0.1)
+    y = spark.createDataFrame(pd.DataFrame({"id": np.arange(90), "y": np.arange(90.0)}))
+    got = bk.matvec(y).toPandas().sort_values("id").y
+    assert np.allclose(got, (k + 0.1 * np.eye(90)) @ np.arange(90.0), atol=1e-4)
+    bk.release()
