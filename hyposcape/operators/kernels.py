@@ -107,7 +107,7 @@ def block_count(df: DataFrame, features: str = "v", block_rows: int | None = Non
     if block_rows:
         return max(1, math.ceil(n / block_rows))
     for_cores = math.ceil(math.sqrt(8 * df.sparkSession.sparkContext.defaultParallelism))
-    return max(1, math.ceil(n * d * 8 / BLOCK_BYTES), min(for_cores, math.ceil(n / 64)))
+    return max(1, math.ceil(n * d * 8 / BLOCK_BYTES), min(for_cores, math.ceil(n / 256)))
 
 
 def to_blocks(df: DataFrame, n_blocks: int, features: str = "v", key: str = "id", extra: Sequence[str] = ()) -> DataFrame:
@@ -400,6 +400,19 @@ def neighbours(pts: Points, k: int, include_self: bool = False, other: Points |
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def kernel_entries(pts: Points, kernel: Kernel, min_value: float, other: Points | None = None) -> DataFrame:
+    """Entries ``id, nid, k`` of the kernel (or of a rows-by-columns slice of it) that reach ``min_value``: a sparse matrix
+    whose size follows the data, not the number of pairs."""
+    alone = other is None
+
+    def fn(a: Block, b: Block, d: np.ndarray):
+        k = kernel.of_distance(d)
+        i, j = np.nonzero(k >= min_value)
+        yield pd.DataFrame({"id": a.ids[i], "nid": b.ids[j], "k": k[i, j]})
+
+    return pts.reduce(fn, "id bigint, nid bigint, k double", None if alone else other, triangle=False)
+
+
 def location_density(pts: Points, n: int, d: int, bandwidth: float | None = None) -> DataFrame:
     """Gaussian kernel density of every location, with Scott's factor by default.  ``log_density`` keeps the constant
     out of the exponent, so high dimensions do not overflow."""

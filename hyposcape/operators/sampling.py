@@ -202,3 +202,11 @@ def corrupt_labels(df: DataFrame, group: str, fraction: float, key: str = "id",
         "_r", "_r_n"
     )
 
+
+
+def ratio_subsample(df: DataFrame, signal: int, n_total: int = 500, h1_ratio: float = 0.1, group: str = "cluster", key: str = "id") -> DataFrame:
+    """int(n * ratio) signals from one cluster and the remaining quota of nulls from all others; a short signal cluster
+    gives all of its rows."""
+    n1 = int(n_total * h1_ratio)
+    pool = df.withColumn("label", F.when(F.col(group) == signal, 0).otherwise(1).cast("int"))
+    return hash_take(pool, key, "ratio", F.when(F.col("label") == 0, n1).otherwise(n_total - n1), ["label"])

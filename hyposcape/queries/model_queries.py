@@ -12,6 +12,7 @@ from ..plans import experiments
 from ..plans.model import SpatialNullEstimator
 from ..session import cut_lineage
 from ..sources.fixtures import hyp_points, points
+from ..sources.tables import status_log as write_status
 from ..sources.tables import table
 from .registry import POINTS, hash_sql, ppf_sql, query, rnd, uniform_sql
 
@@ -341,3 +342,18 @@ def local_outlier_factor(spark, sf):
 @query("isolation_forest")
 def isolation_forest(spark, sf):
     return clustering.isolation_scores(points(spark, sf))
+
+
+@query("kernel_conditioning")
+def kernel_conditioning(spark, sf):
+    df = cut_lineage(sampling.subsample(points(spark, sf), 500).withColumn("dataset", F.lit("points")))
+    return solver.conditioning(df, K15, jitter=1e-6)
+
+
+@query(
+    "status_log",
+    """SELECT event_type AS dataset, count(*) AS n, CASE WHEN count(*)>=2000 THEN 'OK' ELSE 'FAILED' END AS status, NULL::double AS seconds FROM events GROUP BY 1""",
+)
+def status_log(spark, sf):
+    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    return write_status(counts, 2000)

@@ -187,3 +187,14 @@ def set_difference(spark, sf):
     pts = points(spark, sf)
     chosen = sampling.subsample(pts, 200).select("id")
     return pts.join(chosen, "id", "left_anti").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ratio_subsample",
+    f"""WITH {POINTS}, r AS (SELECT id, (CASE WHEN group_id=3 THEN 0 ELSE 1 END)::int AS label,
+ row_number() OVER (PARTITION BY group_id=3 ORDER BY {hash_sql('id', 'ratio')}, id) AS r FROM pts)
+SELECT id, label FROM r WHERE r<=(CASE WHEN label=0 THEN 20 ELSE 180 END)""",
+)
+def ratio_subsample(spark, sf):
+    rows = points(spark, sf).select("id", F.col("group_id").alias("cluster"))
+    return sampling.ratio_subsample(rows, signal=3, n_total=200).select("id", "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,35 @@ def save_cache(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+BUNDLE = ("edges", "genes", "positives", "pathways")
+
+
+def save_bundle(folder: str, **tables: DataFrame) -> None:
+    """Graph benchmark as tables partitioned by (benchmark, dataset): edges (src, dst, w), genes (id, p), positives
+    (pathway), pathways (pathway, gene).  Plain tables take the place of a pickled object."""
+    for name in BUNDLE:
+        tables[name].write.mode("overwrite").partitionBy("benchmark", "dataset").parquet(f"{folder}/{name}")
+
+
+def load_bundle(
+    spark: SparkSession, folder: str, benchmarks: list[str] | None = None, max_datasets: int | None = None
+) -> dict[str, DataFrame]:
+    """Read a bundle; the benchmark filter prunes partitions.  ``max_datasets`` keeps the first datasets by name of each
+    benchmark, an option of the benchmark settings."""
+    out = {n: spark.read.parquet(f"{folder}/{n}") for n in BUNDLE}
+    if benchmarks is not None:
+        out = {n: t.where(F.col("benchmark").isin(*benchmarks)) for n, t in out.items()}
+    if max_datasets is not None:
+        names = out["genes"].select("benchmark", "dataset").distinct()
+        rank = F.row_number().over(W.partitionBy("benchmark").orderBy("dataset"))
+        keep = names.withColumn("_r", rank).where(F.col("_r") <= max_datasets).drop("_r")
+        out = {n: t.join(keep, ["benchmark", "dataset"], "left_semi") for n, t in out.items()}
+    return out
+
+
+def status_log(counts: DataFrame, expected: int, seconds: float | None = None) -> DataFrame:
+    """Run log: one row per dataset with its count, OK / FAILED and the elapsed seconds.  counts: (dataset, n)."""
+    status = F.when(F.col("n") >= expected, "OK").otherwise("FAILED")
+    return counts.withColumn("status", status).withColumn("seconds", F.lit(seconds).cast("double"))

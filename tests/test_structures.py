@@ -200,3 +200,26 @@ def test_settings_round_trip(tmp_path):
 def test_points_survive_checkpoint(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id bigint, v array<double>")
     assert Points.pack(df).blocks.selectExpr("sum(size(ids)) s").first().s == 10
+
+
+def test_bundle_logs_and_caches(spark, tmp_path):
+    from hyposcape.sources import tables
+
+    keys = [("A", "d1"), ("A", "d2"), ("B", "d3")]
+    make = lambda cols, rows: spark.createDataFrame([(*k, *r) for k in keys for r in rows], f"benchmark string, dataset string, {cols}")
+    tables.save_bundle(
+        str(tmp_path / "b"),
+        edges=make("src long, dst long, w double", [(1, 2, 1.0), (2, 1, 1.0)]),
+        genes=make("id long, p double", [(1, 0.1), (2, 0.2)]),
+        positives=make("pathway string", [("x",)]),
+        pathways=make("pathway string, gene long", [("x", 1), ("x", 2)]),
+    )
+    got = tables.load_bundle(spark, str(tmp_path / "b"), ["A"], 1)
+    assert got["genes"].count() == 2 and got["edges"].select("dataset").distinct().collect()[0][0] == "d1"
+    log = metrics.compute_metrics(spark.createDataFrame([(0, True)], "label int, rejected boolean")).withColumn("dataset", F.lit("d"))
+    tables.save_log(log, str(tmp_path / "log"))
+    back = tables.load_log(spark, str(tmp_path / "log"), log.schema.simpleString()[7:-1].replace(":", " "))
+    assert back.first().TP == 1
+    tables.save_cache(log, str(tmp_path / "cache"), ["dataset"])
+    assert tables.load_cache(spark, str(tmp_path / "cache")).count() == 1
+    assert tables.list_datasets(spark, str(tmp_path / "cache" / "dataset=d")).count() == 1
