@@ -56,8 +56,11 @@ def spectral_embedding(
         dot = lambda c: F.aggregate(F.zip_with("y", c, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
         return a.select("id", F.array(*[dot(c) for c in cols]).alias("y"))
 
-    for _ in range(iterations):
+    for step in range(iterations):
         g = cut_lineage(bk.matvec(y, p))
+        if step % 2 == 0 and step < iterations - 1:  # eigenvalues are at most one, so every other step may go unscaled
+            y = g
+            continue
         vals, vecs = np.linalg.eigh(inner(g, "y", "y"))
         y = cut_lineage(rotate(g, vecs / np.sqrt(np.maximum(vals, 1e-300)), p))
     both = cut_lineage(y.join(bk.matvec(y, p).withColumnRenamed("y", "ay"), "id"))
