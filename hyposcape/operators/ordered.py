@@ -21,11 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
-from ..session import order_buckets
+from ..session import cut_lineage, order_buckets
 
 GROUP = "_g"
 BUCKET = "_b"
 SUB = "_sub"
+MAX_SMALL = 200_000
 
 
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -96,6 +97,17 @@ def prefix_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], measur
     return df
 
 
+def settle(table: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Materialise a per-bucket table once and say whether it may be broadcast: without groups it has at most one
+    row per bucket, with groups its rows are counted."""
+    done = cut_lineage(table)
+    return done, not by or done.count() <= MAX_SMALL
+
+
+def hinted(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
 def cumulate(
     df: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = (), order: Order | None = None
 ) -> DataFrame:
@@ -106,7 +118,7 @@ def cumulate(
     base, keys = keyed(df, by)
     b = with_bucket(base, value, order or plan_order(base, value))
     totals = b.groupBy(*keys, BUCKET).agg(*[F.sum(m).alias(m) for m in measures])
-    totals = prefix_over(totals, keys, [BUCKET], measures)
+    totals, tiny = settle(prefix_over(totals, keys, [BUCKET], measures), by)
     whole = W.partitionBy(*keys)
     offsets = totals.select(
         *keys,
@@ -115,7 +127,7 @@ def cumulate(
         *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
     )
     local = W.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    out = b.join(offsets, [*keys, BUCKET])
+    out = b.join(hinted(offsets, tiny), [*keys, BUCKET])
     for m in measures:
         out = out.withColumn(f"{m}_before", F.col(f"_{m}_off") + F.sum(m).over(local) - F.col(m))
     return out.drop(BUCKET, GROUP, *[f"_{m}_off" for m in measures])
@@ -158,15 +170,16 @@ def select_by_rank(
         ranks = ranks.withColumn(GROUP, F.lit(0))
     b = with_bucket(base, value, order or plan_order(base, value))
     totals = prefix_over(b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
+    totals, tiny = settle(totals, [k for k in keys if k != GROUP])
     wanted = totals.join(ranks, keys).where(
         (F.col("rank") >= F.col("cnt_before")) & (F.col("rank") < F.col("cnt_before") + F.col("cnt"))
     )
     places = wanted.groupBy(*keys, BUCKET).agg(F.first("cnt_before").alias("off"), F.collect_set("rank").alias("rs"))
-    inside = b.join(places.select(*keys, BUCKET, "off"), [*keys, BUCKET])
+    inside = b.join(hinted(places.select(*keys, BUCKET, "off"), tiny), [*keys, BUCKET])
     inside = inside.groupBy(*keys, BUCKET, "off", value).agg(F.count(F.lit(1)).alias("cnt"))
     w = W.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("hi", F.col("off") + F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt"))
-    hit = inside.join(places.select(*keys, BUCKET, "rs"), [*keys, BUCKET]).select(
+    hit = inside.join(hinted(places.select(*keys, BUCKET, "rs"), tiny), [*keys, BUCKET]).select(
         *keys, F.col(value), F.explode(F.filter("rs", lambda r: (r >= F.col("lo")) & (r < F.col("hi")))).alias("rank")
     )
     return hit if GROUP in by else hit.drop(GROUP)
@@ -219,8 +232,9 @@ def hash_rank(df: DataFrame, key: str, salt: str, by: Sequence[str] = (), out: s
     sizes = sizes.select(
         *keys, BUCKET, F.col("cnt_before").alias("_off"), F.sum("cnt").over(W.partitionBy(*keys)).alias(f"{out}_n")
     )
+    sizes, tiny = settle(sizes, by)
     local = W.partitionBy(*keys, BUCKET).orderBy("_h", key)
-    ranked = base.join(sizes, [*keys, BUCKET]).withColumn(out, F.row_number().over(local) - 1 + F.col("_off"))
+    ranked = base.join(hinted(sizes, tiny), [*keys, BUCKET]).withColumn(out, F.row_number().over(local) - 1 + F.col("_off"))
     return ranked.drop("_h", BUCKET, "_off", GROUP)
 
 
@@ -234,9 +248,9 @@ def hash_take(df: DataFrame, key: str, salt: str, quota: Column | int, by: Seque
     sizes = prefix_over(base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
     sizes = sizes.withColumn("_n", F.sum("cnt").over(W.partitionBy(*keys)))
     want = quota if isinstance(quota, Column) else F.lit(quota)
-    sizes = sizes.withColumn("_left", want - F.col("cnt_before")).where("_left > 0")
+    sizes, tiny = settle(sizes.withColumn("_left", want - F.col("cnt_before")).where("_left > 0"), by)
     cols = df.columns
-    picked = base.join(sizes.select(*keys, BUCKET, "cnt", "_left"), [*keys, BUCKET])
+    picked = base.join(hinted(sizes, tiny).select(*keys, BUCKET, "cnt", "_left"), [*keys, BUCKET])
     whole = picked.where("cnt <= _left").select(*cols)
     edge = picked.where("cnt > _left").withColumn("_r", F.row_number().over(W.partitionBy(*keys, BUCKET).orderBy("_h", key)))
     return whole.unionByName(edge.where("_r <= _left").select(*cols))
@@ -264,8 +278,9 @@ def ordered_rows(
         F.min("c_before").over(W.partitionBy(*keys, BUCKET)).alias("_v0"),
         F.sum("c").over(W.partitionBy(*keys)).alias("rk_n"),
     )
+    sizes, tiny = settle(sizes, by)
     hot = F.col(BUCKET).isin(*order.hot) if order.hot else F.lit(False)
-    return rows.join(sizes, cell).withColumn("_hot", hot), cell
+    return rows.join(hinted(sizes, tiny), cell).withColumn("_hot", hot), cell
 
 
 def row_prefix(

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash32
 from .ordered import (
     BUCKET,
-    SUB,
-    average_rank,
     GROUP,
+    SUB,
     attach,
+    average_rank,
+    hinted,
     keyed,
     numbers,
     ordered_rows,
     plan_order,
     prefix_over,
     row_prefix,
+    settle,
     value_ranks,
     with_bucket,
     with_hash_order,
@@ -45,9 +47,10 @@ def bh_threshold(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: flo
     line = (F.col("cnt_before") + F.col("cnt")) / F.col("n") * F.lit(level)
     stats = stats.withColumn("sure", F.col("hi") <= line).withColumn("maybe", F.col("lo") <= line)
     stats = stats.withColumn("top", F.coalesce(F.max(F.when(F.col("sure"), F.col(BUCKET))).over(whole), F.lit(-1)))
+    stats, tiny = settle(stats, by)
     settled = stats.groupBy(*keys).agg(F.max(F.when(F.col("sure"), F.col("hi"))).alias("t1"), F.first("n").alias("n"))
     unsettled = stats.where((F.col(BUCKET) > F.col("top")) & F.col("maybe")).select(*keys, BUCKET, "cnt_before", "n")
-    inside = b.join(unsettled, [*keys, BUCKET]).groupBy(*keys, BUCKET, "cnt_before", "n", "_p")
+    inside = b.join(hinted(unsettled, tiny), [*keys, BUCKET]).groupBy(*keys, BUCKET, "cnt_before", "n", "_p")
     inside = inside.agg(F.count(F.lit(1)).alias("cnt"))
     local = W.partitionBy(*keys, BUCKET).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("rank", F.col("cnt_before") + F.sum("cnt").over(local))
@@ -123,9 +126,10 @@ def step_up_cutoff(df: DataFrame, lfdr: str = "lfdr", by: Sequence[str] = (), le
     over = (F.col("s_before") + F.col("s")) > F.lit(level) * (F.col("cnt_before") + F.col("cnt"))
     stats = stats.withColumn("edge", F.min(F.when(over, F.col(BUCKET))).over(whole))
     stats = stats.withColumn("all_n", F.sum("cnt").over(whole)).withColumn("last", F.max("hi").over(whole))
+    stats, tiny = settle(stats, by)
     full = stats.groupBy(*keys).agg(F.first("edge").alias("edge"), F.first("all_n").alias("n"), F.first("last").alias("last"))
     at_edge = stats.where(F.col(BUCKET) == F.col("edge")).select(*keys, BUCKET, "cnt_before", "s_before")
-    inside = b.join(at_edge, [*keys, BUCKET]).groupBy(*keys, BUCKET, "cnt_before", "s_before", "_v")
+    inside = b.join(hinted(at_edge, tiny), [*keys, BUCKET]).groupBy(*keys, BUCKET, "cnt_before", "s_before", "_v")
     inside = inside.agg(F.count(F.lit(1)).alias("cnt"))
     local = W.partitionBy(*keys, BUCKET).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     c0 = F.col("cnt_before") + F.sum("cnt").over(local) - F.col("cnt")
