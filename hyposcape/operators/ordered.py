@@ -161,16 +161,17 @@ def attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(right, [*by, "_salt"]).drop("_salt")
 
 
+def bucket_totals(b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Rows per bucket and before it, materialised; also whether the table may be broadcast."""
+    totals = prefix_over(b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
+    return settle(totals, [k for k in keys if k != GROUP])
+
+
 def select_by_rank(
-    df: DataFrame, value: str, ranks: DataFrame, by: Sequence[str] = (), order: Order | None = None
+    b: DataFrame, value: str, ranks: DataFrame, keys: Sequence[str], totals: DataFrame, tiny: bool
 ) -> DataFrame:
-    """Values at given 0-based ranks.  ``ranks``: (group keys, ``rank``) -> adds the value column."""
-    base, keys = keyed(numbers(df.select(*by, value), value), by)
-    if not by and GROUP not in ranks.columns:
-        ranks = ranks.withColumn(GROUP, F.lit(0))
-    b = with_bucket(base, value, order or plan_order(base, value))
-    totals = prefix_over(b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("cnt")), keys, [BUCKET], ["cnt"])
-    totals, tiny = settle(totals, [k for k in keys if k != GROUP])
+    """Values at 0-based ranks: ``ranks`` (keys, ``rank``) gains the value column.  Only the buckets that hold a wanted
+    rank are read again."""
     wanted = totals.join(ranks, keys).where(
         (F.col("rank") >= F.col("cnt_before")) & (F.col("rank") < F.col("cnt_before") + F.col("cnt"))
     )
@@ -179,21 +180,22 @@ def select_by_rank(
     inside = inside.groupBy(*keys, BUCKET, "off", value).agg(F.count(F.lit(1)).alias("cnt"))
     w = W.partitionBy(*keys, BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("hi", F.col("off") + F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt"))
-    hit = inside.join(hinted(places.select(*keys, BUCKET, "rs"), tiny), [*keys, BUCKET]).select(
+    return inside.join(hinted(places.select(*keys, BUCKET, "rs"), tiny), [*keys, BUCKET]).select(
         *keys, F.col(value), F.explode(F.filter("rs", lambda r: (r >= F.col("lo")) & (r < F.col("hi")))).alias("rank")
     )
-    return hit if GROUP in by else hit.drop(GROUP)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles, one row per (group, ``prob``) with ``value`` and the row count ``n``."""
     base, keys = keyed(numbers(df.select(*by, value), value), by)
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    at = counts.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+    b = with_bucket(base, value, plan_order(base, value))
+    totals, tiny = bucket_totals(b, keys)
+    at = totals.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    at = at.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
     at = at.withColumn("pos", (F.col("n") - 1) * F.col("prob"))
-    at = at.withColumn("lo", F.floor("pos").cast("bigint")).withColumn("hi", F.ceil("pos").cast("bigint"))
-    each = at.withColumn("rank", F.explode(F.array_distinct(F.array("lo", "hi"))))
-    found = select_by_rank(base, value, each.select(*keys, "rank").distinct(), keys).withColumnRenamed(value, "_v")
+    lo, hi = F.floor("pos").cast("bigint"), F.ceil("pos").cast("bigint")
+    each = at.withColumn("rank", F.explode(F.array_distinct(F.array(lo, hi))))
+    found = select_by_rank(b, value, each.select(*keys, "rank").distinct(), keys, totals, tiny).withColumnRenamed(value, "_v")
     low, high = F.min_by("_v", "rank"), F.max_by("_v", "rank")
     part = F.col("pos") - F.floor("pos")
     out = each.join(found, [*keys, "rank"]).groupBy(*keys, "prob", "n", "pos").agg((low + (high - low) * part).alias("value"))

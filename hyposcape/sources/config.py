@@ -99,7 +99,7 @@ def log_grid(lo: float = -15.0, hi: float = 20.0, n: int = 15) -> list[float]:
 
 @dataclass
 class GraphSettings(_Settings):
-    data_path: str = "Data/benchmarks.pkl"
+    data_path: str = "data/bundle"
     benchmarks: list[str] | None = None
     max_datasets_per_benchmark: int = 10
     subsample_tuning: int = 1000
