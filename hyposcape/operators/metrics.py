@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 METRICS = ["TPR", "power", "FDR", "FPR", "precision", "F1"]
 COUNTS = ["n_discoveries", "n_true_signals", "TP", "FP", "TN", "FN"]
 
@@ -51,14 +53,13 @@ def summarize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     """Long-form mean / std (population) / min / max / median of each metric column."""
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in columns)
     long = df.selectExpr(*by, f"stack({len(columns)}, {pairs}) as (metric, x)")
-    # one row per run, so the exact per-metric median stays small by nature
-    return long.groupBy(*by, "metric").agg(
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.percentile("x", F.lit(0.5)).alias("median"),
+    keys = [*by, "metric"]
+    stats = long.groupBy(*keys).agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
+    # the log may hold very many runs, so the median goes through the bucketed quantiles
+    median = exact_quantiles(long, "x", [0.5], keys).select(*keys, F.col("value").alias("median"))
+    return stats.join(median, keys)
 
 
 def compare_methods(df: DataFrame, metric: str, method: str = "method") -> DataFrame:

@@ -300,18 +300,36 @@ def seed_and_grow(spark, sf):
     return clustering.seed_and_grow(pts, seeds, K15).select("id", "label")
 
 
-@query("mixed_cluster_sample")
+@query(
+    "mixed_cluster_sample",
+    f"""WITH {POINTS}, sz AS (SELECT group_id AS cl, row_number() OVER (ORDER BY count(*) DESC, group_id) AS r FROM pts GROUP BY 1),
+rl AS (SELECT id, least(r,3)-1 AS g FROM pts JOIN sz ON cl=group_id),
+dr AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY {hash_sql('id', 'mix')}, id) AS r FROM rl),
+pk AS (SELECT id, g, CASE WHEN g=0 THEN 0 ELSE 1 END AS lab FROM dr WHERE r<=(CASE WHEN g<2 THEN 30 ELSE 60 END)),
+fl AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {hash_sql('id', 'flip|42')}, id)-1 AS fr, count(*) OVER (PARTITION BY g) AS n FROM pk)
+SELECT id, g::int AS group_id, (CASE WHEN g<2 AND fr<floor(n*0.2e0) THEN 1-lab ELSE lab END)::int AS label FROM fl""",
+)
 def mixed_cluster_sample(spark, sf):
     rows = points(spark, sf).select("id", F.col("group_id").alias("cluster"))
-    out = clustering.mixed_cluster_sample(rows, n_total=120)
-    return out.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.mixed_cluster_sample(rows, n_total=120).select("id", "group_id", F.col("label").cast("int").alias("label"))
 
 
-@query("four_group_sample")
+@query(
+    "four_group_sample",
+    f"""WITH {MEDOID}, m AS (SELECT arg_max(id, s) AS id FROM ow WHERE group_id=0),
+rs AS (SELECT pts.id, group_id, k AS sim FROM pts JOIN km ON i=pts.id WHERE j=(SELECT id FROM m) AND group_id<>0),
+q AS (SELECT quantile_cont(sim,0.5) AS far, quantile_cont(sim,0.8) AS close FROM rs),
+pl AS (SELECT id, 0 AS g FROM pts WHERE group_id=0 UNION ALL SELECT id, 1 FROM rs WHERE group_id=1
+ UNION ALL SELECT id, 2 FROM rs, q WHERE sim>=close UNION ALL SELECT id, 3 FROM rs, q WHERE sim<=far),
+dr AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY CASE g WHEN 0 THEN {hash_sql('id', 'g0')} WHEN 1 THEN {hash_sql('id', 'g1')}
+ WHEN 2 THEN {hash_sql('id', 'g2')} ELSE {hash_sql('id', 'g3')} END, id) AS r FROM pl),
+pk AS (SELECT id, g FROM dr WHERE r<=(CASE g WHEN 0 THEN 20 WHEN 1 THEN 60 WHEN 2 THEN 12
+ ELSE 100+greatest(0,60-(SELECT count(*) FROM pl WHERE g=1)) END))
+SELECT id, min(g)::int AS group_id, (CASE WHEN min(g)=0 THEN 0 ELSE 1 END)::int AS label FROM pk GROUP BY 1""",
+)
 def four_group_sample(spark, sf):
     rows = cut_lineage(points(spark, sf).select("id", "v", F.col("group_id").alias("cluster")))
-    out = clustering.four_group_sample(rows, K15, signal=0, quotas=(20, 60, 12, 100), compact=1)
-    return out.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.four_group_sample(rows, K15, signal=0, quotas=(20, 60, 12, 100), compact=1)
 
 
 @query("ward_selection")

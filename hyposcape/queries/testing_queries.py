@@ -255,7 +255,7 @@ SELECT method, metric, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std, r
  round(quantile_cont(x,0.5),6) AS median FROM l GROUP BY 1,2""",
 )
 def metrics_summary(spark, sf):
-    s = metrics.summarize(run_log(spark, sf), ["power", "FDR", "n_discoveries"], ["method"])
+    s = metrics.summarize(cut_lineage(run_log(spark, sf)), ["power", "FDR", "n_discoveries"], ["method"])
     return s.select("method", "metric", *[rnd(c).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 

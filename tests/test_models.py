@@ -121,3 +121,35 @@ def test_small_groups_use_the_fallback_mixture(spark):
     df = spark.createDataFrame([(i, (i + 0.5) / 50) for i in range(50)], "id bigint, p double")
     out = density.with_empirical_null(df).toPandas()
     assert np.allclose(out.f0, 1.0) and np.allclose(out.f1, 2 * (1 - out.p)) and np.allclose(out.pi0, 0.9)
+
+
+def test_facade_finds_the_signal_region(spark):
+    from hyposcape.plans.model import SpatialNullEstimator
+
+    rng = np.random.default_rng(11)
+    x = rng.random((400, 2))
+    inside = (x[:, 0] > 0.5) & (x[:, 1] > 0.5)
+    lab = np.where(inside, rng.random(400) < 0.1, rng.random(400) < 0.95).astype(int)
+    p = np.clip(np.where(lab == 1, rng.random(400), rng.beta(0.2, 3, 400)), 1e-10, 1)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "v": list(x), "p": p, "label": lab}), "id bigint, v array<double>, p double, label int")
+    est = SpatialNullEstimator(Kernel("rbf", 0.15), make_config("default", lambda_reg=0.5, learning_rate=0.001, max_iter=2000, gradient_clip=10.0), train_rows=300)
+    model = est.fit(df, entire_domain=True)
+    out = model.reject(df, 0.2).toPandas().sort_values("id")
+    assert len(out) == 400 and out.alpha_null.between(0, 1).all() and out.lfdr.between(0, 1).all()
+    assert out[inside].alpha_null.mean() < out[~inside].alpha_null.mean() - 0.2
+    assert out[inside].rejected.mean() > 3 * out[~inside].rejected.mean()
+    plain = model.reject(df, 0.2, rule="threshold").where("rejected").agg(F.max("lfdr")).first()[0]
+    assert plain <= 0.2
+    with pytest.raises(ValueError):
+        model.reject(df, rule="other")
+
+
+def test_replicates_are_bounded_and_repeatable(spark):
+    from hyposcape.plans import experiments
+
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)], i % 10) for i in range(500)], "id bigint, v array<double>, group_id int")
+    a = experiments.replicates(df, ["none", "strong"], "medium", 3, 40).toPandas()
+    assert len(a) == 240 and a.groupby(["condition", "seed"]).id.nunique().eq(40).all()
+    b = experiments.replicates(df.repartition(7), ["none", "strong"], "medium", 3, 40).toPandas()
+    key = ["condition", "seed", "id"]
+    assert np.allclose(a.sort_values(key).p, b.sort_values(key).p)
