@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import local_fdr
 from ..operators import density, enrichment, graph, sampling, testing
 from ..operators.solver import GLOBAL_PRESETS, make_config
+from ..plans.graph_bench import GraphBench
 from ..session import cut_lineage
 from ..sources.fixtures import hyp_parts, part_edges
 from ..sources.tables import table
@@ -187,3 +188,19 @@ def graph_allspace(spark, sf):
     nodes = sampling.train_test_split(nodes)
     out = graph.allspace_alpha(nodes, e, make_config("graph_allspace", max_iter=500), GLOBAL_PRESETS["graph_allspace"])
     return out.where("split = 'test'").select("dataset", "id", "alpha_null")
+
+
+@query("graph_bench_run")
+def graph_bench_run(spark, sf):
+    """Tuning, both decisions, enrichment and AUC for two datasets on the part graph, all graphs in one job."""
+    tag = lambda df, d: df.withColumn("benchmark", F.lit("parts")).withColumn("dataset", F.lit(d))
+    both = lambda df: tag(df, "strong").unionByName(tag(df, "weak"))
+    members = set_members(spark, sf)
+    bundle = {
+        "edges": both(cut_lineage(part_edges(spark, sf))),
+        "genes": tag(hyp_parts(spark, sf, a=0.05), "strong").unionByName(tag(hyp_parts(spark, sf, a=0.3), "weak")),
+        "pathways": both(members),
+        "positives": both(members.where(F.col("pathway").startswith("brand")).select("pathway").distinct()),
+    }
+    bench = GraphBench(make_config("graph_gsea", max_iter=200), 400, 20, 1000, 50, (1.0, 10.0))
+    return bench.run(bundle)
