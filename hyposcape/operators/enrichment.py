@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lgamma
+from ..session import cut_lineage
 from .ordered import attach
 from .testing import auc
 
@@ -62,12 +63,12 @@ def enrichment(
     """
     genes = universe.select(*by, "gene").distinct()
     chosen = selected.select(*by, "gene").distinct().withColumn("_sel", F.lit(1))
-    flags = genes.join(chosen, [*by, "gene"], "left")
+    flags = cut_lineage(genes.join(chosen, [*by, "gene"], "left"))
     totals = flags.groupBy(*by).agg(F.count(F.lit(1)).alias("M"), F.count("_sel").alias("N"))
-    # the join is salted: a hub gene that occurs in very many sets does not pile up in one task
-    hits = attach(members.select(*by, "pathway", "gene").distinct(), flags, [*by, "gene"])
-    found = hits.groupBy(*by, "pathway").agg(F.count(F.lit(1)).alias("size"), F.count("_sel").alias("overlap"))
-    counts = members.select(*by, "pathway").distinct().join(found, [*by, "pathway"], "left").fillna(0, ["size", "overlap"])
+    # one pass over the members; the join is salted, so a hub gene of very many sets does not pile up in one task
+    flags = flags.withColumn("_in", F.lit(1))
+    hits = attach(members.select(*by, "pathway", "gene").distinct(), flags, [*by, "gene"], "left")
+    counts = hits.groupBy(*by, "pathway").agg(F.count("_in").alias("size"), F.count("_sel").alias("overlap"))
     if by:
         both = counts.join(totals, list(by))
     else:

@@ -144,7 +144,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), extra: dict[s
     return cumulate(vc, value, ["cnt", *extra], by, order)
 
 
-def attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, params: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach a table with one row per group.
 
     Ungrouped parameters are one row, hence a broadcast of proven size.  With groups both sides carry a salt,
@@ -158,7 +158,7 @@ def attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
     scalar = ["id"] if "id" in df.columns else [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*scalar), F.lit(salts)))
     right = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*by, "_salt"]).drop("_salt")
+    return left.join(right, [*by, "_salt"], how).drop("_salt")
 
 
 def bucket_totals(b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:

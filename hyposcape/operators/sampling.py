@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, norm_sf
-from .ordered import attach, exact_quantiles, hash_rank, hash_take
+from .ordered import BUCKET, Order, attach, exact_quantiles, hash_rank, hash_take, with_bucket
 
 # Probability of a null inside / outside the signal clusters.
 CLUSTER_STRENGTH = {"none": (0.7, 0.7), "weak": (0.6, 0.8), "medium": (0.4, 0.9), "strong": (0.2, 0.95)}
@@ -48,11 +48,17 @@ def stratified_subsample(
     edges = exact_quantiles(df, p, probs, by).groupBy(*by).agg(
         F.array_sort(F.collect_set("value")).alias("_edges"), F.max("n").alias("_n")
     )
-    rows = attach(df, edges, by)
-    # number of inner edges strictly below p = index of the right-closed bin
-    inner = F.slice("_edges", F.lit(2), F.size("_edges") - 2)
-    bin_no = F.when(F.size("_edges") <= 2, F.lit(0)).otherwise(F.size(F.filter(inner, lambda e: e < F.col(p))))
-    rows = rows.withColumn("bin", bin_no.cast("int"))
+    if by:
+        rows = attach(df, edges, by)
+        # number of inner edges strictly below p = index of the right-closed bin
+        inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
+        rows = rows.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
+    else:
+        row = edges.first()  # at most n_bins + 1 numbers
+        if row is None or row["_n"] <= n_target:
+            return df
+        order = Order(tuple(math.nextafter(e, math.inf) for e in row["_edges"][1:-1]), ())
+        rows = with_bucket(df, p, order).withColumnRenamed(BUCKET, "bin").withColumn("_n", F.lit(row["_n"]))
     small = rows.where(F.col("_n") <= n_target).select(*df.columns)
     large = rows.where(F.col("_n") > n_target)
     drawn = hash_take(large, key, "strat|42", n_target // n_bins, [*by, "bin"])

@@ -133,3 +133,20 @@ def test_auc_with_ties_and_single_class(hot, spark):
     assert np.isclose(got.auc, want)
     one = testing.auc(df.withColumn("pos", F.lit(True)), "p", "pos").first()
     assert one.auc is None and one.reason == "single class"
+
+
+def test_stratified_subsample_takes_each_bin_evenly(hot):
+    from hyposcape.operators.sampling import stratified_subsample
+
+    pdf, df = hot
+    out = stratified_subsample(df, n_target=500, n_bins=20).toPandas()
+    bins = pd.qcut(pdf.p, 20, labels=False, duplicates="drop")
+    per = bins.loc[out.id].value_counts()
+    size = bins.value_counts()
+    assert out.id.is_unique and all(per[b] == min(25, size[b]) for b in size.index)
+    assert stratified_subsample(df, n_target=10_000).count() == len(pdf)
+    grouped = stratified_subsample(df, n_target=500, n_bins=20, by=["g"]).toPandas()
+    for g, part in pdf.groupby("g"):
+        b = pd.qcut(part.p, 20, labels=False, duplicates="drop")
+        got = b.loc[grouped[grouped.g == g].id].value_counts()
+        assert all(got[k] == min(25, n) for k, n in b.value_counts().items())
