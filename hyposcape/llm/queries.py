@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, simhash
+from . import line_dedup, mixing, packing, simhash, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components_of(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+MIX_SQL = """
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+src as (
+  select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from sized group by source),
+capped as (
+  select *, source_size * 3 as cap, sum(source_size) over () as total, sum(w) over () as w_all from src),
+levels as (
+  select *, (total - coalesce(sum(cap) over o, 0))::double / (w_all - coalesce(sum(w) over o, 0)) as level, cap / w as ratio
+  from capped window o as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+target as (
+  select source, source_size, least((select level from levels where level <= ratio order by ratio, source nulls last limit 1) * w, cap::double) as target from levels),
+rated as (
+  select *, case when source_size > 0 then least(floor(target / source_size * 268435456 + 0.5), 805306368)::bigint else 0 end as rate,
+    ('0x' || substr(md5(coalesce(source, chr(0) || 'null') || '|mix-offset'), 1, 8))::bigint & 268435455 as off from target),
+ordered as (
+  select sized.source, sized.doc_id, sized.size, r.source_size, r.target, r.rate, r.off, row_number() over (
+    partition by sized.source order by floor(8 * ln(sized.size + 1) / ln(2.0) + 1e-9),
+    ('0x' || substr(md5(coalesce(sized.doc_id::varchar, 'null') || '|mix'), 1, 8))::bigint, sized.doc_id, sized.size) as k
+  from sized join rated r on sized.source is not distinct from r.source),
+tried as (
+  select source, j, abs(sum(size * (((k * rate + o) >> 28) - (((k - 1) * rate + o) >> 28)))::bigint - any_value(target)) as d, any_value(o) as o
+  from (select *, (off + j * 16777216) & 268435455 as o from ordered, (select unnest(range(16)) as j)) group by source, j),
+chosen as (select source, o from tried qualify row_number() over (partition by source order by d, j) = 1)
+select doc_id, size, source_size, target, (size * (((k * rate + o) >> 28) - (((k - 1) * rate + o) >> 28)))::bigint as taken
+from ordered join chosen on ordered.source is not distinct from chosen.source"""
+
+
+@query("op8_source_mixing", MIX_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(read(spark, sf_dir, "documents"))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read(spark, sf_dir, "pages"))
