@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, simhash, url_filter
+from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +93,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"))
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(read(spark, sf_dir, "embeddings"))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
