@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, url_filter
+from . import chat_format, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, sketches, url_filter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.with_neighbours(read(spark, sf_dir, "documents"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
+PREFERENCE_SQL = """
+with t as (
+  select conv_id, conv_id // 2 as pair_id, conv_id % 2 as side, row_number() over (partition by conv_id order by turn, role, text) as i,
+    replace(replace(coalesce(role, ''), '<|im_start|>', ''), '<|im_end|>', '') as role,
+    replace(replace(coalesce(text, ''), '<|im_start|>', ''), '<|im_end|>', '') as text
+  from conversations where conv_id is not null),
+ids as (
+  select pair_id, max(conv_id) filter (side = 0) as chosen_id, max(conv_id) filter (side = 1) as rejected_id,
+    least(count(*) filter (side = 0), count(*) filter (side = 1)) as shorter from t group by pair_id),
+differ as (
+  select a.pair_id, min(a.i) as at from t a join t b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1
+  where a.role <> b.role or a.text <> b.text group by a.pair_id),
+pre as (
+  select ids.*, least(coalesce(differ.at - 1, shorter), shorter) as n_common from ids left join differ using (pair_id)),
+said as (
+  select t.pair_id, side, i, n_common, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as part,
+    length(role) + 13 as head, length(text) + 10 as body from t join pre on t.pair_id = pre.pair_id),
+rest as (
+  select *, coalesce(sum(head + body + 1) over (partition by pair_id, side order by i rows between unbounded preceding and 1 preceding), 0) as start_at
+  from said where i > n_common)
+select pre.pair_id, pre.chosen_id, pre.rejected_id, pre.n_common::int as n_common,
+  coalesce((select string_agg(part, '' order by i) from said where said.pair_id = pre.pair_id and side = 0 and i <= said.n_common), '') as prompt,
+  coalesce((select string_agg(part, '' order by i) from rest where rest.pair_id = pre.pair_id and side = 0), '') as chosen,
+  coalesce((select string_agg(part, '' order by i) from rest where rest.pair_id = pre.pair_id and side = 1), '') as rejected,
+  coalesce((select string_agg((start_at + head)::bigint || '+' || body, ',' order by i) from rest where rest.pair_id = pre.pair_id and side = 0 and role = 'assistant'), '') as chosen_spans,
+  coalesce((select string_agg((start_at + head)::bigint || '+' || body, ',' order by i) from rest where rest.pair_id = pre.pair_id and side = 1 and role = 'assistant'), '') as rejected_spans
+from pre"""
+
+
+@query("op3_chat_preferences", PREFERENCE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    found = chat_format.preferences(turns, chat_format.neighbour_pairs(turns))
+    return found.withColumns({c: chat_format.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
