@@ -83,9 +83,16 @@ def sampling_plan(light: DataFrame, weights: list[int], most: int, seed: str = "
     offset = hash32(F.coalesce(F.col("source"), F.lit("\x00null")), seed + "-offset").bitwiseAND(F.lit(ONE - 1))
     plan = plan.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
     keyed = _keyed(light, "size", seed)
-    before = Window.partitionBy("source").orderBy("_class", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    counted = keyed.groupBy(*_BUCKET).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = counted.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n")
+    # positions before a bucket: those of the source's lower classes (a few hundred rows a source), then of the class's lower ranges
+    counted = keyed.groupBy(*_BUCKET).agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy("source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = counted.groupBy("source", "_class").agg(F.sum("_n").alias("_n")).withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    plan = classes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n").withColumnsRenamed({"source": "_source", "_class": "_c"})
+    inside = Window.partitionBy("source", "_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c"))
+    )
+    starts = starts.withColumn("_before", F.col("_before") + F.col("_lower")).drop("_source", "_c", "_n", "_lower")
     k = F.col("_before") + F.col("_row")
     tried = [(F.col("_offset") + F.lit(j * (ONE // TRIES))).bitwiseAND(F.lit(ONE - 1)) for j in range(TRIES)]
     met = _meet(keyed, starts).groupBy("source").agg(
