@@ -49,7 +49,11 @@ def targets(sizes: DataFrame, weights: list[int], most: int) -> DataFrame:
 
 
 TRIES = 16  # offsets of a source, a sixteenth apart from its random one; the one whose words come nearest to the target is used
-_BUCKET = ["source", "_class", "_range"]
+_BUCKET = ["_key", "_class", "_range"]  # _key: the source, never null, so that joins keep the partitioning of the windows
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
 
 
 def _keyed(rows: DataFrame, size: str, seed: str) -> DataFrame:
@@ -57,7 +61,7 @@ def _keyed(rows: DataFrame, size: str, seed: str) -> DataFrame:
     bits = max(1, (4 * common.shuffle_width(rows.sparkSession) - 1).bit_length())
     h = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
     keyed = (
-        rows.withColumn("_class", F.floor(8 * F.ln(F.col(size) + 1) / F.ln(F.lit(2.0)) + 1e-9).cast("int"))
+        rows.withColumn("_key", _source_key()).withColumn("_class", F.floor(8 * F.ln(F.col(size) + 1) / F.ln(F.lit(2.0)) + 1e-9).cast("int"))
         .withColumn("_h", h)
         .withColumn("_range", F.shiftright("_h", 32 - bits))
     )
@@ -71,8 +75,7 @@ def _crossed(k: Column, offset: Column) -> Column:
 
 
 def _meet(keyed: DataFrame, starts: DataFrame) -> DataFrame:
-    side = starts.withColumnsRenamed({"source": "_source", "_class": "_c", "_range": "_r"})
-    return keyed.join(side, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")) & (F.col("_range") == F.col("_r")))
+    return keyed.join(starts, _BUCKET)
 
 
 def sampling_plan(light: DataFrame, weights: list[int], most: int, seed: str = "mix") -> DataFrame:
@@ -81,27 +84,23 @@ def sampling_plan(light: DataFrame, weights: list[int], most: int, seed: str = "
     share = F.least(F.floor(F.col("target") / F.col("source_size") * ONE + 0.5), F.lit(most * ONE))
     rate = F.when(F.col("source_size") > 0, share).otherwise(F.lit(0)).cast("long")
     offset = hash32(F.coalesce(F.col("source"), F.lit("\x00null")), seed + "-offset").bitwiseAND(F.lit(ONE - 1))
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
+    plan = plan.select(_source_key().alias("_key"), "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
     keyed = _keyed(light, "size", seed)
     # positions before a bucket: those of the source's lower classes (a few hundred rows a source), then of the class's lower ranges
     counted = keyed.groupBy(*_BUCKET).agg(F.count("*").alias("_n"))
-    lower = Window.partitionBy("source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = counted.groupBy("source", "_class").agg(F.sum("_n").alias("_n")).withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
-    plan = classes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n").withColumnsRenamed({"source": "_source", "_class": "_c"})
-    inside = Window.partitionBy("source", "_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c"))
-    )
-    starts = starts.withColumn("_before", F.col("_before") + F.col("_lower")).drop("_source", "_c", "_n", "_lower")
+    lower = Window.partitionBy("_key").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = counted.groupBy("_key", "_class").agg(F.sum("_n").alias("_n")).withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    inside = Window.partitionBy("_key", "_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(classes.drop("_n").join(plan, "_key"), ["_key", "_class"])
+    starts = starts.withColumn("_before", F.col("_before") + F.col("_lower")).drop("_n", "_lower")
     k = F.col("_before") + F.col("_row")
     tried = [(F.col("_offset") + F.lit(j * (ONE // TRIES))).bitwiseAND(F.lit(ONE - 1)) for j in range(TRIES)]
-    met = _meet(keyed, starts).groupBy("source").agg(
+    met = _meet(keyed, starts).groupBy("_key").agg(
         F.first("target").alias("t"), F.first("_offset").alias("_offset"), *[F.sum(F.col("size") * _crossed(k, o)).alias(f"w{j}") for j, o in enumerate(tried)]
     )
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("t")).alias("d"), F.lit(j).alias("j"), o.alias("o")) for j, o in enumerate(tried)]))
-    chosen = met.select(F.col("source").alias("_source"), best["o"].alias("_chosen"))
-    starts = starts.join(chosen, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_offset")
-    return common.scratch(starts.withColumnRenamed("_chosen", "_offset"), "mix-plan")
+    chosen = met.select("_key", best["o"].alias("_chosen"))
+    return common.scratch(starts.join(chosen, "_key").drop("_offset").withColumnRenamed("_chosen", "_offset"), "mix-plan")
 
 
 def with_copies(rows: DataFrame, size: str, starts: DataFrame, seed: str = "mix") -> DataFrame:
