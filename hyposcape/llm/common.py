@@ -1,9 +1,9 @@
-"""Shared helpers: table access, scratch tables in the cluster's shared folder, Arrow mapping."""
+"""Shared helpers: table access, scratch tables in the cluster's shared folder, slicing of Arrow batches."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SPACE = " \t\n\x0b\x0c\r"  # the white space of every word and line rule of this subpackage
-
 _tables: list[str] = []
 
 
@@ -63,10 +61,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def unique_name(taken: list[str], stem: str) -> str:
     """A column name that clashes with none of ``taken`` (names compare without case)."""
     low = {c.lower() for c in taken}
@@ -92,6 +86,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
             start, total = i, 0
         total += int(sizes[i])
     yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def add_id_check(df: DataFrame, needed: list[str]) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ LENGTH = 2048
 SLICE = 4 << 20
 
 
+@cache  # Python workers live through many tasks
 def tokenizer(ranks_path: str, pattern: str):
     """Token ids of a text under the byte-level vocabulary, as a function; the same ids as the JSON form of that vocabulary."""
     import base64
@@ -46,6 +48,7 @@ def tokenizer(ranks_path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@cache
 def json_tokenizer(json_path: str):
     from tokenizers import Tokenizer
 
@@ -53,12 +56,15 @@ def json_tokenizer(json_path: str):
     return lambda text: known.encode(text, add_special_tokens=False).ids
 
 
-def vocabulary(name: str = "byte_bpe_50k"):
-    """(plain encoder, exact encoder, special strings) of a public vocabulary: the second for texts that contain a special string."""
+SPECIAL = "<|endoftext|>"
+
+
+def encoder(name: str = "byte_bpe_50k"):
+    """Text -> ids of a public vocabulary. Texts that hold its special string go to the JSON form, loaded when one comes."""
     import public_tokenizers as P
 
-    special = ("<|endoftext|>",)
-    return tokenizer(P.path(f"{name}.tiktoken"), P.PATTERN), json_tokenizer(P.path(f"{name}.json")), special
+    plain = tokenizer(P.path(f"{name}.tiktoken"), P.PATTERN)
+    return lambda text: json_tokenizer(P.path(f"{name}.json"))(text) if SPECIAL in text else plain(text)
 
 
 def piece_lengths(n: int, length: int) -> list[int]:
@@ -71,15 +77,15 @@ def tokenised(docs: DataFrame, length: int = LENGTH, end_id: int = 0, with_ids:
     """(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32[, ids])."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, exact, special = vocabulary()
+        encode = encoder()
         for whole in batches:
             for batch in common.slices(whole, "text", SLICE):
                 rows, ids_out = [], []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    text = text or ""
-                    ids = (exact if any(s in text for s in special) else plain)(text)
+                    ids = encode(text or "")
                     ids.append(end_id)
                     raw = np.array(ids, "<u4")
+                    del ids
                     start = 0
                     for piece, n in enumerate(piece_lengths(len(raw), length)):
                         part = raw[start : start + n]
