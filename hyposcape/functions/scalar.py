@@ -49,7 +49,7 @@ def expit(g: Column | str, bound: float = 500.0) -> Column:
 
 def logit(a: Column | str) -> Column:
     a = _col(a)
-    return F.log(a / (F.lit(1.0) - a))
+    return F.when(a >= 1, F.lit(float("inf"))).when(a <= 0, F.lit(float("-inf"))).otherwise(F.log(a / F.nullif(F.lit(1.0) - a, F.lit(0.0))))
 
 
 def neg_log10(p: Column | str, eps: float = 1e-10) -> Column:
@@ -63,13 +63,14 @@ def mixture(alpha: Column | str, f0: Column | str, f1: Column | str, floor: floa
 
 
 def local_fdr(alpha: Column | str, f0: Column | str, f1: Column | str, floor: float | None = 1e-10) -> Column:
-    """Posterior probability of the null, in [0, 1] whenever alpha is."""
-    return _col(alpha) * _col(f0) / mixture(alpha, f0, f1, floor)
+    """Posterior probability of the null, in [0, 1] whenever alpha is; 0 where both parts of the mixture are 0."""
+    top, m = _col(alpha) * _col(f0), mixture(alpha, f0, f1, floor)
+    return F.when(m == 0, F.lit(0.0)).otherwise(top / F.nullif(m, F.lit(0.0)))
 
 
 def gaussian_shift_density(z: Column | str, mu: Column, sigma: Column, cap: float | None = 5000.0) -> Column:
-    """Alternative density in p-space: N(mu, sigma) over the standard normal."""
-    z = _col(z)
+    """Alternative density in p-space: N(mu, sigma) over the standard normal.  A deviation of 0 (equal p-values) counts as 1e-3."""
+    z, sigma = _col(z), F.when(sigma > 0, sigma).otherwise(F.lit(1e-3))
     exponent = (F.pow(z, F.lit(2.0)) - F.pow((z - mu) / sigma, F.lit(2.0))) * F.lit(0.5)
     ratio = F.exp(exponent) / sigma
     return ratio if cap is None else F.least(F.lit(float(cap)), ratio)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import hash_uniform
 from ..session import cut_lineage
 from .kernels import BlockKernel, Kernel, Points, affinity_degrees, cross_apply, distances, group_similarity, neighbours
-from .ordered import attach, hash_rank, hash_take, quantile_row, row_prefix
+from .ordered import attach, hash_take, quantile_row, row_prefix
 from .sampling import corrupt_labels
 from .solver import check_bounded, median_of
 
@@ -364,15 +364,14 @@ def local_outlier_scores(pts: Points, k: int = 20) -> DataFrame:
 def isolation_scores(df: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation forest: every tree grows in its own task from its own small hash sample; the forest (at most
     trees * 2 * sample nodes) travels to the rows, which are scored in one pass.  Higher means more anomalous."""
-    want = trees * sample
-    pool = cut_lineage(hash_take(df.select("id", "v"), "id", f"iso|{seed}", want))
-    if pool.count() == want:  # enough rows: every tree gets its own slice of the pool
-        drawn = hash_rank(pool, "id", f"tree|{seed}", (), "_r").withColumn("tree", (F.col("_r") % trees).cast("int"))
-    else:  # the pool is the whole, small relation: trees draw from it independently
-        spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        spread = spread.withColumn("tk", F.concat_ws("|", F.col("id").cast("string"), F.col("tree").cast("string")))
-        drawn = hash_take(spread, "tk", f"tree|{seed}", sample, ["tree"])
-    drawn = drawn.select("tree", "id", "v")
+    n = df.count()
+    # one rule for every size: a row enters a tree if its (key, tree) hash is below a bar that lets about twice the sample
+    # through (with six deviations to spare); the tree then keeps the ``sample`` smallest of them
+    bar = min(1.0, (2 * sample + 60) / max(1, n))
+    spread = df.select("id", "v").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    spread = spread.withColumn("tk", F.concat_ws("|", F.col("id").cast("string"), F.col("tree").cast("string")))
+    spread = spread.where(hash_uniform("tk", f"tree|{seed}") < bar)
+    drawn = cut_lineage(hash_take(spread, "tk", f"tree|{seed}", sample, ["tree"]).select("tree", "id", "v"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.asarray(v, dtype=float) for v in pdf.sort_values("id")["v"]])
@@ -395,7 +394,7 @@ def isolation_scores(df: DataFrame, trees: int = 100, sample: int = 256, seed: i
     forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node bigint, dim int, at double, depth double").toPandas()
     books = [g.set_index("node")[["dim", "at", "depth"]] for _, g in forest.groupby("tree")]
     tables = [(b.index.to_numpy(), b["dim"].to_numpy(), b["at"].to_numpy(), b["depth"].to_numpy()) for b in (b.sort_index() for b in books)]
-    norm = path_length(sample)
+    norm = max(path_length(min(sample, n)), 1e-12)
 
     def run(batches):
         for pdf in batches:

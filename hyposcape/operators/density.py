@@ -64,20 +64,24 @@ def with_gaussian_shift(
 BOX, TERMS, REACH = 0.5, 14, 9
 
 
-def kde_1d(df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] = (), out: str = "density") -> DataFrame:
+def kde_1d(
+    df: DataFrame, value: str, bandwidth: DataFrame, by: Sequence[str] = (), out: str = "density", fit: str | None = None
+) -> DataFrame:
     """Gaussian kernel density of a column at its own values, in linear time.
 
     Values fall into boxes half a bandwidth wide.  One aggregation gives each box its first moments; a join
     of boxes with their neighbours within nine bandwidths turns them into one local polynomial per box,
-    which every row then evaluates.  No pair of rows is ever formed.  ``bandwidth``: (group keys, ``h``, ``n``).
+    which every row then evaluates.  No pair of rows is ever formed.  ``fit`` names a boolean column of the rows that
+    carry mass (default all); ``n`` counts those.  ``bandwidth``: (group keys, ``h``, ``n``).
     """
     keys = list(by) or [GROUP]
     rows = attach(df, bandwidth.select(*by, F.col("h").alias("_h"), F.col("n").alias("_n")), by)
     rows = rows if by else rows.withColumn(GROUP, F.lit(0))
     rows = rows.withColumn("_box", F.floor(F.col(value) / (F.col("_h") * BOX)).cast("bigint"))
     rows = rows.withColumn("_t", F.col(value) / F.col("_h") - (F.col("_box") + 0.5) * BOX)
+    mass = F.lit(True) if fit is None else F.col(fit)
     moments = rows.groupBy(*keys, "_box").agg(
-        *[F.sum(F.pow("_t", F.lit(float(k)))).alias(f"m{k}") for k in range(TERMS)]
+        *[F.sum(F.when(mass, F.pow("_t", F.lit(float(k)))).otherwise(0.0)).alias(f"m{k}") for k in range(TERMS)]
     )
     boxes = moments.select(*keys, "_box")
     reach = int(REACH / BOX)
@@ -135,16 +139,22 @@ def empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = (), z: str |
 
 
 def with_empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """Add ``f0`` and ``f1`` of the robust mixture.  Groups below 100 valid rows use f0 = 1, f1 = 2 (1 - p), pi0 = 0.9.
+    """Add ``f0``, ``f1``, ``pi0`` and ``pi0_temp`` of the robust mixture to every row.
 
-    The scale of f1 (``pi0_temp``) is the smallest ratio of the density to the null right of the median, over
-    the same batch of rows the densities are evaluated on.
+    The null and the bandwidth come from the valid p-values; densities are evaluated at every number, clipped into the open
+    unit interval.  Rows without a number get NULL.  Groups below 100 valid rows, and groups whose p-values are all equal, use
+    f0 = 1, f1 = 2 (1 - p), pi0 = 0.9 (``pi0_temp`` 1).  The scale of f1 (``pi0_temp``) is the smallest ratio of the density to the
+    null right of the median, over the same batch of rows the densities are evaluated on.
     """
-    rows = cut_lineage(df.where(valid_p(p)).withColumn("_z", z_left(p)))
-    params = cut_lineage(empirical_null(rows, p, by, z="_z"))
-    table = params.select(*by, "delta", "sigma", F.col("pi0").alias("_pi0"), F.col("n").alias("_nv"))
-    rows = cut_lineage(kde_1d(rows, "_z", params.select(*by, "h", "n"), by, "_kde"))
-    rows = attach(rows, table, by).withColumn("_null", norm_pdf("_z", F.col("delta"), F.col("sigma")))
+    known = F.col(p).isNotNull() & ~F.isnan(p)
+    rows = cut_lineage(df.where(known).withColumn("_z", z_left(p)).withColumn("_fit", valid_p(p)))
+    params = cut_lineage(empirical_null(rows.where("_fit"), p, by, z="_z").where("n >= 100 and h > 0"))
+    fitted = attach(rows, params.select(*by, "delta", "sigma", F.col("pi0").alias("_pi0"), F.lit(True).alias("_full")), by, "left")
+    clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
+    small = fitted.where("_full is null").withColumn("f0", F.lit(1.0)).withColumn("f1", (F.lit(1.0) - clipped) * 2)
+    small = small.withColumn("pi0", F.lit(0.9)).withColumn("pi0_temp", F.lit(1.0)).select(*df.columns, "f0", "f1", "pi0", "pi0_temp")
+    rows = cut_lineage(kde_1d(fitted.where("_full"), "_z", params.select(*by, "h", "n"), by, "_kde", "_fit"))
+    rows = rows.withColumn("_null", norm_pdf("_z", F.col("delta"), F.col("sigma")))
     ratio = F.col("_kde") / (F.col("_null") + F.lit(1e-10))
     temp = rows.groupBy(*by).agg(
         clip(F.coalesce(F.min(F.when(F.col("_z") > F.col("delta"), ratio)), F.lit(1.0)), 0.5, 1.0).alias("pi0_temp"),
@@ -154,13 +164,9 @@ def with_empirical_null(df: DataFrame, p: str = "p", by: Sequence[str] = ()) ->
     excess = F.when(F.col("_z") > F.col("delta"), 0.0).otherwise(
         F.greatest(F.lit(0.0), F.col("_kde") - F.col("pi0_temp") * F.col("_null"))
     )
-    tiny = F.col("_nv") < 100
-    out = rows.withColumn("f0", F.when(tiny, 1.0).otherwise(F.col("_null") / phi))
-    out = out.withColumn(
-        "f1", F.when(tiny, (F.lit(1.0) - F.col(p)) * 2).otherwise(excess / phi / (F.lit(1.0) - F.col("pi0_temp") + 1e-6))
-    )
-    out = out.withColumn("pi0", F.when(tiny, 0.9).otherwise(F.col("_pi0")))
-    return out.drop("_z", "_kde", "_null", "_nv", "_pi0", "delta", "sigma")
+    full = rows.withColumn("f0", F.col("_null") / phi).withColumn("f1", excess / phi / (F.lit(1.0) - F.col("pi0_temp") + 1e-6))
+    full = full.withColumn("pi0", F.col("_pi0")).select(*df.columns, "f0", "f1", "pi0", "pi0_temp")
+    return full.unionByName(small).unionByName(df.where(~known), allowMissingColumns=True)
 
 
 def beta_mle(df: DataFrame, p: str = "p", threshold: float = 0.1) -> tuple[float, float]:

@@ -89,6 +89,12 @@ def numbers(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def with_missing(out: DataFrame, df: DataFrame, value: str) -> DataFrame:
+    """Add back the rows of ``df`` that have no number in ``value``; the columns that ``out`` gained are NULL there."""
+    absent = df.where(F.col(value).isNull() | F.isnan(value))
+    return out.unionByName(absent, allowMissingColumns=True)
+
+
 def prefix_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Exclusive prefix sums over a small ordered table (buckets of a group)."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -98,10 +104,9 @@ def prefix_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], measur
 
 
 def settle(table: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Materialise a per-bucket table once and say whether it may be broadcast: without groups it has at most one
-    row per bucket, with groups its rows are counted."""
+    """Materialise a per-bucket table once and say whether it may be broadcast: its rows are counted."""
     done = cut_lineage(table)
-    return done, not by or done.count() <= MAX_SMALL
+    return done, done.count() <= MAX_SMALL
 
 
 def hinted(table: DataFrame, small: bool) -> DataFrame:
@@ -153,7 +158,7 @@ def attach(df: DataFrame, params: DataFrame, by: Sequence[str], how: str = "inne
     """
     if not by:
         right = params if GROUP in params.columns else params.withColumn(GROUP, F.lit(0))
-        return df.withColumn(GROUP, F.lit(0)).join(F.broadcast(right), GROUP).drop(GROUP)
+        return df.withColumn(GROUP, F.lit(0)).join(F.broadcast(right), GROUP, how).drop(GROUP)
     salts = min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     scalar = ["id"] if "id" in df.columns else [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*scalar), F.lit(salts)))

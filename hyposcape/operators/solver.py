@@ -171,7 +171,7 @@ GLOBAL_PRESETS = {
     "graph": GlobalConfig(lambda_global=0.5),
     "facade": GlobalConfig(learning_rate=0.1, ridge=0.0, adaptive=True, gradient_clip=None),
     "allspace": GlobalConfig(ridge=1e-6, clip_target=False),
-    "graph_allspace": GlobalConfig(lambda_global=1.0, ridge=1e-4, premultiply=True, gradient_clip=None),
+    "graph_allspace": GlobalConfig(lambda_global=0.5, ridge=1e-4, premultiply=True, gradient_clip=None),
 }
 
 

@@ -26,6 +26,7 @@ from .ordered import (
     value_ranks,
     with_bucket,
     with_hash_order,
+    with_missing,
 )
 
 
@@ -79,7 +80,7 @@ def bh_first_k(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] =
 def bh_adjusted(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """Add step-up adjusted ``q`` (running minimum of p * n / rank from the largest p, capped at 1) and ``rejected``.
 
-    Inside a bucket the running minimum is local; the minimum over the later buckets is that bucket's offset.
+    Rows without a number in ``p`` stay: NULL ``q``, not rejected.  Inside a bucket the running minimum is local; the minimum over the later buckets is that bucket's offset.
     """
     rows, cell = ordered_rows(df, p, key, by)
     keys = cell[:-2]
@@ -92,8 +93,8 @@ def bh_adjusted(df: DataFrame, p: str = "p", key: str = "id", by: Sequence[str]
     down = W.partitionBy(*cell).orderBy(F.col(p).desc(), F.col("_h").desc(), F.col(key).desc())
     best = F.min("_raw").over(down.rowsBetween(W.unboundedPreceding, 0))
     out = rows.join(tail, cell).withColumn("q", F.least(best, F.col("_tail"), F.lit(1.0)))
-    out = out.withColumn("rejected", F.col("q") <= level)
-    return out.drop("_h", "_raw", "_tail", BUCKET, SUB, "_k0", "_bn", "_v0", "_hot", "rk_n", GROUP)
+    out = out.drop("_h", "_raw", "_tail", BUCKET, SUB, "_k0", "_bn", "_v0", "_hot", "rk_n", GROUP)
+    return with_missing(out, df, p).withColumn("rejected", F.coalesce(F.col("q") <= level, F.lit(False)))
 
 
 def strict_signal_truth(df: DataFrame, p: str = "p", by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
@@ -176,7 +177,7 @@ def tie_accept(partial: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
 def running_mean_q(df: DataFrame, lfdr: str = "lfdr", key: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """Add ``q`` = running mean of the sorted local FDR at each row's own position (ties in key-hash order)."""
     out = row_prefix(df, lfdr, key, by, {"q": F.col(lfdr)})
-    return out.withColumn("q", F.col("q_cum") / F.col("rk")).drop("q_cum", "rk", "rk_n")
+    return with_missing(out.withColumn("q", F.col("q_cum") / F.col("rk")).drop("q_cum", "rk", "rk_n"), df, lfdr)
 
 
 def rolling_by_rank(
@@ -201,7 +202,7 @@ def rolling_by_rank(
     var = (ss - s * s / F.col("w")) / (F.col("w") - 1)
     out = out.withColumn("roll_mean", F.when(full, s / F.col("w")))
     out = out.withColumn("roll_std", F.when(full, F.sqrt(F.greatest(var, F.lit(0.0)))))
-    return out.drop("_hi", "_lo", "_y0", "_y1", "_yy0", "_yy1", "y_cum", "yy_cum")
+    return with_missing(out.drop("_hi", "_lo", "_y0", "_y1", "_yy0", "_yy1", "y_cum", "yy_cum"), df, order)
 
 
 def rank_p_values(
@@ -210,7 +211,7 @@ def rank_p_values(
     """Anomaly score to p: 1 - average rank / n, clipped to [eps, 1-eps]."""
     r = average_rank(df, score, key, by, "_r")
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.lit(1.0) - F.col("_r") / F.col("_r_n")))
-    return r.withColumn("p", p).drop("_r", "_r_n")
+    return with_missing(r.withColumn("p", p).drop("_r", "_r_n"), df, score)
 
 
 def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
