@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -119,7 +120,6 @@ def sketched(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
 def merged(sketches: DataFrame, by: str, k: int = K, salts: int = 64) -> DataFrame:
     """(by, sketch) -> (by, sketch): sketches of unions. Groups are merged per salt first, so a group may hold any share of the rows."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def union(parts: pd.Series) -> bytes:
@@ -147,7 +147,7 @@ def with_neighbours(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFram
     place = F.lit(len(cuts))
     if cuts:
         bounds = F.array(*[F.lit(c) for c in cuts])
-        place = F.coalesce(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))), F.lit(len(cuts)))
+        place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
     ranged = docs.withColumn("range", place.cast("int")).withColumn("copy", F.lit(False))
     # the head of a range: its largest doc_id, of equal ids the smallest text hash; ids and hashes of at most `width` rows on the driver
     tie = F.xxhash64("text")
@@ -157,7 +157,7 @@ def with_neighbours(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFram
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     full = [r["range"] for r in heads]
     before = {r: (full[i - 1] if i else full[-1]) for i, r in enumerate(full)}
-    turn = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    turn = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])  # a range and the one before it
     firsts = spark.createDataFrame([(r["range"], r["h"]["none"], r["h"]["o"], r["h"]["t"]) for r in heads], "r int, none boolean, o long, t long")
     keyed = ranged.withColumn("none", F.col("doc_id").isNull()).withColumn("o", F.coalesce(-F.col("doc_id"), F.lit(0))).withColumn("t", tie)
     copies = keyed.join(F.broadcast(firsts), ["none", "o", "t"], "left_semi").dropDuplicates(["range"])
