@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def order_buckets(spark: SparkSession) -> int:
     """How many ordered buckets replace a single-partition sort; grows with the shuffle width."""
     return max(64, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for drivers that run outside its folder and clusters without it installed."""
+    root = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="hyposcape-zip-")) / "hyposcape"), "zip", root, "hyposcape")
+    spark.sparkContext.addPyFile(archive)
