@@ -145,7 +145,8 @@ def four_group_sample(
     df: DataFrame, kernel: Kernel, signal: int, quotas: Sequence[int] = (50, 150, 30, 270), compact: int | None = None
 ) -> DataFrame:
     """Signals from one cluster; nulls split into a compact cluster, close (similarity to the signal medoid at or above its
-    80th percentile) and far (at or below the median).  Short pools hand their shortage to the far quota."""
+    80th percentile) and far (at or below the median).  Each group is drawn from what the groups before left; short pools hand
+    their shortage to the far quota."""
     med = medoids(df.where(F.col("cluster") == signal), kernel).select(F.col("medoid").alias("id"))
     rest = similarity_to(df.where(F.col("cluster") != signal), df.join(med, "id", "left_semi"), kernel)
     rest = cut_lineage(rest)
@@ -153,19 +154,15 @@ def four_group_sample(
     rest = cut_lineage(attach(rest, q, []))
     pool = rest.where((F.col("cluster") == compact) if compact is not None else ((F.col("sim") > F.col("far")) & (F.col("sim") < F.col("close"))))
     h1, n_compact, n_close, n_far = quotas
-    lack = max(0, n_compact - pool.count())
-    parts = [
-        (hash_take(df.where(F.col("cluster") == signal).select("id"), "id", "g0", h1), 0),
-        (hash_take(pool.select("id"), "id", "g1", n_compact), 1),
-        (hash_take(rest.where("sim >= close").select("id"), "id", "g2", n_close), 2),
-        (hash_take(rest.where("sim <= far").select("id"), "id", "g3", n_far + lack), 3),
-    ]
-    out = None
-    for part, g in parts:
-        p = part.withColumn("group_id", F.lit(g)).withColumn("label", F.lit(0 if g == 0 else 1))
-        out = p if out is None else out.unionByName(p)
-    # a row drawn for several null groups keeps the first of them
-    return out.groupBy("id").agg(F.min("group_id").alias("group_id"), F.min_by("label", "group_id").alias("label"))
+    first = hash_take(df.where(F.col("cluster") == signal).select("id"), "id", "g0", h1).withColumn("group_id", F.lit(0))
+    nulls, lack = None, 0
+    for g, (part, want) in enumerate([(pool, n_compact), (rest.where("sim >= close"), n_close), (rest.where("sim <= far"), n_far)], 1):
+        left = part.select("id") if nulls is None else part.select("id").join(nulls, "id", "left_anti")
+        want = want + lack if g == 3 else want
+        drawn = cut_lineage(hash_take(left, "id", f"g{g}", want).withColumn("group_id", F.lit(g)))
+        lack += want - drawn.count()
+        nulls = drawn if nulls is None else nulls.unionByName(drawn)
+    return first.unionByName(nulls).withColumn("label", F.when(F.col("group_id") == 0, 0).otherwise(1).cast("int"))
 
 
 # --- Ward selection on a bounded pool: one dense problem per dataset ---

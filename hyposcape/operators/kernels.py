@@ -81,7 +81,10 @@ def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray, same: bool, offset: int = 0) -> np.ndarray:
-    """Euclidean distances by the Gram identity.  ``same``: row i of a is row i + offset of b, so that cell is zero."""
+    """Euclidean distances by the Gram identity around the centre of b, so a common offset costs no digits.  ``same``: row i
+    of a is row i + offset of b, so that cell is zero."""
+    mid = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - mid, b - mid
     sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     d = np.sqrt(np.maximum(sq, 0.0))
     if same:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hash_uniform, local_fdr
-from ..operators import clustering, density, features, kernels, metrics, sampling, testing, tuning
+from ..functions import clip, expit, hash_uniform, local_fdr
+from ..operators import centred, clustering, density, features, kernels, metrics, sampling, testing, tuning
 from ..operators.kernels import Kernel
 from ..operators.ordered import hash_take
-from ..operators.solver import GLOBAL_PRESETS, GlobalConfig, SolverConfig, fit_pointwise, fit_stage2
+from ..operators.solver import GLOBAL_PRESETS, GlobalConfig, SolverConfig, fit_pointwise
 from ..session import cut_lineage
 
 
@@ -84,27 +84,29 @@ def euclidean_cv(design: DataFrame, sigmas: Sequence[float], cfg: SolverConfig,
 
 
 def allspace(
-    train: DataFrame, everywhere: DataFrame, kernel: Kernel, cfg: SolverConfig, stage2: GlobalConfig = GLOBAL_PRESETS["allspace"]
+    train: DataFrame, everywhere: DataFrame, kernel: Kernel, cfg: SolverConfig, stage2: GlobalConfig = GLOBAL_PRESETS["allspace"],
+    n_centres: int = 500, passes: int = 200,
 ) -> DataFrame:
-    """Stage 1 and Stage 2 on the training rows, then the null probability at every location of ``everywhere``."""
-    fitted = fit_pointwise(train.withColumn("dataset", F.lit(0)), kernel, cfg)
-    rows = train.select("id", "v").join(fitted.select("id", "alpha"), "id").withColumn("dataset", F.lit(0))
-    coef = fit_stage2(cut_lineage(rows), kernel, stage2)
-    centres = cut_lineage(train.select("id", "v").join(coef.select("id", "c"), "id"))
-    out = kernels.cross_apply(everywhere, centres, kernel, ["c"])
-    return out.withColumn("alpha_null", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("k_c")))).drop("k_c")
-
-
-def square_experiment(ids: DataFrame, n_train: int = 400, steps: int = 100, length_scale: float = 0.2) -> DataFrame:
-    """Unit-square check: noisy Stage-1 values on a sample, Stage 2, prediction on a regular grid with the true value."""
-    data = sampling.noisy_alpha(sampling.square_data(sampling.subsample(ids, n_train)))
-    train = cut_lineage(data.select("id", F.array("x", "y").alias("v"), "alpha").withColumn("dataset", F.lit(0)))
+    """Stage 1 and Stage 2 on all training rows (id, v, f0, f1) over ``n_centres`` of them, then the null probability at
+    every location of ``everywhere``."""
+    rows = cut_lineage(train.select("id", "v", "f0", "f1"))
+    drawn = cut_lineage(sampling.subsample(rows.select("id", "v"), n_centres))
+    first = centred.fit_stage1(rows, drawn, kernel, centred.by_lbfgs(cfg, passes)).frame(train.sparkSession)
+    at = kernels.cross_apply(rows.select("v", F.col("v").alias("x")), first.withColumnRenamed("v", "x"), kernel, ["c"], "x")
+    at = cut_lineage(at.select("v", clip("k_c", 0.0, 1.0).alias("alpha")))
+    coef = centred.fit_stage2(at, drawn, kernel, stage2, passes).frame(train.sparkSession)
+    out = kernels.cross_apply(everywhere, coef, kernel, ["c"])
+    return out.withColumn("alpha_null", expit("k_c")).drop("k_c")
+
+
+def square_experiment(ids: DataFrame, n_centres: int = 400, steps: int = 100, length_scale: float = 0.2) -> DataFrame:
+    """Unit-square check: noisy Stage-1 values at every row, Stage 2, prediction on a regular grid with the true value."""
+    data = sampling.noisy_alpha(sampling.square_data(ids))
+    train = cut_lineage(data.select("id", F.array("x", "y").alias("v"), "alpha"))
     kernel = Kernel("rbf", length_scale)
-    coef = fit_stage2(train, kernel, GLOBAL_PRESETS["allspace"])
-    centres = cut_lineage(train.select("id", "v").join(coef.select("id", "c"), "id"))
+    drawn = cut_lineage(sampling.subsample(train.select("id", "v"), n_centres))
+    coef = centred.fit_stage2(train.select("v", "alpha"), drawn, kernel, GLOBAL_PRESETS["allspace"]).frame(ids.sparkSession)
     grid = sampling.prediction_grid(ids.sparkSession, steps)
     truth = F.when((F.col("x") > 0.5) & (F.col("y") > 0.5), 0.1).otherwise(0.9)
     grid = grid.withColumn("alpha_true", truth).withColumn("v", F.array("x", "y"))
-    out = kernels.cross_apply(grid, centres, kernel, ["c"])
-    return out.withColumn("alpha_null", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("k_c")))).drop("k_c")
-
+    return kernels.cross_apply(grid, coef, kernel, ["c"]).withColumn("alpha_null", expit("k_c")).drop("k_c")

@@ -1,4 +1,4 @@
-"""Estimator facade: fit a smooth null-probability model on a bounded training sample, apply it to any number of rows."""
+"""Estimator facade: fit a smooth null-probability model to all rows over a bounded set of centres, apply it to any rows."""
 
 from __future__ import annotations
 
@@ -8,23 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip, expit, local_fdr
-from ..operators import density, kernels, sampling, testing
+from ..operators import centred, density, kernels, sampling, testing
 from ..operators.kernels import Kernel, Points
-from ..operators.solver import GLOBAL_PRESETS, PRESETS, GlobalConfig, SolverConfig, fit_pointwise, fit_stage2
+from ..operators.solver import GLOBAL_PRESETS, PRESETS, GlobalConfig, SolverConfig
 from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
 class SpatialNullEstimator:
-    """``fit`` learns alpha(x) from rows (id, v, p); ``density`` is 'gaussian_shift' or 'empirical_null'."""
+    """``fit`` learns alpha(x) from rows (id, v, p); ``density`` is 'gaussian_shift' or 'empirical_null'.
+
+    ``n_centres`` rows in hash order are the kernel centres, a model parameter; every row enters the likelihood.  ``config``
+    names the objective; it is minimised by L-BFGS in at most ``passes`` steps of a few linear passes, or with ``passes`` = None by the
+    step method and iterations of ``config``.
+    """
 
     kernel: Kernel = Kernel("matern", 1.0, 1.5)
     config: SolverConfig = PRESETS["facade"]
-    train_rows: int = 500
+    n_centres: int = 500
+    passes: int | None = 60
     sigma_factor: float | None = None
     density: str = "gaussian_shift"
     global_config: GlobalConfig = GLOBAL_PRESETS["facade"]
-    jitter: float = 1e-6
 
     def with_densities(self, df: DataFrame) -> DataFrame:
         if self.density == "gaussian_shift":
@@ -34,20 +39,22 @@ class SpatialNullEstimator:
         raise ValueError(f"unknown density {self.density!r}")
 
     def fit(self, df: DataFrame, entire_domain: bool = False) -> SpatialNullModel:
-        """Train on a hash sample of at most ``train_rows`` rows; with ``entire_domain`` Stage 2 follows."""
-        rows = self.with_densities(df)
-        train = cut_lineage(sampling.subsample(rows, self.train_rows).withColumn("dataset", F.lit(0)))
+        """Train on all rows that have features and densities; with ``entire_domain`` Stage 2 follows."""
+        known = F.col("v").isNotNull() & ~F.isnan(F.coalesce("f0", F.lit(float("nan")))) & ~F.isnan(F.coalesce("f1", F.lit(float("nan"))))
+        rows = cut_lineage(self.with_densities(df).where(known).select("id", "v", "f0", "f1"))
+        drawn = cut_lineage(sampling.subsample(rows.select("id", "v"), self.n_centres))
         kernel = self.kernel
         if self.sigma_factor is not None:
-            scale = kernels.median_length_scale(Points.pack(train)) * self.sigma_factor
+            scale = kernels.median_length_scale(Points.pack(drawn)) * self.sigma_factor
             kernel = Kernel(kernel.kind, scale, kernel.nu)
-        fitted = cut_lineage(fit_pointwise(train, kernel, self.config, jitter=self.jitter))
-        centres = train.select("id", "v").join(fitted.select("id", "c", "alpha"), "id")
+        cfg = self.config if self.passes is None else centred.by_lbfgs(self.config, self.passes)
+        centres = centred.fit_stage1(rows, drawn, kernel, cfg).frame(df.sparkSession)
         stage2 = None
         if entire_domain:
-            g = fit_stage2(centres.withColumn("dataset", F.lit(0)), kernel, self.global_config)
-            stage2 = cut_lineage(train.select("id", "v").join(g.select("id", "c"), "id"))
-        return SpatialNullModel(self, kernel, cut_lineage(centres), stage2)
+            at = kernels.cross_apply(rows.select("v", F.col("v").alias("x")), centres.withColumnRenamed("v", "x"), kernel, ["c"], "x")
+            at = cut_lineage(at.select("v", clip("k_c", 0.0, 1.0).alias("alpha")))
+            stage2 = centred.fit_stage2(at, drawn, kernel, self.global_config).frame(df.sparkSession)
+        return SpatialNullModel(self, kernel, centres, stage2)
 
 
 @dataclass(frozen=True)

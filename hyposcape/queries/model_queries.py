@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expit, hash_uniform
-from ..operators import clustering, density, kernels, metrics, sampling, solver, tuning
+from ..operators import centred, clustering, density, kernels, metrics, sampling, solver, tuning
 from ..operators.kernels import BlockKernel, Kernel, Points
 from ..operators.solver import GLOBAL_PRESETS, SolverConfig, make_config
 from ..plans import experiments
@@ -101,6 +101,30 @@ def fit_three_steps(spark, sf):
     return solver.fit_blocks(densities(spark, sf), K15, cfg).select("id", rnd("c", 9).alias("c"))
 
 
+def centred_sql(steps: int) -> str:
+    """Plain-gradient steps of the fit over 100 centres: e<t> pulls of all rows, q<t> gradient, w<t> coefficients."""
+    parts = [f"zc AS (SELECT id FROM pts ORDER BY {hash_sql('id', 'sub|42')}, id LIMIT 100)", "w0 AS (SELECT id, 0.005e0 AS c FROM zc)"]
+    for t in range(1, steps + 1):
+        p = f"w{t - 1}"
+        parts.append(f"e{t} AS MATERIALIZED (SELECT i AS id, sum(k*c) AS a FROM km JOIN {p} ON {p}.id=j GROUP BY 1)")
+        parts.append(
+            f"p{t} AS MATERIALIZED (SELECT dn.id, a, (f1-f0)/greatest(a*f0+(1e0-a)*f1,1e-12)"
+            f"+1000e0*(greatest(0e0,a-1e0)-greatest(0e0,-a)) AS s FROM dn JOIN e{t} USING (id))"
+        )
+        parts.append(f"q{t} AS MATERIALIZED (SELECT j AS id, sum(k*s)+20e0*any_value(z.a) AS g FROM km JOIN p{t} ON p{t}.id=i JOIN e{t} z ON z.id=j JOIN zc ON zc.id=j GROUP BY 1)")
+        parts.append(f"w{t} AS MATERIALIZED (SELECT id, c-0.0005e0*g*least(1e0,5e0/(SELECT sqrt(sum(g*g)) FROM q{t})) AS c FROM {p} JOIN q{t} USING (id))")
+    return ", ".join(parts)
+
+
+@query("fit_centred_steps", f"WITH {MODEL}, {centred_sql(5)} SELECT id, round(c,9) AS c FROM w5")
+def fit_centred_steps(spark, sf):
+    """Five plain-gradient steps of the fit in which all rows pull on 100 centres."""
+    rows = cut_lineage(densities(spark, sf).select("id", "v", "f0", "f1"))
+    cfg = make_config("default", c_init=0.005, max_iter=5)
+    fit = centred.fit_stage1(rows, sampling.subsample(rows.select("id", "v"), 100), K15, cfg, natural=False)
+    return fit.frame(spark).select("id", rnd("c", 9).alias("c"))
+
+
 CENTRES = f"ct AS (SELECT id, ({uniform_sql('id', 'coef')}-0.3e0)*0.1e0 AS c FROM pts ORDER BY {hash_sql('id', 'sub|42')}, id LIMIT 200)"
 PRED = f"pd AS (SELECT i AS id, sum(k*c) AS g FROM km JOIN ct ON ct.id=j GROUP BY 1)"
 
@@ -164,8 +188,8 @@ def best_setting(spark, sf):
 
 @query("fit_predict_reject")
 def fit_predict_reject(spark, sf):
-    """Facade: train on a sample, apply to the whole table, decide by the step-up rule."""
-    est = SpatialNullEstimator(config=make_config("facade", max_iter=200), train_rows=400)
+    """Facade: fit all rows over 400 centres, both stages, decide for the whole table by the step-up rule."""
+    est = SpatialNullEstimator(n_centres=400)
     df = hyp_points(spark, sf)
     out = est.fit(df, entire_domain=True).reject(df)
     return out.select("id", "label", "alpha_null", "lfdr", "rejected")
@@ -173,7 +197,7 @@ def fit_predict_reject(spark, sf):
 
 @query("empirical_null_fit_predict")
 def empirical_null_fit_predict(spark, sf):
-    est = SpatialNullEstimator(config=make_config("facade", max_iter=200), train_rows=400, density="empirical_null")
+    est = SpatialNullEstimator(n_centres=400, density="empirical_null")
     df = cut_lineage(hyp_points(spark, sf))
     return est.fit(df).reject(df, rule="threshold").select("id", "label", "alpha_null", "lfdr", "rejected")
 
@@ -224,11 +248,10 @@ def lambda_sensitivity(spark, sf):
 
 @query("allspace_prediction")
 def allspace_prediction(spark, sf):
-    """Training split drawn to a bounded sample, both stages, prediction of the null probability at every row."""
-    df = cut_lineage(densities(spark, sf))
-    split = sampling.train_test_split(df, strata=["label"])
-    train = cut_lineage(sampling.subsample(split.where("split = 'train'"), 500))
-    out = experiments.allspace(train, df.select("id", "v", "label"), K15, make_config("euclidean_cv", max_iter=300))
+    """Densities and both stages from all rows of the training split, prediction of the null probability at every row."""
+    split = cut_lineage(sampling.train_test_split(hyp_points(spark, sf), strata=["label"]))
+    train = density.with_gaussian_shift(split.where("split = 'train'"), by=[])
+    out = experiments.allspace(train, split.select("id", "v", "label"), K15, make_config("euclidean_cv"))
     return metrics.separation(out, "alpha_null")
 
 
@@ -242,7 +265,7 @@ def prediction_uncertainty(spark, sf):
 
 @query("square_experiment")
 def square_experiment(spark, sf):
-    """Recovery of the known surface from a sample of the derived unit-square data, predicted on the regular grid."""
+    """Recovery of the known surface from the derived unit-square data of all events, predicted on the regular grid."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"))
     out = experiments.square_experiment(e)
     return out.groupBy("alpha_true").agg(
@@ -321,11 +344,12 @@ rs AS (SELECT pts.id, group_id, k AS sim FROM pts JOIN km ON i=pts.id WHERE j=(S
 q AS (SELECT quantile_cont(sim,0.5) AS far, quantile_cont(sim,0.8) AS close FROM rs),
 pl AS (SELECT id, 0 AS g FROM pts WHERE group_id=0 UNION ALL SELECT id, 1 FROM rs WHERE group_id=1
  UNION ALL SELECT id, 2 FROM rs, q WHERE sim>=close UNION ALL SELECT id, 3 FROM rs, q WHERE sim<=far),
-dr AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY CASE g WHEN 0 THEN {hash_sql('id', 'g0')} WHEN 1 THEN {hash_sql('id', 'g1')}
- WHEN 2 THEN {hash_sql('id', 'g2')} ELSE {hash_sql('id', 'g3')} END, id) AS r FROM pl),
-pk AS (SELECT id, g FROM dr WHERE r<=(CASE g WHEN 0 THEN 20 WHEN 1 THEN 60 WHEN 2 THEN 12
- ELSE 100+greatest(0,60-(SELECT count(*) FROM pl WHERE g=1)) END))
-SELECT id, min(g)::int AS group_id, (CASE WHEN min(g)=0 THEN 0 ELSE 1 END)::int AS label FROM pk GROUP BY 1""",
+k0 AS (SELECT id, g FROM pl WHERE g=0 ORDER BY {hash_sql('id', 'g0')}, id LIMIT 20),
+k1 AS (SELECT id, g FROM pl WHERE g=1 ORDER BY {hash_sql('id', 'g1')}, id LIMIT 60),
+k2 AS (SELECT id, g FROM pl WHERE g=2 AND id NOT IN (SELECT id FROM k1) ORDER BY {hash_sql('id', 'g2')}, id LIMIT 12),
+d3 AS (SELECT id, g, row_number() OVER (ORDER BY {hash_sql('id', 'g3')}, id) AS r FROM pl WHERE g=3 AND id NOT IN (SELECT id FROM k1) AND id NOT IN (SELECT id FROM k2)),
+k3 AS (SELECT id, g FROM d3 WHERE r<=100+60-(SELECT count(*) FROM k1)+12-(SELECT count(*) FROM k2))
+SELECT id, g::int AS group_id, (CASE WHEN g=0 THEN 0 ELSE 1 END)::int AS label FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)""",
 )
 def four_group_sample(spark, sf):
     rows = cut_lineage(points(spark, sf).select("id", "v", F.col("group_id").alias("cluster")))

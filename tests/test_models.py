@@ -59,6 +59,47 @@ def test_distributed_fit_equals_dense_fit(problem, spark):
     assert np.allclose(grouped.toPandas().sort_values("id").c, want, atol=1e-9)
 
 
+@pytest.mark.parametrize("method", ["constant", "adaptive", "adam"])
+def test_fit_over_all_points_as_centres_is_the_exact_fit(problem, spark, method):
+    from hyposcape.operators import centred
+
+    x, k, f0, f1 = problem
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "v": list(x), "f0": f0, "f1": f1}), "id bigint, v array<double>, f0 double, f1 double")
+    cfg = make_config("default", max_iter=6, method=method, learning_rate=0.003, lambda_reg=1.0)
+    got = centred.fit_stage1(df, df, Kernel("matern", 1.0, 0.5), cfg, jitter=0.0)
+    want, _ = descend(k, f0, f1, cfg)
+    assert got.ids == list(range(60)) and np.allclose(got.c, want, atol=1e-8)
+
+
+def test_centred_fits_settle_for_both_stages(problem, spark):
+    from hyposcape.operators import centred
+
+    x, k, f0, f1 = problem
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "v": list(x), "f0": f0, "f1": f1}), "id bigint, v array<double>, f0 double, f1 double")
+    cfg = centred.by_lbfgs(make_config("default", lambda_reg=1.0, floor=1e-10, tol=1e-9), 300)
+    kernel = Kernel("matern", 1.0, 0.5)
+    whole = centred.fit_stage1(df, df, kernel, cfg)
+    dense, _ = descend(k, f0, f1, make_config("default", lambda_reg=1.0, floor=1e-10, c_init="zeros", learning_rate=1e-4, max_iter=20000, gradient_clip=1e9))
+    assert loss_of(whole.c, k, f0, f1, cfg) <= loss_of(dense, k, f0, f1, cfg) + 1e-3
+    few = centred.fit_stage1(df, df.where("id < 20"), kernel, cfg)
+    assert len(few.c) == 20 and few.log[-1][1] >= whole.log[-1][1] - 1e-6  # fewer centres, no lower loss
+    alpha = np.clip(k @ whole.c, 0, 1)
+    rows = spark.createDataFrame(pd.DataFrame({"v": list(x), "alpha": alpha}), "v array<double>, alpha double")
+    glob = GLOBAL_PRESETS["euclidean"]
+    second = centred.fit_stage2(rows, df, kernel, glob, tol=1e-9)
+    s = 1 / (1 + np.exp(-k @ second.c))
+    assert np.linalg.norm(k @ (s - np.clip(alpha, glob.clip_lo, glob.clip_hi) + 2 * glob.lambda_global * second.c)) < 1e-2
+
+
+def test_distances_keep_their_digits_far_from_the_origin():
+    from hyposcape.operators.kernels import distances
+
+    rng = np.random.default_rng(5)
+    x = 1e6 + 1e-3 * rng.normal(size=(40, 3))
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.allclose(distances(x, x, True), want, atol=1e-9)
+
+
 def test_groups_beyond_the_limit_are_refused(problem, spark):
     x, _, f0, f1 = problem
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "v": list(x), "f0": f0, "f1": f1}), "id bigint, v array<double>, f0 double, f1 double")
@@ -132,7 +173,7 @@ def test_facade_finds_the_signal_region(spark):
     lab = np.where(inside, rng.random(400) < 0.1, rng.random(400) < 0.95).astype(int)
     p = np.clip(np.where(lab == 1, rng.random(400), rng.beta(0.2, 3, 400)), 1e-10, 1)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "v": list(x), "p": p, "label": lab}), "id bigint, v array<double>, p double, label int")
-    est = SpatialNullEstimator(Kernel("rbf", 0.15), make_config("default", lambda_reg=0.5, learning_rate=0.001, max_iter=2000, gradient_clip=10.0), train_rows=300)
+    est = SpatialNullEstimator(Kernel("rbf", 0.15), make_config("default", lambda_reg=0.5, learning_rate=0.001, max_iter=2000, gradient_clip=10.0), n_centres=300)
     model = est.fit(df, entire_domain=True)
     out = model.reject(df, 0.2).toPandas().sort_values("id")
     assert len(out) == 400 and out.alpha_null.between(0, 1).all() and out.lfdr.between(0, 1).all()
