@@ -90,12 +90,73 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(read(spark, sf_dir, "documents"))
 
 
-@query("op9_url_filter")
+URL_SQL = """
+with rules(domain, prefix, what) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rests as (
+  select row_number() over () as r, page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+urls as (
+  select r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests),
+ruled as (
+  select u.*, x.domain || x.prefix as rule, x.what, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+    lambda s: case when length(s) >= 16 and regexp_matches(s, '[0-9]') then '*' else regexp_replace(s, '[0-9]+', '#', 'g') end) as seg
+  from urls u left join rules x on (u.host = x.domain or suffix(u.host, '.' || x.domain)) and starts_with(u.path, x.prefix)
+  qualify row_number() over (partition by r order by length(x.domain || x.prefix) desc) = 1),
+shapes as (
+  select host, seg, count(*) as n, count(what) as lab, count(*) filter (what = 'block') as blk from ruled group by host, seg),
+cells as (select host, len(seg) as l, n, unnest(range(1, len(seg) + 1)) as pos, unnest(seg) as v from shapes),
+vals as (select host, l, pos, v, sum(n) as n from cells group by host, l, pos, v),
+own_segments as (select host, l, pos from vals group by host, l, pos having count(*) >= 20 and 2 * count(*) >= sum(n)),
+variable as (select host, l, list(pos) as places from own_segments group by host, l),
+shaped as (
+  select s.host, seg, list_transform(seg, lambda x, i: case when list_contains(coalesce(places, []), i) then '*' else x end) as t, lab, blk
+  from shapes s left join variable v on s.host = v.host and len(seg) = v.l),
+templates as (select host, t, sum(lab) as lab, sum(blk) as blk from shaped group by host, t),
+walked as (
+  select *, array_to_string(t[1:depth], '/') as node, case when depth > 0 then array_to_string(t[1:depth - 1], '/') end as parent
+  from (select *, unnest(range(0, len(t) + 1)) as depth from templates)),
+nodes as (select host, depth, node, parent, sum(lab) as lab, sum(blk) as blk from walked group by host, depth, node, parent),
+pairs as (
+  select a.*, b.lab as plab, (b.blk + 1)::double / (b.lab + 2) as p
+  from nodes a left join nodes b on a.host = b.host and a.depth = b.depth + 1 and a.parent = b.node),
+anchors as (
+  select host, depth, node from pairs where plab is null or (lab = 0 and plab > 0)
+    or (lab > 0 and abs(blk::double / lab - p) > 1.96e0 * sqrt(p * (1 - p) / lab))),
+placed as (
+  select w.host, t, max(depth) as depth, arg_max(node, depth) as branch, any_value(lab) as lab, any_value(blk) as blk
+  from walked w join anchors using (host, depth, node) group by w.host, t),
+bad as (
+  select host, branch, depth from placed group by host, branch, depth having (sum(blk) + 1)::double / (sum(lab) + 2) >= 0.8e0),
+rejected as (
+  select s.host, s.seg from shaped s join placed p on s.host = p.host and s.t = p.t join bad b on p.host = b.host and p.branch = b.branch and p.depth = b.depth)
+select page_id, u.host, path, rule, coalesce(what, case when x.host is not null then 'block' else 'allow' end) as verdict
+from ruled u left join rejected x on u.host = x.host and u.seg = x.seg"""
+
+
+@query("op9_url_filter", URL_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"))
 
 
-@query("op2_embedding_near_dedup")
+LINK_SQL = """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+fine as (
+  select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.r as a, b.r as b from fine a join fine b on a.label = b.label and a.r <> b.r
+  where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.93e0 else false end),
+reach(r, root) as (
+  select r, vec_id from v union select links.b, reach.root from reach join links on links.a = reach.r),
+least_ids as (select r, min(root) as component_id from reach group by r),
+counts as (select a as r, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept
+from v join least_ids using (r) left join counts using (r)"""
+
+
+@query("op2_embedding_near_dedup", LINK_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked(read(spark, sf_dir, "embeddings"))
 
