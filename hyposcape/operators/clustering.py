@@ -19,6 +19,7 @@ from .kernels import BlockKernel, Kernel, Points, affinity_degrees, cross_apply,
 from .ordered import attach, hash_take, quantile_row, row_prefix
 from .sampling import corrupt_labels
 from .solver import check_bounded, median_of
+from .testing import rank_p_values
 
 
 def kmeans(df: DataFrame, k: int, features: str = "v", seed: int = 42, out: str = "cluster") -> DataFrame:
@@ -29,47 +30,59 @@ def kmeans(df: DataFrame, k: int, features: str = "v", seed: int = 42, out: str
 
 
 def spectral_embedding(
-    df: DataFrame, kernel: Kernel, k: int = 10, iterations: int = 12, oversample: int = 6, seed: int = 42
+    df: DataFrame, kernel: Kernel, k: int = 10, iterations: int = 60, oversample: int = 6, seed: int = 42, tol: float = 1e-6
 ) -> tuple[DataFrame, DataFrame]:
     """Leading eigenpairs of the normalised affinity by block subspace iteration.
 
-    The distributed kernel multiplies a thin bundle of vectors; only the small inner-product matrix of the bundle
-    (k + oversample squared) reaches the driver, where it is factorised.  Returns (``id, u array``), (``rank, value``).
+    The distributed kernel multiplies a thin bundle of vectors; only small inner-product matrices of the bundle
+    (k + oversample squared) reach the driver.  A round is two products and ends when every wanted pair has a residual
+    ||A u - value u|| of at most ``tol``; after ``iterations`` rounds the best pairs are returned as they are.
+    Returns (``id, u array``), (``rank, value, residual``).
     """
     deg = affinity_degrees(Points.pack(df.select("id", "v")), kernel)
     scaled = cut_lineage(df.select("id", "v").join(deg, "id").withColumn("s", F.lit(1.0) / F.sqrt("degree")))
     bk = BlockKernel.build(Points.pack(scaled.select("id", "v", "s"), extra=["s"]), kernel, scale="s")
-    p = k + oversample
-    y = scaled.select("id", F.array(*[hash_uniform("id", f"sub{j}|{seed}") - 0.5 for j in range(p)]).alias("y"))
-
-    def inner(a: DataFrame, left: str, right: str) -> np.ndarray:
-        cells = [F.sum(F.col(left)[i] * F.col(right)[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(p) if i <= j]
-        row = a.agg(*cells).first()
-        m = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                m[i, j] = m[j, i] = row[f"c{i}_{j}"]
-        return m
-
-    def rotate(a: DataFrame, m: np.ndarray, width: int) -> DataFrame:
-        cols = [F.array(*[F.lit(float(x)) for x in m[:, j]]) for j in range(width)]
-        dot = lambda c: F.aggregate(F.zip_with("y", c, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    width = k + oversample
+    y = scaled.select("id", F.array(*[hash_uniform("id", f"sub{j}|{seed}") - 0.5 for j in range(width)]).alias("y"))
+
+    def grams(both: DataFrame) -> np.ndarray:
+        """y'y, y'Ay and (Ay)'(Ay), summed per partition first."""
+
+        def part(batches):
+            total = 0.0
+            for pdf in batches:
+                if len(pdf):
+                    u, au = np.stack(pdf["y"].to_numpy()), np.stack(pdf["ay"].to_numpy())
+                    total = total + np.stack([u.T @ u, u.T @ au, au.T @ au])
+            if np.ndim(total):
+                yield pd.DataFrame({"g": [total.ravel()]})
+
+        sums = both.select("y", "ay").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("at", "x"))
+        cells = sums.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # 3 width^2 numbers
+        return np.array([r["x"] for r in cells]).reshape(3, width, width)
+
+    def rotate(a: DataFrame, column: str, m: np.ndarray) -> DataFrame:
+        cols = [F.array(*[F.lit(float(x)) for x in m[:, j]]) for j in range(m.shape[1])]
+        dot = lambda c: F.aggregate(F.zip_with(column, c, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
         return a.select("id", F.array(*[dot(c) for c in cols]).alias("y"))
 
     for step in range(iterations):
-        g = cut_lineage(bk.matvec(y, p))
-        if step % 2 == 0 and step < iterations - 1:  # eigenvalues are at most one, so every other step may go unscaled
-            y = g
-            continue
-        vals, vecs = np.linalg.eigh(inner(g, "y", "y"))
-        y = cut_lineage(rotate(g, vecs / np.sqrt(np.maximum(vals, 1e-300)), p))
-    both = cut_lineage(y.join(bk.matvec(y, p).withColumnRenamed("y", "ay"), "id"))
-    vals, vecs = np.linalg.eigh(inner(both, "y", "ay"))
-    order = np.argsort(vals)[::-1][:k]
-    emb = cut_lineage(rotate(both.select("id", "y"), vecs[:, order], k).withColumnRenamed("y", "u"))
+        both = cut_lineage(y.join(bk.matvec(y, width).withColumnRenamed("y", "ay"), "id"))
+        yy, ya, aa = grams(both)
+        size, q = np.linalg.eigh((yy + yy.T) / 2)
+        white = q[:, size > 1e-12 * size[-1]] / np.sqrt(size[size > 1e-12 * size[-1]])
+        vals, vecs = np.linalg.eigh(white.T @ (ya + ya.T) @ white / 2)
+        pairs = white @ vecs[:, ::-1]
+        vals = vals[::-1]
+        residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", pairs, aa, pairs) - vals**2, 0.0))
+        if residual[:k].max() <= tol or step == iterations - 1:
+            break
+        width = pairs.shape[1]
+        y = cut_lineage(bk.matvec(rotate(both, "ay", pairs / np.maximum(np.abs(vals), 1e-6)), width))
+    emb = cut_lineage(rotate(both, "y", pairs[:, :k]).withColumnRenamed("y", "u"))
     bk.release()
-    eig = df.sparkSession.createDataFrame([(i + 1, float(vals[o])) for i, o in enumerate(order)], "rank int, value double")
-    return emb, eig
+    rows = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(vals[:k], residual[:k], strict=True))]
+    return emb, df.sparkSession.createDataFrame(rows, "rank int, value double, residual double")
 
 
 def eigengap(eig: DataFrame, by: Sequence[str] = (), ignore_first: bool = False) -> DataFrame:
@@ -358,6 +371,20 @@ def local_outlier_scores(pts: Points, k: int = 20) -> DataFrame:
     return out.withColumn("score", F.when(F.col("lof") > 1.5, 1.0).otherwise(-1.0))
 
 
+def anomaly_p_values(df: DataFrame, method: str = "knn", k: int | None = None, digits: int = 9, **kw) -> DataFrame:
+    """Features (id, v) -> (id, score, p): 'knn' mean distance, 'lof' or 'isolation' score, then the rank p-value.  Scores are
+    rounded to ``digits`` so that equal rows tie."""
+    if method == "isolation":
+        score = isolation_scores(df, **kw)
+    elif method == "lof":
+        score = local_outlier_scores(Points.pack(df.select("id", "v")), k or 20).select("id", F.col("lof").alias("score"))
+    elif method == "knn":
+        score = neighbours(Points.pack(df.select("id", "v")), k or 10, include_self=True).groupBy("id").agg(F.avg("d").alias("score"))
+    else:
+        raise ValueError(f"no anomaly score named {method}")
+    return rank_p_values(cut_lineage(score.withColumn("score", F.round("score", digits))), "score")
+
+
 def isolation_scores(df: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation forest: every tree grows in its own task from its own small hash sample; the forest (at most
     trees * 2 * sample nodes) travels to the rows, which are scored in one pass.  Higher means more anomalous."""

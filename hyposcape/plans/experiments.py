@@ -61,6 +61,23 @@ def lambda_sensitivity(sets: DataFrame, kernel: Kernel, cfg: SolverConfig, lambd
     return tuning.sensitivity(runs.where("method = 'spatial'"))
 
 
+def structural_run(
+    points: DataFrame, kernel: Kernel, cfg: SolverConfig, effects: Sequence[str] = ("weak", "medium", "strong"), n_total: int = 500,
+    group: str = "group_id", level: float = 0.1,
+) -> DataFrame:
+    """Mixed cluster sample, one dataset an effect size, both methods on the same rows: a log row per (dataset, method) and,
+    as dataset 'all', the means over the datasets."""
+    rows = points.select("id", F.col(group).alias("cluster"))
+    sample = clustering.mixed_cluster_sample(rows, n_total).select("id", "label").join(points.select("id", "v"), "id")
+    sample = cut_lineage(sample)
+    sets = None
+    for effect in effects:
+        one = sampling.p_values(sample, effect).withColumn("dataset", F.lit(effect))
+        sets = one if sets is None else sets.unionByName(one)
+    runs = cut_lineage(evaluate_sets(sets, kernel, cfg, level, ["dataset"]).select("dataset", "method", "power", "FDR"))
+    return runs.unionByName(metrics.method_means(runs).withColumn("dataset", F.lit("all")))
+
+
 def euclidean_design(points: DataFrame, targets: Sequence[int], min_size: int, effect: str = "medium", pool: int = 10000, seed: int = 42) -> DataFrame:
     """Standardise, draw the candidate pool, pick Ward clusters, assign labels and p-values: (dataset, id, v, group_id,
     label, p)."""

@@ -185,7 +185,10 @@ def graph_smooth_fdr(spark, sf):
 @query("graph_allspace")
 def graph_allspace(spark, sf):
     nodes, e = bounded_graph(spark, sf, 1000, 50)
-    nodes = sampling.train_test_split(nodes)
+    nodes = cut_lineage(sampling.train_test_split(nodes.drop("f0", "f1")))
+    # densities of the training part only
+    fit = density.gaussian_shift(nodes.where("split = 'train'"), by=["dataset"])
+    nodes = density.with_gaussian_shift(nodes, by=["dataset"], fit=fit)
     out = graph.allspace_alpha(nodes, e, make_config("graph_allspace", max_iter=500), GLOBAL_PRESETS["graph_allspace"])
     return out.where("split = 'test'").select("dataset", "id", "alpha_null")
 

@@ -278,14 +278,14 @@ def square_experiment(spark, sf):
 
 @query("spectral_gap")
 def spectral_gap(spark, sf):
-    _, eig = clustering.spectral_embedding(points(spark, sf), Kernel("rbf", 0.7), k=6, iterations=8)
+    _, eig = clustering.spectral_embedding(points(spark, sf), Kernel("rbf", 0.7), k=6)
     return clustering.eigengap(eig.withColumn("dataset", F.lit("points")), ["dataset"])
 
 
 @query("spectral_scan")
 def spectral_scan(spark, sf):
     pts = points(spark, sf)
-    emb, eig = clustering.spectral_embedding(pts, Kernel("rbf", 0.7), k=3, iterations=8)
+    emb, eig = clustering.spectral_embedding(pts, Kernel("rbf", 0.7), k=3)
     blocks = clustering.kmeans(emb, 3, "u").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("dataset", F.lit("points"))
     gaps = clustering.eigengap(eig.withColumn("dataset", F.lit("points")), ["dataset"], ignore_first=True)
     return clustering.structure_report(gaps, blocks)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, in_top_right
@@ -19,9 +21,15 @@ def load_points_head(spark, sf):
     return df.select("id", "y", rnd(F.col("v")[0], 9).alias("x0"))
 
 
-@query("list_datasets")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("list_datasets", " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS n FROM {t}" for t in TABLES))
 def datasets(spark, sf):
-    return list_datasets(spark, sf)
+    """The stored datasets and their rows; discovery names them, each is read."""
+    names = [r["dataset"] for r in list_datasets(spark, sf).select("dataset").distinct().orderBy("dataset").collect()]
+    counts = [table(spark, sf, n).agg(F.lit(n).alias("dataset"), F.count(F.lit(1)).alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("subsample", f"WITH {POINTS} SELECT id, group_id FROM pts ORDER BY {hash_sql('id', 'sub|42')}, id LIMIT 200")

@@ -47,7 +47,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def order_buckets(spark: SparkSession) -> int:
     """How many ordered buckets replace a single-partition sort; grows with the shuffle width."""
-    return max(64, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def ship(spark: SparkSession) -> None:
