@@ -32,57 +32,69 @@ def kmeans(df: DataFrame, k: int, features: str = "v", seed: int = 42, out: str
 def spectral_embedding(
     df: DataFrame, kernel: Kernel, k: int = 10, iterations: int = 60, oversample: int = 6, seed: int = 42, tol: float = 1e-6
 ) -> tuple[DataFrame, DataFrame]:
-    """Leading eigenpairs of the normalised affinity by block subspace iteration.
+    """Leading eigenpairs of the normalised affinity by a locally optimal block method.
 
-    The distributed kernel multiplies a thin bundle of vectors; only small inner-product matrices of the bundle
-    (k + oversample squared) reach the driver.  A round is two products and ends when every wanted pair has a residual
-    ||A u - value u|| of at most ``tol``; after ``iterations`` rounds the best pairs are returned as they are.
+    The distributed kernel multiplies a thin bundle of vectors, one product a round.  The next pairs are the best ones in
+    the span of the present vectors, their residuals and the last directions; only small inner-product matrices (squares
+    of three bundle widths) reach the driver.  Rounds end when every wanted pair has a residual ||A u - value u|| of at most
+    ``tol``, at the latest after ``iterations``; the residual reached is returned.
     Returns (``id, u array``), (``rank, value, residual``).
     """
     deg = affinity_degrees(Points.pack(df.select("id", "v")), kernel)
     scaled = cut_lineage(df.select("id", "v").join(deg, "id").withColumn("s", F.lit(1.0) / F.sqrt("degree")))
     bk = BlockKernel.build(Points.pack(scaled.select("id", "v", "s"), extra=["s"]), kernel, scale="s")
     width = k + oversample
-    y = scaled.select("id", F.array(*[hash_uniform("id", f"sub{j}|{seed}") - 0.5 for j in range(width)]).alias("y"))
+    none = F.array().cast("array<double>")
+    # b = vectors and directions, ab = their products, y = what the kernel multiplies next
+    state = scaled.select("id", none.alias("b"), none.alias("ab"), F.array(*[hash_uniform("id", f"sub{j}|{seed}") - 0.5 for j in range(width)]).alias("y"))
 
-    def grams(both: DataFrame) -> np.ndarray:
-        """y'y, y'Ay and (Ay)'(Ay), summed per partition first."""
+    def grams(rows: DataFrame, n: int) -> np.ndarray:
+        """b'b, b'Ab and (Ab)'(Ab), summed per partition first."""
 
         def part(batches):
-            total = 0.0
+            total = np.zeros((3, n, n))
             for pdf in batches:
                 if len(pdf):
-                    u, au = np.stack(pdf["y"].to_numpy()), np.stack(pdf["ay"].to_numpy())
-                    total = total + np.stack([u.T @ u, u.T @ au, au.T @ au])
-            if np.ndim(total):
-                yield pd.DataFrame({"g": [total.ravel()]})
+                    u, au = np.stack(pdf["b"].to_numpy()), np.stack(pdf["ab"].to_numpy())
+                    total += np.stack([u.T @ u, u.T @ au, au.T @ au])
+            yield pd.DataFrame({"g": [total.ravel()]})
 
-        sums = both.select("y", "ay").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("at", "x"))
-        cells = sums.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # 3 width^2 numbers
-        return np.array([r["x"] for r in cells]).reshape(3, width, width)
-
-    def rotate(a: DataFrame, column: str, m: np.ndarray) -> DataFrame:
-        cols = [F.array(*[F.lit(float(x)) for x in m[:, j]]) for j in range(m.shape[1])]
-        dot = lambda c: F.aggregate(F.zip_with(column, c, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
-        return a.select("id", F.array(*[dot(c) for c in cols]).alias("y"))
+        sums = rows.select("b", "ab").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("at", "x"))
+        cells = sums.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # 3 n^2 numbers
+        return np.array([r["x"] for r in cells]).reshape(3, n, n)
 
+    n_old, wide = 0, width
     for step in range(iterations):
-        both = cut_lineage(y.join(bk.matvec(y, width).withColumnRenamed("y", "ay"), "id"))
-        yy, ya, aa = grams(both)
-        size, q = np.linalg.eigh((yy + yy.T) / 2)
-        white = q[:, size > 1e-12 * size[-1]] / np.sqrt(size[size > 1e-12 * size[-1]])
-        vals, vecs = np.linalg.eigh(white.T @ (ya + ya.T) @ white / 2)
-        pairs = white @ vecs[:, ::-1]
-        vals = vals[::-1]
+        product = bk.matvec(state.select("id", "y"), wide).withColumnRenamed("y", "ay")
+        rows = cut_lineage(state.join(product, "id").select("id", F.concat("b", "y").alias("b"), F.concat("ab", "ay").alias("ab")))
+        bb, ba, aa = grams(rows, n_old + wide)
+        unit = 1 / np.sqrt(np.maximum(np.diag(bb), 1e-300))
+        size, q = np.linalg.eigh((bb + bb.T) / 2 * unit[:, None] * unit)
+        white = unit[:, None] * q[:, size > 1e-10 * size[-1]] / np.sqrt(size[size > 1e-10 * size[-1]])
+        vals, vecs = np.linalg.eigh(white.T @ (ba + ba.T) @ white / 2)
+        pairs, vals = white @ vecs[:, ::-1][:, :width], vals[::-1][:width]
         residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", pairs, aa, pairs) - vals**2, 0.0))
         if residual[:k].max() <= tol or step == iterations - 1:
             break
-        width = pairs.shape[1]
-        y = cut_lineage(bk.matvec(rotate(both, "ay", pairs / np.maximum(np.abs(vals), 1e-6)), width))
-    emb = cut_lineage(rotate(both, "y", pairs[:, :k]).withColumnRenamed("y", "u"))
+        along = pairs.copy()
+        along[: min(n_old, len(vals))] = 0.0  # the last step's vectors left out: the direction moved in
+        mix = np.hstack([pairs, along]) if n_old else pairs
+
+        def turn(batches, mix=mix, w=len(vals), vals=vals, residual=residual):
+            for pdf in batches:
+                if len(pdf):
+                    u, au = np.stack(pdf["b"].to_numpy()) @ mix, np.stack(pdf["ab"].to_numpy()) @ mix
+                    rest = (au[:, :w] - u[:, :w] * vals) / np.maximum(residual, 1e-12)
+                    yield pd.DataFrame({"id": pdf["id"], "b": list(u), "ab": list(au), "y": list(rest)})
+
+        state = cut_lineage(rows.mapInPandas(turn, "id bigint, b array<double>, ab array<double>, y array<double>"))
+        n_old, wide = mix.shape[1], len(vals)
+    first = [F.array(*[F.lit(float(x)) for x in pairs[:, j]]) for j in range(min(k, len(vals)))]
+    dot = lambda c: F.aggregate(F.zip_with("b", c, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    emb = cut_lineage(rows.select("id", F.array(*[dot(c) for c in first]).alias("u")))
     bk.release()
-    rows = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(vals[:k], residual[:k], strict=True))]
-    return emb, df.sparkSession.createDataFrame(rows, "rank int, value double, residual double")
+    found = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(vals[:k], residual[:k], strict=True))]
+    return emb, df.sparkSession.createDataFrame(found, "rank int, value double, residual double")
 
 
 def eigengap(eig: DataFrame, by: Sequence[str] = (), ignore_first: bool = False) -> DataFrame:

@@ -10,10 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 import __spark_entry__ as entry  # noqa: E402
 
-QUICK = [
-    "bh_events", "bh_threshold_by_type", "bh_adjusted", "local_fdr", "lfdr_step_up_ties", "roc_auc", "metrics_log", "normal_transforms",
-    "k_folds", "keep_first", "kernel_row_sums", "predict_alpha", "graph_laplacian_plain", "enrichment",
-]
+from hyposcape.queries import ORACLE  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
     from check_oracle import rows_of
 

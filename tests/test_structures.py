@@ -138,6 +138,28 @@ def test_spectral_embedding_and_gap(spark):
     assert all(len(set(labels[i : i + 30])) == 1 for i in (0, 30, 60)) and len(set(labels)) == 3
 
 
+def test_spectral_residuals_small_input(spark):
+    """Fewer rows than the bundle is wide; equal points."""
+    rows = [(i, [float(i // 2), 0.0]) for i in range(8)]
+    emb, eig = clustering.spectral_embedding(spark.createDataFrame(rows, "id bigint, v array<double>"), Kernel("rbf", 1.0), k=3)
+    got = eig.orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and abs(got[0].value - 1) < 1e-9 and max(r.residual for r in got) <= 1e-6
+    u = np.array([r.u for r in emb.orderBy("id").collect()])
+    assert np.allclose(u.T @ u, np.eye(3), atol=1e-8) and np.allclose(u[::2], u[1::2])
+
+
+def test_anomaly_chain(spark):
+    """Every score ranks the far point first, and equal scores share a p-value."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 3)), [[9.0, 9.0, 9.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(61), "v": list(x)}), "id bigint, v array<double>")
+    for method in ("knn", "lof", "isolation"):
+        out = clustering.anomaly_p_values(df, method).toPandas().sort_values("p")
+        assert len(out) == 61 and out.id.iloc[0] == 60 and out.p.iloc[0] == pytest.approx(1e-10) and out.p.between(0, 1).all()
+    with pytest.raises(ValueError):
+        clustering.anomaly_p_values(df, "none")
+
+
 def test_designs(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(m, 0.4, size=(80, 2)) for m in (0.0, 5.0, 10.0)])
