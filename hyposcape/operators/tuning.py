@@ -17,6 +17,14 @@ from .solver import PRESETS, SolverConfig, check_bounded, descend, median_of
 
 GRID = ("lambda_reg", "lambda_bound", "learning_rate", "gradient_clip", "sigma_factor")
 
+# The hyper-parameter search of 144 settings.
+FULL_GRID = {
+    "lambda_reg": [0.001, 0.004, 0.01, 0.05],
+    "lambda_bound": [10.0, 50.0, 100.0, 500.0],
+    "learning_rate": [0.005, 0.01, 0.02],
+    "gradient_clip": [5.0, 10.0, 20.0],
+}
+
 
 def settings(spark, grid: dict[str, Sequence[float]]) -> DataFrame:
     """Cartesian product of the given value lists as a small relation with a setting number."""
