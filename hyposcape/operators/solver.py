@@ -122,6 +122,28 @@ def descend(k, f0, f1, cfg: SolverConfig):
     return c, log
 
 
+def descend_grid(k, f0, f1, cfg: SolverConfig, lambdas: Sequence[float]) -> np.ndarray:
+    """Coefficients for every ``lambda_reg`` side by side, one column each: the kernel is read once a step for all of them."""
+    if cfg.method != "constant":
+        return np.column_stack([descend(k, f0, f1, replace(cfg, lambda_reg=float(v)))[0] for v in lambdas])
+    lam = np.asarray(lambdas, dtype=float)
+    c = np.repeat(start_of(k, cfg)[:, None], len(lam), axis=1)
+    f0, f1, live = f0[:, None], f1[:, None], np.arange(len(lam))
+    for t in range(cfg.max_iter):
+        now = c[:, live]
+        a = k @ now
+        edge = np.maximum(0, a - 1) - np.maximum(0, -a)
+        g = (f1 - f0) / np.maximum(a * f0 + (1 - a) * f1, cfg.floor) + 2 * lam[live] * now + 2 * cfg.lambda_bound * edge
+        norm = np.sqrt((g * g).sum(0))
+        go = (norm >= cfg.tol) if t > 100 else np.ones(len(live), dtype=bool)
+        step = cfg.learning_rate * np.where(norm > cfg.gradient_clip, cfg.gradient_clip / np.maximum(norm, 1e-300), 1.0)
+        c[:, live[go]] = (now - step * g)[:, go]
+        live = live[go]
+        if not len(live):
+            break
+    return c
+
+
 def lbfgs(loss, grad, x, cfg: SolverConfig, memory: int = 10):
     """Limited-memory quasi-Newton with backtracking."""
     s_list, y_list, g, f = [], [], grad(x), loss(x)

@@ -9,6 +9,7 @@ from ..operators import density, enrichment, graph, sampling, testing
 from ..operators.solver import GLOBAL_PRESETS, make_config
 from ..plans.graph_bench import GraphBench
 from ..session import cut_lineage
+from ..sources.config import log_grid
 from ..sources.fixtures import hyp_parts, part_edges
 from ..sources.tables import table
 from .registry import hash_sql, ppf_sql, query, rnd, uniform_sql
@@ -168,8 +169,7 @@ def graph_structure(spark, sf):
 def graph_lambda_tuning(spark, sf):
     nodes, e = bounded_graph(spark, sf, 500, 25)
     nodes = sampling.k_folds(nodes, 3)
-    cfg = make_config("graph_gsea", max_iter=300)
-    out = graph.tune_lambda(nodes, e, cfg, lambdas=[1e-3, 1.0, 10.0, 1e3])
+    out = graph.tune_lambda(nodes, e, make_config("graph_gsea"), lambdas=log_grid())
     return out.groupBy("dataset", "beta", "lam").agg(F.avg("nll").alias("mean_nll"))
 
 
@@ -177,7 +177,7 @@ def graph_lambda_tuning(spark, sf):
 def graph_smooth_fdr(spark, sf):
     """Sampled graph -> diffusion kernel -> Stage 1 -> local FDR -> running-mean step-up."""
     nodes, e = bounded_graph(spark, sf, 1000, 50)
-    a = graph.smooth_alpha(nodes, e, make_config("graph_gsea", max_iter=500))
+    a = graph.smooth_alpha(nodes, e, make_config("graph_gsea"))
     a = cut_lineage(a.withColumn("lfdr", local_fdr("alpha", "f0", "f1", floor=None)))
     return testing.lfdr_step_up(a, by=["dataset"]).select("dataset", "id", "alpha", "lfdr", "verdict", "rejected")
 
@@ -189,7 +189,7 @@ def graph_allspace(spark, sf):
     # densities of the training part only
     fit = density.gaussian_shift(nodes.where("split = 'train'"), by=["dataset"])
     nodes = density.with_gaussian_shift(nodes, by=["dataset"], fit=fit)
-    out = graph.allspace_alpha(nodes, e, make_config("graph_allspace", max_iter=500), GLOBAL_PRESETS["graph_allspace"])
+    out = graph.allspace_alpha(nodes, e, make_config("graph_allspace"), GLOBAL_PRESETS["graph_allspace"])
     return out.where("split = 'test'").select("dataset", "id", "alpha_null")
 
 
@@ -205,5 +205,5 @@ def graph_bench_run(spark, sf):
         "pathways": both(members),
         "positives": both(members.where(F.col("pathway").startswith("brand")).select("pathway").distinct()),
     }
-    bench = GraphBench(make_config("graph_gsea", max_iter=200), 400, 20, 1000, 50, (1.0, 10.0))
+    bench = GraphBench(make_config("graph_gsea"), lambdas=log_grid())
     return bench.run(bundle)

@@ -194,3 +194,18 @@ def test_replicates_are_bounded_and_repeatable(spark):
     b = experiments.replicates(df.repartition(7), ["none", "strong"], "medium", 3, 40).toPandas()
     key = ["condition", "seed", "id"]
     assert np.allclose(a.sort_values(key).p, b.sort_values(key).p)
+
+
+def test_grid_descent_equals_single_descents():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 2))
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1))
+    f0, f1 = np.ones(40), rng.gamma(1.0, 2.0, 40)
+    lam = [1e-15, 0.5, 10.0, 1e20]
+    # a step small enough to converge: beyond that the descent is chaotic and rounding alone sets two runs apart
+    common = {"max_iter": 400, "learning_rate": 0.002, "lambda_bound": 10.0}
+    cfg = solver.make_config("default", **common)
+    got = solver.descend_grid(k, f0, f1, cfg, lam)
+    for j, v in enumerate(lam):
+        want = solver.descend(k, f0, f1, solver.make_config("default", lambda_reg=v, **common))[0]
+        assert np.allclose(got[:, j], want, rtol=1e-7, atol=1e-9)
