@@ -1,15 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 The markup is read once by a tolerant scanner into blocks (text between block-level tags) with their length, the share of their
-characters inside links, the share of stop words and their container. Pass one classifies each block:
+characters inside links, the share of stop words and their container. Pass one classifies every block by these:
 
 * bad: inside a boilerplate container (navigation, header, footer, sidebar, form, notice, advert, comments, hidden parts), or mostly
-  links; outside the article if the page marks one;
-* good: inside a marked article; else long and dense in stop words;
-* bad: long without stop words; near: in between; short: too short to tell.
+  links;
+* good: long and dense in stop words; bad: long without stop words; near: in between; short: too short to tell.
+
+A marked article moves labels by one step, it does not decide alone. The mark counts unless the text outside it that is dense in stop
+words is more than MARK characters and more than the text of the largest marked article (articles that are teaser cards). Where it
+counts, blocks inside go up (long without stop words and short to near, near to good) and blocks outside go down (good to near, near to
+short, short to bad). Where it does not, all labels stay.
 
 Pass two gives short and near blocks the label of the nearest decided neighbour (near blocks take good from either side, a short
-block between different labels takes the nearer one, on a tie the one before). Good blocks are joined in page order.
+block between different labels takes the nearer one, on a tie the one before). Undecided blocks inside an article look at decided
+blocks inside articles only; if there are none they are kept where the mark counts. Good blocks are joined in page order.
 
 Defined cases: null and empty html give an empty text. Text without markup is one block and kept. Unclosed and stray tags are
 tolerated; an unclosed script, style or comment ends with the page. Repeated rows each get a row. An empty table gives an empty
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +71,10 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""([a-z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
-SHORT, LONG, FEW, MANY, LINKS = 70, 200, 0.12, 0.22, 0.33
+SHORT, LONG, FEW, MANY, LINKS, ALL_LINKS = 70, 200, 0.12, 0.22, 0.33, 0.8
+MARK = 400  # dense characters outside that a marked article outweighs whatever it holds
+UP = {"sparse": "near", "short": "near", "near": "good"}
+DOWN = {"sparse": "bad", "good": "near", "near": "short", "short": "bad"}
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -93,22 +102,24 @@ def container_kind(tag: str, raw: str, in_article: bool) -> str | None:
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-Block = tuple[str, int, str | None, bool]
+Block = tuple[str, int, str | None, bool, int]
 
 
 def blocks(page: str) -> list[Block]:
-    """(text with white space collapsed, characters inside links, container kind, is a heading) of every non-empty block in page order."""
+    """(text with white space collapsed, characters inside links, container kind, is a heading, number of the innermost marked
+    article or 0) of every non-empty block in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str | None]] = []  # open elements and what holds from there: bad outweighs article
+    stack: list[tuple[str, str | None, int]] = []  # open elements and what holds from there: bad outweighs article
     parts: list[str] = []
     linked, in_link, heading = 0, False, False
     state: str | None = None
+    article, articles = 0, 0
 
     def close():
         nonlocal linked, parts
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, min(linked, len(text)), state, heading))
+            out.append((text, min(linked, len(text)), state, heading, article))
         parts, linked = [], 0
 
     def said(chunk: str):
@@ -145,7 +156,7 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    state = stack[-1][1] if stack else None
+                    state, article = stack[-1][1:] if stack else (None, 0)
                     break
                 if stack[i][0] in ("article", "main", "body", "nav", "footer", "header", "aside", "form") and tag not in BLOCK_TAGS:
                     break  # an inline end tag does not close a section
@@ -156,50 +167,69 @@ def blocks(page: str) -> list[Block]:
             if kind is not None or tag not in LOOSE_TAGS:
                 if tag in LOOSE_TAGS and stack and stack[-1][0] == tag:
                     stack.pop()
-                    state = stack[-1][1] if stack else None
+                    state, article = stack[-1][1:] if stack else (None, 0)
                 if kind is not None and not block:
                     close()
                 state = "bad" if "bad" in (state, kind) else kind or state
-                stack.append((tag, state))
+                if kind == "article":
+                    articles += 1
+                    article = articles
+                stack.append((tag, state, article))
     said(page[at:])
     close()
     return out
 
 
+def by_density(text: str, linked: int, kind: str | None) -> str:
+    """Label of a block by its links, length and stop words; 'sparse' is long without stop words."""
+    n, links = len(text), linked / len(text)
+    if kind == "bad" or links > (ALL_LINKS if kind == "article" else LINKS):
+        return "bad"
+    if n < SHORT:
+        return "bad" if kind != "article" and (links > 0 or "©" in text) else "short"
+    words = WORD.findall(text.lower())
+    dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return "good" if dense >= MANY and n >= LONG else "near" if dense >= FEW else "sparse"
+
+
+def mark_counts(found: list[Block], first: list[str]) -> bool:
+    """Whether the page's marked articles are where its main text is."""
+    held: dict[int, int] = {}
+    outside = 0
+    for (text, _, kind, _, article), x in zip(found, first, strict=True):
+        if kind == "article" and x != "bad":
+            held[article] = held.get(article, 0) + len(text)
+        elif kind is None and x in ("good", "near"):
+            outside += len(text)
+    return bool(held) and outside <= max(MARK, *held.values())
+
+
 def labels(found: list[Block]) -> list[bool]:
     """Pass one and pass two: True for blocks of the main text."""
-    marked = any(kind == "article" for _, _, kind, _ in found)
-    first: list[str] = []
-    for text, linked, kind, _ in found:
-        n, links = len(text), linked / len(text)
-        if kind == "bad" or (marked and kind != "article") or links > LINKS and (kind != "article" or n < SHORT or links > 0.8):
-            first.append("bad")
-        elif kind == "article":
-            first.append("good")
-        elif n < SHORT:
-            first.append("bad" if links > 0 or "©" in text else "short")
-        else:
-            words = WORD.findall(text.lower())
-            dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            first.append("good" if dense >= MANY and n >= LONG else "near" if dense >= FEW else "bad")
-    if "good" not in first:  # nothing is decided: what is dense counts, else what is short
-        first = ["good" if x == "near" else x for x in first]
-        if "good" not in first:
-            first = ["good" if x == "short" else x for x in first]
-    decided = [i for i, x in enumerate(first) if x in ("good", "bad")]
+    first = [by_density(*b[:3]) for b in found]
+    inside = [b[2] == "article" for b in found]
+    counts = mark_counts(found, first)
+    if counts:
+        first = [(UP if own else DOWN).get(x, x) for x, own in zip(first, inside, strict=True)]
+    first = ["bad" if x == "sparse" else x for x in first]
+    # nothing is decided: what is dense counts, else what is short; inside the article before outside
+    for own, label in [(True, "near"), (False, "near"), (True, "short"), (False, "short")]:
+        if "good" not in first and (counts or not own):
+            first = ["good" if x == label and y == own else x for x, y in zip(first, inside, strict=True)]
+    everywhere = [i for i, x in enumerate(first) if x in ("good", "bad")]
+    within = [i for i in everywhere if inside[i]]
     out = []
-    below = 0
     for i, x in enumerate(first):
         if x in ("good", "bad"):
             out.append(x == "good")
             continue
-        while below < len(decided) and decided[below] < i:
-            below += 1
+        decided = within if inside[i] else everywhere
+        below = bisect_left(decided, i)
         left = decided[below - 1] if below else None
         right = decided[below] if below < len(decided) else None
         sides = [first[j] for j in (left, right) if j is not None]
         if x == "near" or len(set(sides)) < 2:
-            out.append("good" in sides or not sides)
+            out.append("good" in sides or not sides and (counts or not inside[i]))
         else:
             after = right - i < i - left or (right - i == i - left and found[i][3])
             out.append(first[right if after else left] == "good")

@@ -358,6 +358,22 @@ def test_html():
     assert len(m("<article>" + "<p>word of the day</p>" * 50_000)) == 16 * 50_000 - 1
 
 
+def test_html_article_is_one_feature():
+    m = html_text.main_text
+    body = " ".join("The of and in a word that is more or less the same as it was and so on. ".split()) + " "
+    body = (body * 6).strip()
+    cards = "".join(f"<article><h3><a href='/{i}'>Card number {i}</a></h3><p>A teaser of a few words {i}</p></article>" for i in range(4))
+    assert m(f"<div><h1>Title</h1><p>{body}</p><p>{body}</p></div>{cards}") == f"Title {body} {body}"
+    assert m(f"{cards}<div><h1>Title</h1><p>{body}</p><p>{body}</p></div>") == f"Title {body} {body}"
+    # an article that holds more keeps its weight: text beside it is undecided, boilerplate in between ends it
+    own = f"<article><h1>T</h1><p>{body}</p><p>{body}</p><p>Tables 1 2 3</p></article>"
+    assert m(f"<p>{body}</p>{own}") == f"{body} T {body} {body} Tables 1 2 3"
+    assert m(f"{own}<nav>x</nav><p>{body}</p>") == f"T {body} {body} Tables 1 2 3"
+    # a short block with some links takes the label of its neighbours, a list of links stays out
+    assert m(f"<article><p>{body}</p><p>Seen by <a href='/'>many people</a> here</p><p>{body}</p></article>") == f"{body} Seen by many people here {body}"
+    assert m(f"<article><p>{body}</p><p><a href='/'>many people of the town</a></p></article>") == body
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article>a</article>"), (1, "u", "<article>a</article>"), (None, None, None), (2, "v", "")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text")).collect()
