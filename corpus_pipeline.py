@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: quality filter, line dedup, near-dedup, mixing, packing.
+"""A training corpus from raw documents: quality filter, line dedup, near-dedup by fingerprint and by shingles, mixing, packing.
 
 Each stage takes the documents its predecessor kept; its result is written as Parquet and read again for the next. All but
 the last return the columns of documents. Intermediate tables lie in the shared folder and are deleted by
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hyposcape.llm import common, line_dedup, mixing, packing, quality, simhash
+from hyposcape.llm import common, line_dedup, mixing, near_copies, packing, quality, simhash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.representatives(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What three differing bits leave: copies with edits, five-word similarity 0.8 or more."""
+    return near_copies.representatives(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
@@ -36,6 +41,7 @@ STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_repeated_lines),
     ("near_dedup", one_of_each_group),
+    ("near_copies", one_of_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -197,8 +197,12 @@ def representatives(docs: DataFrame, words: int = 3, seed: int = 42, max_bits: i
 
     Rows with a null doc_id stay only if their group has no other id; one of them is kept.
     """
+    return rows_of_least(docs, components_of(docs, words, seed, max_bits))
+
+
+def rows_of_least(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its own component_id in ids(doc_id, component_id), one a doc_id."""
     columns = docs.columns
-    ids = components_of(docs, words, seed, max_bits)
     kept = ids.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     name = common.unique_name(columns, "_kept")
     kept = common.scratch(kept.select(F.col("doc_id").alias(name), "n"), "kept-ids")

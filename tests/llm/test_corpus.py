@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from hyposcape.llm import byte_net, chat_format, components, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, sketches, url_filter
+from hyposcape.llm import byte_net, chat_format, components, embedding_dedup, html_text, line_dedup, mixing, near_copies, packing, quality, simhash, sketches, url_filter
 from hyposcape.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -500,6 +500,53 @@ def test_simhash_links_are_exact_in_crowded_cells(spark, monkeypatch):
     assert all(len(g) == 1 for g in pairs.values()) and len({next(iter(g)) for g in pairs.values()}) == len(pairs)
 
 
+def word_sets(texts, n=5):
+    parts = [(t or "").split() for t in texts]
+    return [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in parts]
+
+
+def test_near_copies_beyond_three_bits(spark, empty):
+    """Copies with edits of one word in forty: three bits leave them, five-word similarity does not; alike texts below 0.8 stay."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(12):
+        base = words(400 if g else 300, 100 + g).split()
+        for c in range(1 + 20 * (g == 0) + g % 3):
+            w = list(base)
+            for k in rng.choice(len(w), c % 5 * 2, replace=False):
+                w[k] = f"x{c}"
+            texts.append(" ".join(w))
+        half = list(base)
+        for k in range(0, 200, 10):
+            half[k] = "y"
+        texts.append(" ".join(half))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order] + [None, "", "one two", "one two"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1), (None, "a b c d e f", None, None, 1)], DOCS).repartition(4)
+    sets = word_sets(texts)
+    alike = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) > 0 for b in sets] for a in sets])
+    root = reach(alike)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components_of(docs).collect()}
+    kept = sorted(r["doc_id"] for r in near_copies.representatives(docs).where("doc_id is not null").collect())
+    assert all(root[i] == root[c] and c <= i for i, c in got.items() if i is not None)  # every link is a path of near copies
+    assert kept == sorted({c for c in got.values() if c is not None})
+    assert not any(alike[i, j] for i in kept for j in kept if i < j)  # and no near copy stays
+    assert len(kept) < len({r["doc_id"] for r in simhash.representatives(docs).collect()})
+    assert near_copies.representatives(empty).count() == 0
+
+
+@needs_tables
+def test_pipeline_keeps_no_near_copies(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = [f for name, f in P.STAGES if name not in ("quality", "line_dedup", "mixing", "packing")]
+    for stage in stages:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+    sets = word_sets([re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]) for r in docs.collect()])
+    assert len(sets) > 100 and not [1 for i, a in enumerate(sets) for b in sets[:i] if len(a & b) >= 0.8 * len(a | b)]
+
+
 # ---- queries and pipeline
 
 
