@@ -37,6 +37,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file to a place that Spark's file systems reach; ``release_tables`` deletes it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    _tables.append(path)
+
+
 def delete(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

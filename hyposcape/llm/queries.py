@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, sketches, url_filter
+from . import bpe, chat_format, embedding_dedup, html_text, line_dedup, mixing, packing, quality, simhash, sketches, url_filter, vector_codes, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,54 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     found = chat_format.preferences(turns, chat_format.neighbour_pairs(turns))
     return found.withColumns({c: chat_format.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def codes_sql(entries: int = 256, rounds: int = 4, parts: int = 4) -> str:
+    """Every round is two tables: the assignment of the parts, and the codebook moved to their floored means."""
+    near = """select x.r, x.part, x.v, arg_min(b.entry, (x.vv + b.vv - 2 * list_dot_product(x.v, b.v), b.entry)) as entry,
+  min(x.vv + b.vv - 2 * list_dot_product(x.v, b.v)) as d from x join book{k} b on x.part = b.part group by x.r, x.part, x.v"""
+    moved = """select part, entry, v, list_dot_product(v, v) as vv from (
+  select b.part, b.entry, coalesce(m.v, b.v) as v from book{k} b left join (
+    select part, entry, list(q order by pos) as v from (
+      select part, entry, pos, ((sum(c)::hugeint - ((sum(c)::hugeint % count(*)) + count(*)) % count(*)) // count(*))::double as q
+      from (select part, entry, unnest(v)::bigint as c, unnest(range(len(v))) as pos from near{k}) group by part, entry, pos)
+    group by part, entry) m on b.part = m.part and b.entry = m.entry)"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"near{k} as materialized ({near.format(k=k)})")
+        if k < rounds:
+            steps.append(f"book{k + 1} as materialized ({moved.format(k=k)})")
+    rest = ",\n".join(steps)
+    return f"""
+with usable as (
+  select vec_id, label, embedding, len(embedding) as d from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+kept as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::double)) as v
+  from usable where d = (select d from usable group by d order by count(*) desc, d desc limit 1)),
+x as materialized (
+  select r, part, v, list_dot_product(v, v) as vv from (
+    select r, part, v[(part * len(v)) // {parts} + 1:((part + 1) * len(v)) // {parts}] as v from kept, (select unnest(range({parts})) as part))),
+book0 as (select part, r - 1 as entry, v, vv from x where r <= {entries}),
+{rest},
+coded as (
+  select r, string_agg(lower(format('{{:02x}}', entry)), '' order by part) as code, sum(d)::bigint as error from near{rounds} group by r),
+books as (select sha256(string_agg(list_aggregate(v::bigint[], 'string_agg', ','), ',' order by part, entry)) as h from book{rounds}),
+named as (select kept.vec_id, kept.label, code, error from kept join coded using (r))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, (select h from books) as codebooks_sha256 from named"""
+
+
+@query("op12_vector_codes", codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_bpe_round_trip")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decoded(bpe.encoded(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
