@@ -4,10 +4,13 @@ Texts with equal shingle sets are one node. A node's BANDS keys, each of ROWS Mi
 similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS (0.999997 at 0.8). Every link is decided by the exact
 similarity of the two sets.
 
-A bucket is worked off in rounds: its members are compared with a few leaders (the smallest ids of hashed parts of the bucket), then
-the leaders leave, and so do members linked to a leader with a smaller id. A group of copies so costs a few rows a member, not
-its square; the number of leaders grows with the rounds, so that a bucket of unlike texts also ends. Of two rows that stay none is a
-near copy of the other if they shared a bucket: the first to leave it was a leader and met the other, or is linked to a smaller id.
+Bands are worked off in a few steps, the first of one band: a text that is linked to one with a smaller id leaves all later bands, so a
+large group of copies shrinks before it would fill every bucket. A bucket is worked off in rounds: its members are compared with a
+few leaders (the smallest ids of hashed parts of the bucket), then the leaders leave it. A pair is compared once a round, in however many
+buckets it meets. A group of copies so costs a few rows a member, not its square; the number of leaders grows with the rounds, so
+that a bucket of unlike texts also ends. Of two rows that stay none is a near copy of the other if they shared a bucket: the
+first to leave it was a leader and met the other, or is linked to a smaller id. Every text that goes has a link to a smaller id; links
+between texts that both go may be missing, so a chain of near copies may keep more than its smallest id, never two alike.
 
 Defined cases: texts without words are one node. Fewer words than a shingle are one shingle. Null ids, repeated ids and repeated rows
 as in ``simhash.representatives``. An empty table gives an empty result.
@@ -32,6 +35,7 @@ BANDS, ROWS = 32, 5
 SIMILARITY = 0.8
 SLICE = 8 << 20
 STRIP = 4096
+STEPS = (1, 3, 8, BANDS)  # ends of the groups of bands worked off together
 MORE = 4  # leaders of a bucket in round r: MORE to the power r
 _DRAWN = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -88,18 +92,18 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) whose shingle sets are at least ``similarity`` alike."""
+    """Those (a, b, larger) whose shingle sets are at least ``similarity`` alike, with the node of the larger id."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "left", SLICE):
                 sides = [[np.frombuffer(r, np.uint64) for r in batch.column(c).to_pylist()] for c in ("left", "right")]
                 alike = pa.array([jaccard(x, y) >= similarity for x, y in zip(*sides, strict=True)], pa.bool_())
-                yield batch.select(["a", "b"]).filter(alike)
+                yield batch.select(["a", "b", "node"]).filter(alike)
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.col("larger.node").alias("node"), "left", "right").mapInArrow(check, "a long, b long, node long")
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -110,30 +114,39 @@ def crowded(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """nodes(node, least, n, keys, one doc_id of it) -> (a, b): links that leave no two near copies unlinked to a smaller id."""
     at = nodes.select(F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("least"), "node", "n").alias("m"), F.posexplode("keys").alias("band", "key"))
-    members = common.scratch(crowded(at.select(F.xxhash64("band", "key").alias("bucket"), "m")), "buckets")
-    wanted = members.select("m.node").distinct()
+    everyone = common.scratch(crowded(at.select("band", F.xxhash64("band", "key").alias("bucket"), "m")), "buckets")
+    wanted = everyone.select("m.node").distinct()
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_id")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     sets = common.scratch(sets_of(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
-    out, leaders = None, 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("m.node", F.lit(leaders)), F.lit(leaders))
-        heads = members.groupBy("bucket", part.alias("part")).agg(F.min("m").alias("h")).select("bucket", "h")
-        heads = common.scratch(heads, "leaders")
-        met = members.join(heads, "bucket").where("m.node <> h.node").where(F.least("m.n", "h.n") >= similarity * F.greatest("m.n", "h.n"))
-        met = common.scratch(met.select("bucket", "m", "h", F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")), "met")
-        found = common.scratch(verified(met.select("a", "b").distinct(), sets, similarity), "near-links")
-        out = found if out is None else out.union(found)
-        gone = met.where("h < m").join(found, ["a", "b"], "left_semi").select("bucket", "m").union(heads.select("bucket", "h")).distinct()
-        left = common.scratch(crowded(members.join(gone, ["bucket", "m"], "left_anti")), "buckets")
-        for used in (members, heads, met):
-            common.delete(used)
-        members, leaders = left, leaders * MORE
-    return docs.sparkSession.createDataFrame([], "a long, b long") if out is None else out
+    out = docs.sparkSession.createDataFrame([], "a long, b long")
+    gone = docs.sparkSession.createDataFrame([], "node long")  # nodes linked to a smaller id: they need no other link
+    for first, end in zip((0, *STEPS), STEPS, strict=False):
+        step = everyone.where(F.col("band").between(first, end - 1)).select("bucket", "m")
+        members = common.scratch(crowded(without(step, gone)), "buckets")
+        leaders = 1
+        while not members.isEmpty():
+            part = F.pmod(F.xxhash64("m.node", F.lit(leaders)), F.lit(leaders))
+            heads = common.scratch(members.groupBy("bucket", part.alias("part")).agg(F.min("m").alias("h")).select("bucket", "h"), "leaders")
+            met = members.join(heads, "bucket").where("m.node <> h.node").where(F.least("m.n", "h.n") >= similarity * F.greatest("m.n", "h.n"))
+            met = met.select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"), F.greatest("m", "h").alias("larger")).distinct()
+            found = common.scratch(verified(met, sets, similarity), "near-links")
+            out, new = out.union(found.select("a", "b")), found.select("node").distinct()
+            gone = common.scratch(gone.union(new).distinct(), "gone")
+            left = without(members, new).join(heads.withColumnRenamed("h", "m"), ["bucket", "m"], "left_anti")
+            left = common.scratch(crowded(left), "buckets")
+            for used in (members, heads):
+                common.delete(used)
+            members, leaders = left, leaders * MORE
+    return out
+
+
+def without(members: DataFrame, gone: DataFrame) -> DataFrame:
+    return members.join(gone, F.col("m.node") == gone["node"], "left_anti")
 
 
 def components_of(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """docs -> (doc_id, component_id): component_id is the smallest doc_id reachable over links, itself included."""
+    """docs -> (doc_id, component_id): component_id is the smallest doc_id reachable over the links found, itself included."""
     marked = common.scratch(signed(docs, words), "signatures")
     nodes = common.scratch(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "set-nodes")
     member = components(links(docs, nodes, similarity, words)).withColumnRenamed("node", "_node")

@@ -19,6 +19,7 @@ is ignored in component ids unless its group has no other id. An empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,10 +201,11 @@ def representatives(docs: DataFrame, words: int = 3, seed: int = 42, max_bits: i
     return rows_of_least(docs, components_of(docs, words, seed, max_bits))
 
 
-def rows_of_least(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its own component_id in ids(doc_id, component_id), one a doc_id."""
+def rows_of_least(docs: DataFrame, *groupings: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its own component_id in every grouping (doc_id, component_id), one a doc_id."""
     columns = docs.columns
-    kept = ids.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = [ids.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.lit(1).alias("k")) for ids in groupings]
+    kept = own[0] if len(own) == 1 else reduce(DataFrame.union, own).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") == len(own))
     name = common.unique_name(columns, "_kept")
     kept = common.scratch(kept.select(F.col("doc_id").alias(name), "n"), "kept-ids")
     rows = docs.join(kept.select(name).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")

@@ -602,11 +602,19 @@ def test_pipeline(spark):
     assert set(kept["quality"]) <= {tuple(r) for r in docs.collect()} and len(kept["quality"]) > 100
     lines = brute_lines(kept["quality"])
     assert {(r[0], r[1]) for r in kept["line_dedup"]} == {(d, t) for d, _, _, t in lines}
-    before = kept["line_dedup"]
+    before = list(kept["line_dedup"])
+    before.sort()
     fp = np.array([brute_fingerprint(r[1]) for r in before], np.uint64)
-    root = reach(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)
-    least = {min(before[k][0] for k in np.flatnonzero(root == r)) for r in set(root)}
-    assert {r[0] for r in kept["near_dedup"]} == least and len(kept["near_dedup"]) == len(least)
+    close = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    sets = word_sets([re.sub("[A-Z]", lambda m: m[0].lower(), r[1]) for r in before])
+    alike = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) > 0 for b in sets] for a in sets])
+    bits, both = reach(close), reach(close | alike)  # rows are in id order: the root of a row is its smallest id
+    stays = [k for k, r in enumerate(before) if r in set(kept["near_dedup"])]
+    assert len(stays) == len(kept["near_dedup"]) < len(before)
+    assert all(bits[k] == k for k in stays)  # no other of its fingerprint group is smaller
+    assert not (alike | close)[np.ix_(stays, stays)][~np.eye(len(stays), dtype=bool)].any()  # no two that stay are near copies
+    assert {int(r) for r in both} <= set(stays)  # the smallest of every group stays
+    assert all((alike | (bits[:, None] == bits[None]))[k, :k].any() for k in range(len(before)) if k not in stays)  # who goes has a smaller one
     counted = collections.Counter(kept["mixing"])
     assert set(counted) <= set(kept["near_dedup"]) and max(counted.values()) <= 3
     assert collections.Counter(r[0] for r in kept["packing"] if r[1] == 0) == collections.Counter(r[0] for r in kept["mixing"])
