@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: quality filter, line dedup, near-dedup by fingerprint and by shingles, mixing, packing.
+"""A training corpus from raw documents: quality filter, line dedup, near-dedup by fingerprint and shingles, mixing, packing.
 
 Each stage takes the documents its predecessor kept; its result is written as Parquet and read again for the next. All but
 the last return the columns of documents. Intermediate tables lie in the shared folder and are deleted by
@@ -21,12 +21,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
-
-
-def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What three differing bits leave: copies with edits, five-word similarity 0.8 or more."""
-    return near_copies.representatives(docs)
+    """Documents that are the smallest id both of their fingerprint group (3 bits) and of their near copies, which three bits
+    may miss (five-word similarity 0.8 or more)."""
+    return simhash.rows_of_least(docs, simhash.components_of(docs), near_copies.components_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +38,6 @@ STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_repeated_lines),
     ("near_dedup", one_of_each_group),
-    ("near_copies", one_of_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
