@@ -206,10 +206,22 @@ def word_counts(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, path: str, size: int = LEXICON, column: str = "text") -> str:
-    """Compile the ``size`` most frequent words and hand the file to the executors; returns its name among Spark's files."""
+    """Compile at most ``size`` of the most frequent words and hand the file to the executors; returns its name among Spark's files.
+
+    Counts are told apart in eighths of powers of two; the lexicon takes the classes from the top that fit in whole, so no task
+    sends more than its words of them.
+    """
     spark = docs.sparkSession
     counted = word_counts(docs, path, column).where(F.octet_length("word") <= LONGEST)
-    words = [r["word"].encode() for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = common.scratch(counted.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "words")
+    fits, taken = None, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        taken += r["count"]
+        if taken > size:
+            break
+        fits = r["level"]
+    words = [r["word"].encode() for r in counted.where(F.col("level") >= F.lit(fits)).select("word").collect()]  # at most ``size``
+    common.delete(counted)
     vocab = vocabulary(path)
     name = f"{uuid.uuid4().hex}-lexicon"
     place = f"{common.shared_folder(spark)}/tables/{name}"

@@ -5,11 +5,12 @@ similarity s shares a bucket with probability 1 - (1 - s^ROWS)^BANDS (0.999997 a
 similarity of the two sets.
 
 Bands are worked off in a few steps, the first of one band: a text that is linked to one with a smaller id leaves all later bands, so a
-large group of copies shrinks before it would fill every bucket. A bucket is worked off in rounds: its members are compared with a
-few leaders (the smallest ids of hashed parts of the bucket), then the leaders leave it. A pair is compared once a round, in however many
-buckets it meets. A group of copies so costs a few rows a member, not its square; the number of leaders grows with the rounds, so
-that a bucket of unlike texts also ends. Of two rows that stay none is a near copy of the other if they shared a bucket: the
-first to leave it was a leader and met the other, or is linked to a smaller id. Every text that goes has a link to a smaller id; links
+large group of copies shrinks before it would fill every bucket. A step has two passes. In the first, a bucket is dealt by hash to units of
+bounded rows and shingles; a unit compares its members, in id order, with the earlier ones that are linked to no earlier one. A
+group of copies so costs one row a member and leaves a few members a unit. In the second pass, the rest of the buckets that
+needed several units meets in every pair of units; only a large bucket of unlike texts makes many of these. Sets go to the task that
+compares them and links come back, never pairs. Of two rows that stay none is a near copy of the other if they shared a bucket: in
+a unit where both are, the smaller is compared with the larger. Every text that goes has a link to a smaller id; links
 between texts that both go may be missing, so a chain of near copies may keep more than its smallest id, never two alike.
 
 Defined cases: texts without words are one node. Fewer words than a shingle are one shingle. Null ids, repeated ids and repeated rows
@@ -36,7 +37,7 @@ SIMILARITY = 0.8
 SLICE = 8 << 20
 STRIP = 4096
 STEPS = (1, 3, 8, BANDS)  # ends of the groups of bands worked off together
-MORE = 4  # leaders of a bucket in round r: MORE to the power r
+BLOCK, SHINGLES = 1024, 4 << 20  # rows and shingles of a unit
 _DRAWN = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -58,11 +59,6 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, node, n, keys): node is a hash of the shingle set, n its size."""
 
@@ -91,19 +87,63 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return common.add_id_check(docs, ["doc_id", "text"]).mapInArrow(make, "node long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b, larger) whose shingle sets are at least ``similarity`` alike, with the node of the larger id."""
+def greedy_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(later, earlier) for every set that is at least ``similarity`` alike to an earlier one that is not itself such a one."""
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    alive, out = np.arange(len(sets)), []
+    held, starts = codes, np.r_[0, np.cumsum(sizes)[:-1]]
+    marked = np.zeros(codes.max() + 1, np.int64)
+    at = 0
+    while at < len(alive) - 1:
+        first = alive[at]
+        mine = held[starts[at] : starts[at] + sizes[first]]
+        marked[mine] = 1
+        both = np.add.reduceat(marked[held[starts[at + 1] :]], starts[at + 1 :] - starts[at + 1])
+        marked[mine] = 0
+        later = alive[at + 1 :]
+        like = both >= similarity * (sizes[first] + sizes[later] - both)
+        if like.any():
+            out += [(int(k), int(first)) for k in later[like]]
+            stay = np.r_[np.ones(at + 1, bool), ~like]
+            held = held[np.repeat(stay, sizes[alive])]
+            alive = alive[stay]
+            starts = np.r_[0, np.cumsum(sizes[alive])[:-1]]
+        at += 1
+    return out
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in common.slices(whole, "left", SLICE):
-                sides = [[np.frombuffer(r, np.uint64) for r in batch.column(c).to_pylist()] for c in ("left", "right")]
-                alike = pa.array([jaccard(x, y) >= similarity for x, y in zip(*sides, strict=True)], pa.bool_())
-                yield batch.select(["a", "b", "node"]).filter(alike)
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.col("larger.node").alias("node"), "left", "right").mapInArrow(check, "a long, b long, node long")
+def compared(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """units(bucket, i, j, m) -> (a, b, node): links between members of a unit, a < b, with the node of the larger id."""
+    spark = units.sparkSession
+    placed = units.join(sets, F.col("m.node") == sets["node"]).select("bucket", "i", "j", F.col("m.least").alias("least"), "node", "shingles")
+    placed = placed.repartition(common.shuffle_width(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "least", "node")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs():
+            key, nodes, found = None, [], []
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True))
+                ids, raw = batch.column("node").to_pylist(), batch.column("shingles")
+                for k, node, value in zip(keys, ids, raw, strict=True):
+                    if k != key:
+                        if len(nodes) > 1:
+                            yield nodes, found
+                        key, nodes, found = k, [], []
+                    nodes.append(node)
+                    found.append(np.frombuffer(value.as_py(), np.uint64))
+            if len(nodes) > 1:
+                yield nodes, found
+
+        later, earlier = [], []
+        for nodes, found in runs():
+            for x, y in greedy_links(found, similarity):
+                later.append(nodes[x])
+                earlier.append(nodes[y])
+        x, y = np.array(later, np.int64), np.array(earlier, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(x)], names=["a", "b", "node"])
+
+    return placed.mapInArrow(check, "a long, b long, node long")
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -124,23 +164,36 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, wor
     for first, end in zip((0, *STEPS), STEPS, strict=False):
         step = everyone.where(F.col("band").between(first, end - 1)).select("bucket", "m")
         members = common.scratch(crowded(without(step, gone)), "buckets")
-        leaders = 1
-        while not members.isEmpty():
-            part = F.pmod(F.xxhash64("m.node", F.lit(leaders)), F.lit(leaders))
-            heads = common.scratch(members.groupBy("bucket", part.alias("part")).agg(F.min("m").alias("h")).select("bucket", "h"), "leaders")
-            met = members.join(heads, "bucket").where("m.node <> h.node").where(F.least("m.n", "h.n") >= similarity * F.greatest("m.n", "h.n"))
-            met = met.select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b"), F.greatest("m", "h").alias("larger")).distinct()
-            found = common.scratch(verified(met, sets, similarity), "near-links")
-            out, new = out.union(found.select("a", "b")), found.select("node").distinct()
-            gone = common.scratch(gone.union(new).distinct(), "gone")
-            left = without(members, new).join(heads.withColumnRenamed("h", "m"), ["bucket", "m"], "left_anti")
-            left = common.scratch(crowded(left), "buckets")
-            for used in (members, heads):
-                common.delete(used)
-            members, leaders = left, leaders * MORE
+        for whole in (False, True):
+            units, large = units_of(members, whole), None
+            found = common.scratch(compared(units, sets, similarity), "near-links")
+            out, gone = out.union(found.select("a", "b")), common.scratch(gone.union(found.select("node")).distinct(), "gone")
+            if not whole:
+                large = common.scratch(parts_of(members).where("parts > 1"), "large-buckets")
+                left = common.scratch(crowded(without(members.join(large, "bucket", "left_semi"), gone)), "buckets")
+                common.delete(members)
+                members = left
+                if large.isEmpty():
+                    break
+        common.delete(members)
     return out
 
 
+def parts_of(members: DataFrame) -> DataFrame:
+    """(bucket, parts): how many units of bounded rows and shingles a bucket needs."""
+    return members.groupBy("bucket").agg(F.ceil(F.sum(1 / F.lit(BLOCK) + F.col("m.n") / F.lit(float(SHINGLES)))).cast("int").alias("parts"))
+
+
+def units_of(members: DataFrame, whole: bool) -> DataFrame:
+    """Members dealt to the parts of their bucket by hash; ``whole``: to every pair of parts that holds theirs, so all members meet."""
+    met = members.join(parts_of(members), "bucket")
+    part = F.pmod(F.xxhash64("m.node"), F.col("parts")).cast("int")
+    if not whole:
+        return met.select("bucket", part.alias("i"), part.alias("j"), "m")
+    met = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "m")
+
+
 def without(members: DataFrame, gone: DataFrame) -> DataFrame:
     return members.join(gone, F.col("m.node") == gone["node"], "left_anti")
 
