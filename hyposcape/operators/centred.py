@@ -21,6 +21,9 @@ from .solver import GlobalConfig, SolverConfig, lbfgs, start_of
 
 STRIP_CELLS = 4_000_000
 MOST_CENTRES = 5000  # K and its factor lie on the driver: m * m doubles
+NEWTON_CENTRES = 1500  # beyond it a task's m * m curvature sums are too much to send; quasi-Newton steps do without
+LADDER = np.r_[1.0, np.arange(0.9, 0.05, -0.1), 2.0 ** -np.arange(4, 30)]  # step lengths tried in one pass
+BOUND_PATH = (1 / 625, 1 / 125, 1 / 25, 1 / 5, 1.0)  # shares of the bound penalty: walls that rise keep Newton steps long
 
 Terms = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -41,6 +44,21 @@ def stage1_terms(cfg: SolverConfig) -> Terms:
     return terms
 
 
+def stage1_curvature(cfg: SolverConfig):
+    """Second derivative of each row's loss."""
+
+    def curvature(a, f0, f1):
+        raw = a * f0 + (1 - a) * f1
+        return np.where(raw > cfg.floor, ((f1 - f0) / np.maximum(raw, cfg.floor)) ** 2, 0.0) + 2 * cfg.lambda_bound * ((a < 0) | (a > 1))
+
+    return curvature
+
+
+def stage2_curvature(g, target):
+    s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+    return s * (1 - s)
+
+
 def stage2_terms(g, target):
     """Logistic loss and slope of each row for a score g and a target in [0, 1]."""
     g = np.clip(g, -500, 500)
@@ -75,6 +93,97 @@ def linear_pass(rows: DataFrame, columns: Sequence[str], z: np.ndarray, kernel:
     return evaluate
 
 
+def summed(parts: DataFrame, rounds: int = 2) -> np.ndarray:
+    """Sum of equally long vectors (part binary), merged in rounds of ever fewer tasks; the last few meet on the driver."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0):
+                v = np.frombuffer(raw.as_py(), np.float64)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    width = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    for _ in range(rounds):
+        parts, width = parts.repartition(width).mapInArrow(merge, "part binary"), max(1, int(width**0.5))
+    return np.sum([np.frombuffer(r["part"], np.float64) for r in parts.collect()], axis=0)
+
+
+def newton_passes(rows: DataFrame, columns: Sequence[str], z: np.ndarray, kernel: Kernel, terms: Terms, curvature):
+    """Two passes over all rows (v, columns...): c -> (loss, violations, pull, curvature sums), and (c, d) -> losses at c - t d."""
+    m, sent = len(z), rows.sparkSession.sparkContext.broadcast(z)  # centres: bounded by NEWTON_CENTRES
+    upper = np.triu_indices(m)
+
+    def strips(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, STRIP_CELLS // m)):
+                part = batch.slice(at, max(1, STRIP_CELLS // m))
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                yield kernel.of_distance(distances(x, sent.value, False)), [part.column(n).to_numpy(zero_copy_only=False) for n in columns]
+
+    def total(add, width: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(width)
+            for k, given in strips(batches):
+                add(out, k, given)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+        return summed(rows.select("v", *columns).mapInArrow(run, "part binary"))
+
+    def second_order(c: np.ndarray):
+        def add(out, k, given):
+            a = k @ c
+            value, slope, off = terms(a, *given)
+            out[:2] += value.sum(), off.sum()
+            out[2 : 2 + m] += slope @ k
+            out[2 + m :] += (k.T @ (curvature(a, *given)[:, None] * k))[upper]
+
+        got = total(add, 2 + m + len(upper[0]))
+        h = np.zeros((m, m))
+        h[upper] = got[2 + m :]
+        return got[0], int(got[1]), got[2 : 2 + m], h + h.T - np.diag(np.diag(h))
+
+    def ladder(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        def add(out, k, given):
+            a, step = k @ c, k @ d
+            out += [terms(a - t * step, *given)[0].sum() for t in LADDER]
+
+        return total(add, len(LADDER))
+
+    return second_order, ladder
+
+
+def newton(second_order, ladder, k: np.ndarray, lam: float, start: np.ndarray, guard: int, jitter: float = 1e-8, tol: float = 1e-10):
+    """Minimise losses + lam c'Kc by Newton steps in the variable where the penalty is round; two passes a step.
+
+    Ends when the Newton decrement says that the loss is within ``tol`` (relative) of its least value; more than ``guard`` steps raise.
+    The log holds the root of the decrement in place of the gradient norm.
+    """
+    low = np.linalg.cholesky(k + jitter * np.eye(len(k)))
+    c, log = start, []
+    for step in range(guard + 1):
+        value, outside, pull, h = second_order(c)
+        f = value + lam * (c @ (k @ c))
+        g = np.linalg.solve(low, pull + 2 * lam * (k @ c))
+        inner = np.linalg.solve(low, np.linalg.solve(low, h).T)
+        inner = (inner + inner.T) / 2 + 2 * lam * np.eye(len(k))
+        turn = np.linalg.solve(inner, g)
+        decrement = float(g @ turn)
+        log.append((step, float(f), float(np.sqrt(max(decrement, 0.0))), outside))
+        if decrement <= tol * max(1.0, abs(f)):
+            return c, log
+        d = np.linalg.solve(low.T, turn)
+        penalty = lam * (c @ (k @ c) - 2 * LADDER * (c @ (k @ d)) + LADDER**2 * (d @ (k @ d)))
+        after = ladder(c, d) + penalty
+        best = 0 if after[0] <= f - 1e-4 * decrement else int(after.argmin())
+        if not after[best] < f:
+            break
+        c = c - LADDER[best] * d
+    raise RuntimeError(f"the fit did not settle in {step} steps: decrement {decrement}, loss {f}")
+
+
 @dataclass(frozen=True)
 class CentredFit:
     """Centres with coefficients and the log (step, loss, gradient norm, violations)."""
@@ -153,6 +262,16 @@ def fit_stage1(rows: DataFrame, centres: DataFrame, kernel: Kernel, cfg: SolverC
     """Null probability from all rows (v, f0, f1); rows must be valid (no nulls).  centres: (id, v)."""
     ids, z = collected(centres)
     k = kernel.of_distance(distances(z, z, True))
+    if cfg.method == "newton" and len(z) > NEWTON_CENTRES:
+        cfg = replace(cfg, method="lbfgs", max_iter=10 * cfg.max_iter, tol=1e-12)
+    if cfg.method == "newton":
+        c, log = np.full(len(z), 0.5 / k.sum(1).max()), []
+        for share in BOUND_PATH:
+            wall = replace(cfg, lambda_bound=cfg.lambda_bound * share)
+            passes = newton_passes(rows, ["f0", "f1"], z, kernel, stage1_terms(wall), stage1_curvature(wall))
+            c, part = newton(*passes, k, cfg.lambda_reg, c, cfg.max_iter, jitter, 1e-10 if share == 1 else 1e-2)
+            log += [(len(log) + i, *row[1:]) for i, row in enumerate(part)]
+        return CentredFit(ids, z, c, log)
     evaluate = linear_pass(rows, ["f0", "f1"], z, kernel, stage1_terms(cfg))
     # L-BFGS starts where every alpha is between 0 and about a half: inside the bounds, where the loss is smooth
     start = np.full(len(z), 0.5 / k.sum(1).max()) if cfg.method == "lbfgs" else start_of(k, cfg)
@@ -161,17 +280,25 @@ def fit_stage1(rows: DataFrame, centres: DataFrame, kernel: Kernel, cfg: SolverC
 
 
 def fit_stage2(rows: DataFrame, centres: DataFrame, kernel: Kernel, cfg: GlobalConfig, passes: int = 200, tol: float = 1e-6) -> CentredFit:
-    """Kernel logistic regression of all rows (v, alpha).  The objective is convex: L-BFGS finds the optimum that the step
-    methods of ``cfg`` approach."""
+    """Kernel logistic regression of all rows (v, alpha).  The objective is convex: Newton steps (L-BFGS for very many centres)
+    find the optimum that the step methods of ``cfg`` approach."""
     ids, z = collected(centres)
     k = kernel.of_distance(distances(z, z, True))
     if cfg.clip_target:
         rows = rows.withColumn("alpha", F.greatest(F.lit(cfg.clip_lo), F.least(F.lit(cfg.clip_hi), "alpha")))
+    if len(z) <= NEWTON_CENTRES:
+        steps = newton_passes(rows, ["alpha"], z, kernel, stage2_terms, stage2_curvature)
+        return CentredFit(ids, z, *newton(*steps, k, cfg.lambda_global, np.zeros(len(z)), passes))
     conf = SolverConfig(method="lbfgs", max_iter=passes, tol=tol)
     c, log = minimise(linear_pass(rows, ["alpha"], z, kernel, stage2_terms), k, cfg.lambda_global, np.zeros(len(z)), conf)
     return CentredFit(ids, z, c, log)
 
 
+def by_newton(cfg: SolverConfig, guard: int = 100) -> SolverConfig:
+    """The same objective, minimised by Newton steps until it has settled; more than ``guard`` steps raise."""
+    return replace(cfg, method="newton", max_iter=guard)
+
+
 def by_lbfgs(cfg: SolverConfig, passes: int) -> SolverConfig:
     """The same objective, minimised by L-BFGS until a step gains less than ``tol`` of the loss."""
     return replace(cfg, method="lbfgs", max_iter=passes)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import lgamma
 from ..session import cut_lineage
@@ -24,32 +27,40 @@ def log_choose(n: Column, k: Column) -> Column:
     return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
 
 
+@F.pandas_udf(DoubleType())
+def tail_series(first: pd.Series, x: pd.Series, M: pd.Series, n: pd.Series, N: pd.Series, up: pd.Series) -> pd.Series:
+    """Sum of the terms from x away from the mode, given the first: all rows in step, a row ends when its terms no longer count.
+
+    The ratio of neighbouring terms falls on the way, so once a term t has ratio r < 1 the rest is below t r / (1 - r).
+    """
+    t, x, M, n, N = (c.to_numpy(float).copy() for c in (first, x, M, n, N))
+    up, total = up.fillna(True).to_numpy(bool), t.copy()
+    live = np.flatnonzero(t > 0)
+    while len(live):
+        p, m, k, d = x[live], M[live], n[live], N[live]
+        r = np.where(up[live], (k - p) * (d - p) / ((p + 1) * (m - k - d + p + 1)), p * (m - k - d + p) / ((k - p + 1) * (d - p + 1)))
+        t[live] *= r
+        total[live] += t[live]
+        x[live] += np.where(up[live], 1.0, -1.0)
+        live = live[(t[live] > 0) & ((r >= 1) | (t[live] * r > 1e-17 * total[live] * (1 - r)))]
+    return pd.Series(total)
+
+
 def hypergeom_sf(k: Column, M: Column, n: Column, N: Column) -> Column:
     """P(X >= k) for X hypergeometric: population M, n marked, N drawn.
 
     The first term comes from log-gammas, the others by the ratio of neighbours, summed away from the mode so
-    that terms only shrink: upwards from k above the mode, else one minus the lower tail downwards from k - 1.
+    that terms only shrink: upwards from k above the mode, else one minus the lower tail downwards from k - 1.  A set needs a
+    few spreads of the distribution in terms and no memory, however large it is.
     """
     k, M, n, N = (c.cast("double") for c in (k, M, n, N))
     top, low = F.least(n, N), F.greatest(F.lit(0.0), n + N - M)
-    mode = F.floor((n + 1) * (N + 1) / (M + 2))
-
-    def term(x: Column) -> Column:
-        return F.exp(log_choose(n, x) + log_choose(M - n, N - x) - log_choose(M, N))
-
-    def tail(first: Column, steps: Column, ratio) -> Column:
-        start = F.struct(term(first).alias("t"), term(first).alias("s"), first.alias("x"))
-
-        def step(acc: Column, _: Column) -> Column:
-            t = acc["t"] * ratio(acc["x"])[0]
-            return F.struct(t.alias("t"), (acc["s"] + t).alias("s"), (acc["x"] + ratio(acc["x"])[1]).alias("x"))
-
-        seq = F.when(steps >= 1, F.sequence(F.lit(1), steps.cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(seq, start, step)["s"]
-
-    up = tail(k, top - k, lambda x: ((n - x) * (N - x) / ((x + 1) * (M - n - N + x + 1)), 1.0))
-    down = tail(k - 1, k - 1 - low, lambda x: (x * (M - n - N + x) / ((n - x + 1) * (N - x + 1)), -1.0))
-    out = F.when(k <= low, 1.0).when(k > top, 0.0).when(k > mode, up).otherwise(F.lit(1.0) - down)
+    above = k > F.floor((n + 1) * (N + 1) / (M + 2))
+    x = F.when(above, k).otherwise(k - 1)
+    inside = (k > low) & (k <= top)
+    first = F.when(inside, F.exp(log_choose(n, x) + log_choose(M - n, N - x) - log_choose(M, N)))
+    tail = tail_series(first, x, M, n, N, above)
+    out = F.when(k <= low, 1.0).when(k > top, 0.0).when(above, tail).otherwise(F.lit(1.0) - tail)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), out))
 
 

@@ -188,8 +188,9 @@ def rolling_by_rank(
     The window is a share of the group, so no frame is materialised: each row subtracts two prefix sums that
     it finds by rank.  Rows without a full frame get NULL.
     """
-    y = F.col(value)
-    pre = row_prefix(df, order, key, by, {"y": y, "yy": y * y})
+    mean = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).groupBy(*by).agg(F.avg(value).alias("_mid"))
+    y = F.col(value) - F.col("_mid")  # moments about the group's mean: squares of large values would cancel
+    pre = row_prefix(attach(df, mean, by, "left"), order, key, by, {"y": y, "yy": y * y})
     pre = pre.withColumn("w", F.greatest(F.lit(min_width), F.floor(F.col("rk_n") / parts)).cast("bigint"))
     after = F.floor((F.col("w") - 1) / 2).cast("bigint")
     pre = pre.withColumn("_hi", F.col("rk") + after).withColumn("_lo", F.col("rk") + after - F.col("w"))
@@ -200,9 +201,9 @@ def rolling_by_rank(
     s = F.col("_y1") - F.coalesce("_y0", F.lit(0.0))
     ss = F.col("_yy1") - F.coalesce("_yy0", F.lit(0.0))
     var = (ss - s * s / F.col("w")) / (F.col("w") - 1)
-    out = out.withColumn("roll_mean", F.when(full, s / F.col("w")))
+    out = out.withColumn("roll_mean", F.when(full, F.col("_mid") + s / F.col("w")))
     out = out.withColumn("roll_std", F.when(full, F.sqrt(F.greatest(var, F.lit(0.0)))))
-    return with_missing(out.drop("_hi", "_lo", "_y0", "_y1", "_yy0", "_yy1", "y_cum", "yy_cum"), df, order)
+    return with_missing(out.drop("_hi", "_lo", "_y0", "_y1", "_yy0", "_yy1", "y_cum", "yy_cum", "_mid"), df, order)
 
 
 def rank_p_values(

@@ -102,16 +102,16 @@ def euclidean_cv(design: DataFrame, sigmas: Sequence[float], cfg: SolverConfig,
 
 def allspace(
     train: DataFrame, everywhere: DataFrame, kernel: Kernel, cfg: SolverConfig, stage2: GlobalConfig = GLOBAL_PRESETS["allspace"],
-    n_centres: int = 500, passes: int = 200,
+    n_centres: int = 500, guard: int = 100,
 ) -> DataFrame:
     """Stage 1 and Stage 2 on all training rows (id, v, f0, f1) over ``n_centres`` of them, then the null probability at
     every location of ``everywhere``."""
     rows = cut_lineage(train.select("id", "v", "f0", "f1"))
     drawn = cut_lineage(sampling.subsample(rows.select("id", "v"), n_centres))
-    first = centred.fit_stage1(rows, drawn, kernel, centred.by_lbfgs(cfg, passes)).frame(train.sparkSession)
+    first = centred.fit_stage1(rows, drawn, kernel, centred.by_newton(cfg, guard)).frame(train.sparkSession)
     at = kernels.cross_apply(rows.select("v", F.col("v").alias("x")), first.withColumnRenamed("v", "x"), kernel, ["c"], "x")
     at = cut_lineage(at.select("v", clip("k_c", 0.0, 1.0).alias("alpha")))
-    coef = centred.fit_stage2(at, drawn, kernel, stage2, passes).frame(train.sparkSession)
+    coef = centred.fit_stage2(at, drawn, kernel, stage2, guard).frame(train.sparkSession)
     out = kernels.cross_apply(everywhere, coef, kernel, ["c"])
     return out.withColumn("alpha_null", expit("k_c")).drop("k_c")
 

@@ -19,14 +19,14 @@ class SpatialNullEstimator:
     """``fit`` learns alpha(x) from rows (id, v, p); ``density`` is 'gaussian_shift' or 'empirical_null'.
 
     ``n_centres`` rows in hash order are the kernel centres, a model parameter; every row enters the likelihood.  ``config``
-    names the objective; it is minimised by L-BFGS in at most ``passes`` steps of a few linear passes, or with ``passes`` = None by the
-    step method and iterations of ``config``.
+    names the objective; it is minimised by Newton steps of two linear passes until the loss is within 1e-10 of its least value (more than
+    ``guard`` steps raise), or with ``guard`` = None by the step method and iterations of ``config``.
     """
 
     kernel: Kernel = Kernel("matern", 1.0, 1.5)
     config: SolverConfig = PRESETS["facade"]
     n_centres: int = 500
-    passes: int | None = 60
+    guard: int | None = 100
     sigma_factor: float | None = None
     density: str = "gaussian_shift"
     global_config: GlobalConfig = GLOBAL_PRESETS["facade"]
@@ -47,7 +47,7 @@ class SpatialNullEstimator:
         if self.sigma_factor is not None:
             scale = kernels.median_length_scale(Points.pack(drawn)) * self.sigma_factor
             kernel = Kernel(kernel.kind, scale, kernel.nu)
-        cfg = self.config if self.passes is None else centred.by_lbfgs(self.config, self.passes)
+        cfg = self.config if self.guard is None else centred.by_newton(self.config, self.guard)
         centres = centred.fit_stage1(rows, drawn, kernel, cfg).frame(df.sparkSession)
         stage2 = None
         if entire_domain:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import local_fdr
-from ..operators import density, enrichment, graph, sampling, testing
+from ..operators import density, enrichment, graph, graph_fit, sampling, testing
 from ..operators.solver import GLOBAL_PRESETS, make_config
 from ..plans.graph_bench import GraphBench
 from ..session import cut_lineage
 from ..sources.config import log_grid
 from ..sources.fixtures import hyp_parts, part_edges
 from ..sources.tables import table
-from .registry import hash_sql, ppf_sql, query, rnd, uniform_sql
+from .registry import hash_sql, ppf_sql, query, rnd, sf_sql, uniform_sql
 
 EDGES = """raw AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::double AS w FROM lineitem a JOIN lineitem b
  ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_partkey<>b.l_partkey GROUP BY 1,2),
@@ -159,10 +159,52 @@ def bounded_graph(spark, sf, n_target: int, n_bins: int):
     return drawn.withColumn("dataset", F.lit("parts")), kept.withColumn("dataset", F.lit("parts"))
 
 
-@query("graph_structure")
+def whole_graph(spark, sf):
+    """All genes of the part graph with densities, and its edges."""
+    nodes, sub = graph.align(hyp_parts(spark, sf), cut_lineage(edges(spark, sf)))
+    nodes = cut_lineage(density.with_gaussian_shift(nodes, by=[]))
+    return nodes.withColumn("dataset", F.lit("parts")), cut_lineage(sub).withColumn("dataset", F.lit("parts"))
+
+
+@query(
+    "graph_structure",
+    f"""WITH {EDGES}, deg AS (SELECT id FROM dg) SELECT 'parts' AS dataset, count(*) AS n, 1::bigint AS n_ones, true AS settled FROM deg""",
+)
 def graph_structure(spark, sf):
-    nodes, e = bounded_graph(spark, sf, 1000, 50)
-    return graph.graph_structure(nodes.select("dataset", "id"), e)
+    """Spectral validator over every node: the part graph is one component, its second eigenvalue settles."""
+    nodes, e = whole_graph(spark, sf)
+    out = graph_fit.whole_structure(nodes, e)
+    return out.select("dataset", "n", "n_ones", (F.col("residual") <= 1e-4).alias("settled"))
+
+
+@query("graph_spectrum")
+def graph_spectrum(spark, sf):
+    nodes, e = whole_graph(spark, sf)
+    return graph_fit.whole_structure(nodes, e)
+
+
+TWO_PARTS = f"""hq AS (SELECT 'strong' AS dataset, p_partkey AS id, CASE WHEN p_size<=5 THEN pow(u,20e0) ELSE u END AS p FROM (SELECT *, {uniform_sql('p_partkey', 'gene|7')} AS u FROM part)
+ UNION ALL SELECT 'weak', p_partkey, CASE WHEN p_size<=5 THEN pow(u,1e0/0.3e0) ELSE u END FROM (SELECT *, {uniform_sql('p_partkey', 'gene|7')} AS u FROM part))"""
+
+
+@query(
+    "graph_alignment_moments",
+    f"""WITH {EDGES}, {TWO_PARTS}, z0 AS (SELECT dataset, id, {ppf_sql('1e0-least(1e0-1e-10,greatest(1e-10,p))')} AS z FROM hq),
+z AS (SELECT dataset, id, z-avg(z) OVER (PARTITION BY dataset) AS z FROM z0),
+ob AS (SELECT a.dataset, sum(w*a.z*b.z) AS observed, sum(w) AS s0, 2*sum(w*w) AS s1 FROM ed JOIN z a ON a.id=src JOIN z b ON b.id=dst AND b.dataset=a.dataset GROUP BY 1),
+mo AS (SELECT dataset, count(*)::double AS n, avg(z*z) AS m2, avg(z*z*z*z) AS m4, (SELECT 4*sum(degree*degree) FROM dg) AS s2 FROM z GROUP BY 1),
+ev AS (SELECT dataset, n, observed, -s0*m2/(n-1) AS e, (n*((n*n-3*n+3)*s1-n*s2+3*s0*s0)*m2*m2-m4*((n*n-n)*s1-2*n*s2+6*s0*s0))/((n-1)*(n-2)*(n-3)) AS q FROM mo JOIN ob USING (dataset)),
+st AS (SELECT *, sqrt(greatest(q-e*e,0e0))+1e-10 AS sd FROM ev)
+SELECT dataset, n::bigint AS n, round(observed,5) AS observed, round(e,5) AS mean_perm, round(sd,5) AS std_perm, round((observed-e)/sd,6) AS z_spatial,
+ round({sf_sql('(observed-e)/sd')},6) AS p_spatial, (observed-e)/sd>2e0 AS aligned FROM st""",
+)
+def graph_alignment_moments(spark, sf):
+    """Exact permutation moments of the alignment score of two datasets on the part graph."""
+    tag = lambda df, d: df.withColumn("dataset", F.lit(d))
+    nodes = tag(hyp_parts(spark, sf, a=0.05), "strong").unionByName(tag(hyp_parts(spark, sf, a=0.3), "weak"))
+    e = cut_lineage(edges(spark, sf))
+    out = graph.alignment_moments(tag(e, "strong").unionByName(tag(e, "weak")), nodes, ["dataset"])
+    return out.select("dataset", "n", *[rnd(c, 5).alias(c) for c in ("observed", "mean_perm", "std_perm")], rnd("z_spatial").alias("z_spatial"), rnd("p_spatial").alias("p_spatial"), "aligned")
 
 
 @query("graph_lambda_tuning")
@@ -175,21 +217,21 @@ def graph_lambda_tuning(spark, sf):
 
 @query("graph_smooth_fdr")
 def graph_smooth_fdr(spark, sf):
-    """Sampled graph -> diffusion kernel -> Stage 1 -> local FDR -> running-mean step-up."""
-    nodes, e = bounded_graph(spark, sf, 1000, 50)
-    a = graph.smooth_alpha(nodes, e, make_config("graph_gsea"))
+    """Every node of the graph: diffusion kernel -> Stage 1 -> local FDR -> running-mean step-up."""
+    nodes, e = whole_graph(spark, sf)
+    a = graph_fit.whole_alpha(nodes, e, make_config("graph_gsea"))
     a = cut_lineage(a.withColumn("lfdr", local_fdr("alpha", "f0", "f1", floor=None)))
-    return testing.lfdr_step_up(a, by=["dataset"]).select("dataset", "id", "alpha", "lfdr", "verdict", "rejected")
+    return testing.lfdr_step_up(a, by=["dataset"]).select("dataset", "id", "alpha", "lfdr", "rejected")
 
 
 @query("graph_allspace")
 def graph_allspace(spark, sf):
-    nodes, e = bounded_graph(spark, sf, 1000, 50)
+    nodes, e = whole_graph(spark, sf)
     nodes = cut_lineage(sampling.train_test_split(nodes.drop("f0", "f1")))
     # densities of the training part only
     fit = density.gaussian_shift(nodes.where("split = 'train'"), by=["dataset"])
-    nodes = density.with_gaussian_shift(nodes, by=["dataset"], fit=fit)
-    out = graph.allspace_alpha(nodes, e, make_config("graph_allspace"), GLOBAL_PRESETS["graph_allspace"])
+    nodes = cut_lineage(density.with_gaussian_shift(nodes, by=["dataset"], fit=fit))
+    out = graph_fit.whole_allspace(nodes, e, make_config("graph_allspace"), GLOBAL_PRESETS["graph_allspace"])
     return out.where("split = 'test'").select("dataset", "id", "alpha_null")
 
 

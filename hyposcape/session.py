@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and read it back; ``discard`` deletes it when nothing reads it any more."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of scratch tables."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def planned_at_once(spark: SparkSession):
+    """Without runtime re-planning: for long chains over tables that are already placed, where planning again after every
+    exchange costs more than it can gain."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def order_buckets(spark: SparkSession) -> int:
     """How many ordered buckets replace a single-partition sort; grows with the shuffle width."""
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

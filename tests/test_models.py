@@ -91,6 +91,31 @@ def test_centred_fits_settle_for_both_stages(problem, spark):
     assert np.linalg.norm(k @ (s - np.clip(alpha, glob.clip_lo, glob.clip_hi) + 2 * glob.lambda_global * second.c)) < 1e-2
 
 
+def test_newton_fit_is_stationary(problem, spark):
+    """The gradient vanishes whatever the penalty, a larger guard changes nothing, too small a guard raises."""
+    from hyposcape.operators import centred
+
+    x, k, f0, f1 = problem
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "v": list(x), "f0": f0, "f1": f1}), "id bigint, v array<double>, f0 double, f1 double").repartition(3)
+    for lam in (1.0, 0.05):
+        cfg = make_config("facade", lambda_reg=lam)
+        fits = [centred.fit_stage1(df, df, Kernel("matern", 1.0, 0.5), centred.by_newton(cfg, guard)) for guard in (100, 200)]
+        assert np.array_equal(fits[0].c, fits[1].c) and fits[0].log[-1][2] < 1e-4
+        c = fits[0].c
+        assert np.abs(k @ gradient_of(c, k @ c, f0, f1, cfg)).max() < 1e-3 * np.abs(k @ gradient_of(0 * c + 1e-3, k @ (0 * c + 1e-3), f0, f1, cfg)).max()
+        dense = lbfgs_optimum(k, f0, f1, cfg)
+        assert loss_of(c, k, f0, f1, cfg) <= dense + 1e-6 * abs(dense)
+    with pytest.raises(RuntimeError, match="settle"):
+        centred.fit_stage1(df, df, Kernel("matern", 1.0, 0.5), centred.by_newton(make_config("facade"), 1))
+
+
+def lbfgs_optimum(k, f0, f1, cfg):
+    from dataclasses import replace
+
+    c, _ = descend(k, f0, f1, replace(cfg, method="lbfgs", max_iter=3000, tol=1e-14))
+    return loss_of(c, k, f0, f1, cfg)
+
+
 def test_distances_keep_their_digits_far_from_the_origin():
     from hyposcape.operators.kernels import distances
 

@@ -109,6 +109,17 @@ def test_lfdr_step_up_with_ties(hot, level):
             assert part[part.rejected].p.max() <= part[~part.rejected].p.min() if (~part.rejected).any() else True
 
 
+def test_rolling_deviation_of_large_values(hot):
+    """Values of 1e6 and more: squares would cancel, moments about the mean do not."""
+    pdf, df = hot
+    roll = testing.rolling_by_rank(df.withColumn("y", F.col("y") + F.when(F.col("g") == "a", 1e8).otherwise(-1e6)), "p", "y", by=["g"]).toPandas()
+    near = testing.rolling_by_rank(df, "p", "y", by=["g"]).toPandas()
+    both = roll.merge(near, on="id", suffixes=("", "_near"))
+    assert len(both) == len(pdf)
+    assert np.allclose(both.roll_std, both.roll_std_near, rtol=1e-6, equal_nan=True)
+    assert np.allclose(both.roll_mean - np.where(both.g == "a", 1e8, -1e6), both.roll_mean_near, atol=1e-6, equal_nan=True)
+
+
 def test_running_mean_q_and_rolling(hot):
     pdf, df = hot
     q = testing.running_mean_q(df, "p", by=["g"]).toPandas()

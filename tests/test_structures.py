@@ -1,4 +1,5 @@
 import json
+import math
 from fractions import Fraction
 from math import comb
 
@@ -93,6 +94,20 @@ def test_hypergeometric_tail(spark):
         assert np.isclose(r.p, float(want), rtol=1e-8, atol=1e-11), r
 
 
+def test_hypergeometric_tail_of_large_sets(spark):
+    """Against exact integer sums, and flat in memory for sets of a million."""
+    cases = [(M, n, N, k) for M, n, N in ((400, 150, 120), (400, 300, 390), (3000, 900, 700)) for k in {max(0, n + N - M) + 1, n * N // M, n * N // M + 1, n * N // M + 25, min(n, N)} if k <= min(n, N)]
+    big = [(2_000_000, 1_000_000, 1_000_000, k) for k in (499_000, 500_000, 501_500)]
+    df = spark.createDataFrame(cases + big, "M long, n long, N long, k long")
+    got = [r["s"] for r in df.select(enrichment.hypergeom_sf(F.col("k"), F.col("M"), F.col("n"), F.col("N")).alias("s")).collect()]
+    for (M, n, N, k), s in zip(cases, got):
+        exact = Fraction(sum(comb(n, x) * comb(M - n, N - x) for x in range(k, min(n, N) + 1)), comb(M, N))
+        assert abs(s - float(exact)) <= 1e-9 * max(float(exact), 1e-3)
+    sigma = (2_000_000 / 16) ** 0.5
+    phi = [0.5 * math.erfc((k - 0.5 - 500_000) / sigma / 2**0.5) for *_, k in big]
+    assert np.allclose(got[len(cases) :], phi, rtol=0.01)
+
+
 def test_enrichment_rules(spark):
     members = spark.createDataFrame([("a", g) for g in range(5)] + [("b", 0), ("b", 1)] + [("c", 50)], "pathway string, gene int")
     universe = spark.createDataFrame([(g,) for g in range(20)], "gene int")
