@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 SLICE = 8 << 20
 STRIP = 4096
 STEPS = (1, 3, 8, BANDS)  # ends of the groups of bands worked off together
-BLOCK, SHINGLES = 1024, 4 << 20  # rows and shingles of a unit
+BLOCK, SHINGLES = 512, 1 << 19  # rows and shingles of a unit; a worker sorts its shingles in memory
 _DRAWN = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
