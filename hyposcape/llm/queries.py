@@ -110,13 +110,14 @@ vals as (select host, l, pos, v, sum(n) as n from cells group by host, l, pos, v
 own_segments as (select host, l, pos from vals group by host, l, pos having count(*) >= 20 and 2 * count(*) >= sum(n)),
 variable as (select host, l, list(pos) as places from own_segments group by host, l),
 shaped as (
-  select s.host, seg, list_transform(seg, lambda x, i: case when list_contains(coalesce(places, []), i) then '*' else x end) as t, lab, blk
+  select s.host, seg, list_transform(seg, lambda x, i: case when list_contains(coalesce(places, []), i) then '*' else x end) as t, n, lab, blk
   from shapes s left join variable v on s.host = v.host and len(seg) = v.l),
-templates as (select host, t, sum(lab) as lab, sum(blk) as blk from shaped group by host, t),
+templates as (select host, t, sum(n) as n, sum(lab) as lab, sum(blk) as blk from shaped group by host, t),
 walked as (
-  select *, array_to_string(t[1:depth], '/') as node, case when depth > 0 then array_to_string(t[1:depth - 1], '/') end as parent
+  select *, array_to_string(t[1:depth], '/') as node, case when depth > 0 then array_to_string(t[1:depth - 1], '/') end as parent,
+    array_to_string(list_transform(t[depth + 1:], lambda s: case when s = '*' then '*' when contains(s, '#') then '#' else 'a' end), '/') as cell
   from (select *, unnest(range(0, len(t) + 1)) as depth from templates)),
-nodes as (select host, depth, node, parent, sum(lab) as lab, sum(blk) as blk from walked group by host, depth, node, parent),
+nodes as (select host, depth, node, parent, sum(n) as n, sum(lab) as lab, sum(blk) as blk from walked group by host, depth, node, parent),
 pairs as (
   select a.*, b.lab as plab, (b.blk + 1)::double / (b.lab + 2) as p
   from nodes a left join nodes b on a.host = b.host and a.depth = b.depth + 1 and a.parent = b.node),
@@ -126,8 +127,29 @@ anchors as (
 placed as (
   select w.host, t, max(depth) as depth, arg_max(node, depth) as branch, any_value(lab) as lab, any_value(blk) as blk
   from walked w join anchors using (host, depth, node) group by w.host, t),
+kin as (select *, case when lab > 0 then (blk + 1)::double / (lab + 2) >= 0.8e0 end as bad from nodes where depth > 0),
+branch_cells as (
+  select host, depth, parent, node, cell, sum(w.n) as a, any_value(k.n) as in_branch, any_value(k.bad) as bad
+  from walked w join kin k using (host, depth, parent, node) group by host, depth, parent, node, cell),
+pool_cells as (select host, depth, parent, bad, cell, sum(a) as b from branch_cells where bad is not null group by host, depth, parent, bad, cell),
+pool_sizes as (select host, depth, parent, bad, sum(b) as m, count(*) as kb from pool_cells group by host, depth, parent, bad),
+pool_labels as (select host, depth, parent, bad, sum(lab) as lab, sum(blk) as blk from kin where bad is not null group by host, depth, parent, bad),
+open_cells as (select host, depth, parent, node, cell, a, in_branch from branch_cells where bad is null and in_branch >= 5),
+paired as (
+  select o.*, p.bad, p.m, p.kb, coalesce(c.b, 0) as b from open_cells o join pool_sizes p using (host, depth, parent)
+  left join pool_cells c on o.host = c.host and o.depth = c.depth and o.parent = c.parent and o.cell = c.cell and p.bad = c.bad),
+tested as (
+  select host, depth, parent, node, bad, round((sum((m * a - in_branch * b)::double ^ 2 / (a + b)) + any_value(in_branch)::double ^ 2 * (any_value(m) - sum(b)))
+    / (any_value(in_branch)::double * any_value(m)), 9) as far, count(*) + any_value(kb) - count(*) filter (b > 0) - 1 as free
+  from paired group by host, depth, parent, node, bad),
+adopted as (
+  select host, depth, node as branch, lab, blk from tested join pool_labels using (host, depth, parent, bad)
+  where case when free > 0 then far <= free * (1 - 2e0 / (9 * free) + 1.645e0 * sqrt(2e0 / (9 * free))) ^ 3 else far = 0 end
+  qualify row_number() over (partition by host, depth, node order by far, bad) = 1),
+pooled as (select host, branch, depth, sum(lab) as lab, sum(blk) as blk from placed group by host, branch, depth),
 bad as (
-  select host, branch, depth from placed group by host, branch, depth having (sum(blk) + 1)::double / (sum(lab) + 2) >= 0.8e0),
+  select host, branch, depth from pooled p left join adopted a using (host, branch, depth)
+  where (coalesce(a.blk, p.blk) + 1)::double / (coalesce(a.lab, p.lab) + 2) >= 0.8e0),
 rejected as (
   select s.host, s.seg from shaped s join placed p on s.host = p.host and s.t = p.t join bad b on p.host = b.host and p.branch = b.branch and p.depth = b.depth)
 select page_id, u.host, path, rule, coalesce(what, case when x.host is not null then 'block' else 'allow' end) as verdict

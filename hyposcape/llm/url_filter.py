@@ -3,8 +3,11 @@
 1. Templates: a path's segments are generalised (digit runs to #, long mixed ids to *); a position of a host at which most pages
    have a segment of their own becomes * too. Templates are counted per host with the pages that a rule labels.
 2. Tree: every prefix of a template is a node with the labelled counts below it. A branch whose share of blocked pages is not
-   statistically different from its parent's is merged into the parent; a branch that differs stands alone, and a branch
-   without any labelled page stands alone as well, since there is no evidence that it is like the others.
+   statistically different from its parent's is merged into the parent; a branch that differs stands alone. A branch without
+   any labelled page is merged with siblings of its shape: the labelled siblings, pooled by whether they are rejected, form at
+   most two profiles (pages by number and kind of the segments below); of those that a two-sample chi-square test at ``z_shape``
+   does not tell from the branch's, it joins the nearest (equally near: the one not rejected) and gets that pool's labels. It
+   stands alone, without labels, if its shape is another one or it has fewer than ``branch_least`` pages, too few to test.
 3. A node is rejected if its smoothed purity (blocked + 1) / (labelled + 2) reaches ``purity``. Pages without a rule get their
    node's verdict: block if rejected, else allow.
 
@@ -55,7 +58,33 @@ def static_segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when((F.length(s) >= 16) & s.rlike("[0-9]"), F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
-def judged(pages: DataFrame, rules=RULES, purity: float = 0.8, z: float = 1.96, distinct_least: int = 20) -> DataFrame:
+def adopted(walked: DataFrame, nodes: DataFrame, purity: float, branch_least: int, z_shape: float) -> DataFrame:
+    """(host, branch, depth, like_lab, like_blk): labels of the sibling pool that an unlabelled branch is merged with."""
+    group = ["host", "depth", "parent"]
+    kin = nodes.where("depth > 0").withColumn("bad", F.when(F.col("lab") > 0, (F.col("blk") + 1) / (F.col("lab") + 2) >= purity))
+    cells = walked.where("depth > 0").groupBy(*group, "node", "cell").agg(F.sum("n").alias("a"))
+    cells = cells.join(kin.select(*group, "node", "bad", F.col("n").alias("in_branch")), [*group, "node"])
+    pools = cells.where("bad is not null").groupBy(*group, "bad", "cell").agg(F.sum("a").alias("b"))
+    totals = pools.groupBy(*group, "bad").agg(F.sum("b").alias("in_pool"), F.count("*").alias("pool_cells"))
+    labels = kin.where("bad is not null").groupBy(*group, "bad").agg(F.sum("lab").alias("like_lab"), F.sum("blk").alias("like_blk"))
+    totals = totals.join(labels, [*group, "bad"])
+    mine = cells.where((F.col("bad").isNull()) & (F.col("in_branch") >= branch_least)).drop("bad")
+    branches = mine.groupBy(*group, "node", "in_branch").agg(F.count("*").alias("own_cells")).join(totals, group)  # at most two pools a branch
+    n, m = F.col("in_branch").cast("double"), F.col("in_pool").cast("double")
+    met = mine.join(pools, [*group, "cell"]).join(totals.select(*group, "bad", "in_pool"), [*group, "bad"])
+    apart = (m * F.col("a") - n * F.col("b")) * (m * F.col("a") - n * F.col("b")) / (F.col("a") + F.col("b"))
+    met = met.groupBy(*group, "node", "bad").agg(F.sum(apart).alias("s"), F.count("*").alias("both"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    tested = branches.join(met, [*group, "node", "bad"], "left").na.fill(0, ["s", "both", "sa", "sb"])
+    # cells of one side only add n * b / m or m * a / n
+    tested = tested.withColumn("far", F.round((F.col("s") + n * n * (m - F.col("sb")) + m * m * (n - F.col("sa"))) / (n * m), 9))
+    free = F.col("own_cells") + F.col("pool_cells") - F.col("both") - 1
+    root = 1 - 2 / (9 * free) + z_shape * F.sqrt(2 / (9 * free))
+    like = tested.where(F.when(free > 0, F.col("far") <= free * root * root * root).otherwise(F.col("far") == 0))
+    nearest = like.groupBy("host", F.col("node").alias("branch"), "depth").agg(F.min_by(F.struct("like_lab", "like_blk"), F.struct("far", "bad")).alias("best"))
+    return nearest.select("host", "branch", "depth", "best.*")
+
+
+def judged(pages: DataFrame, rules=RULES, purity: float = 0.8, z: float = 1.96, distinct_least: int = 20, branch_least: int = 5, z_shape: float = 1.645) -> DataFrame:
     """(page_id, url, ...) -> (page_id, host, path, rule, verdict)."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -75,14 +104,17 @@ def judged(pages: DataFrame, rules=RULES, purity: float = 0.8, z: float = 1.96,
     variable = spread.groupBy("host", "len").agg(F.collect_set("pos").alias("at")).withColumnsRenamed({"host": "_host", "len": "_len"})
     generalised = F.transform("seg", lambda s, i: F.when(F.array_contains(F.coalesce("at", F.array().cast("array<int>")), i), F.lit("*")).otherwise(s))
     shaped = shapes.join(variable, (F.col("host") == F.col("_host")) & (F.size("seg") == F.col("_len")), "left")
-    shaped = common.scratch(shaped.select("host", "seg", generalised.alias("t"), "labelled", "blocked"), "url-templates")
+    shaped = common.scratch(shaped.select("host", "seg", generalised.alias("t"), "n", "labelled", "blocked"), "url-templates")
 
     # the tree: all prefixes of the templates, with counts of the pages below
     prefix = lambda i: F.array_join(F.slice("t", 1, i), "/")
-    steps = F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: F.struct(i.alias("depth"), prefix(i).alias("node"), F.when(i > 0, prefix(i - 1)).alias("parent")))
-    templates = shaped.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    walked = templates.select("host", "t", "labelled", "blocked", F.explode(steps).alias("s")).select("host", "t", "labelled", "blocked", "s.*")
-    nodes = walked.groupBy("host", "depth", "node", "parent").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
+    kind = lambda s: F.when(s == "*", "*").when(F.contains(s, F.lit("#")), "#").otherwise("a")
+    below = lambda i: F.array_join(F.transform(F.slice("t", i + 1, F.size("t") - i), kind), "/")
+    step = lambda i: F.struct(i.alias("depth"), prefix(i).alias("node"), F.when(i > 0, prefix(i - 1)).alias("parent"), below(i).alias("cell"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("t")), step)
+    templates = shaped.groupBy("host", "t").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    walked = templates.select("host", "t", "n", "labelled", "blocked", F.explode(steps).alias("s")).select("host", "t", "n", "labelled", "blocked", "s.*")
+    nodes = walked.groupBy("host", "depth", "node", "parent").agg(F.sum("n").alias("n"), F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
     parents = nodes.select(F.col("host").alias("ph"), (F.col("depth") + 1).alias("pd"), F.col("node").alias("pn"), F.col("lab").alias("plab"), F.col("blk").alias("pblk"))
     p = (F.col("pblk") + 1) / (F.col("plab") + 2)
     apart = F.abs(F.col("blk") / F.nullif(F.col("lab"), F.lit(0)) - p) > z * F.sqrt(p * (1 - p) / F.nullif(F.col("lab"), F.lit(0)))
@@ -92,6 +124,8 @@ def judged(pages: DataFrame, rules=RULES, purity: float = 0.8, z: float = 1.96,
     own = walked.join(anchors, (F.col("host") == F.col("ah")) & (F.col("depth") == F.col("ad")) & (F.col("node") == F.col("an")))
     placed = own.groupBy("host", "t").agg(F.max_by("node", "depth").alias("branch"), F.max("depth").alias("depth"), F.first("labelled").alias("labelled"), F.first("blocked").alias("blocked"))
     pooled = placed.groupBy("host", "branch", "depth").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
+    pooled = pooled.join(adopted(walked, nodes, purity, branch_least, z_shape), ["host", "branch", "depth"], "left")
+    pooled = pooled.select("host", "branch", "depth", F.coalesce("like_lab", "lab").alias("lab"), F.coalesce("like_blk", "blk").alias("blk"))
     bad = pooled.where((F.col("blk") + 1) / (F.col("lab") + 2) >= purity).select("host", "branch", "depth")
     bad_templates = placed.join(bad, ["host", "branch", "depth"], "left_semi").select("host", "t")
     rejected = shaped.join(bad_templates, ["host", "t"], "left_semi").select(F.col("host").alias("_host"), F.col("seg").alias("_seg")).withColumn("rejected", F.lit(True))

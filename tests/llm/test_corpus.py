@@ -456,6 +456,22 @@ def test_url_templates_learn_from_labels(spark):
     assert got == ["block"] * 40 + ["allow"] * 40 + ["block", "block", "allow", "allow", "allow"]
 
 
+def test_url_branches_join_siblings_of_their_shape(spark):
+    """A branch without labels follows the sibling whose shape it has: a blocked one, an allowed one, or none."""
+    rules = [("a.org", "/bad/", "block"), ("a.org", "/good/", "allow")]
+    urls = [f"http://a.org/bad/{i}" for i in range(40)] + [f"http://a.org/good/x/{i}/about" for i in range(40)]
+    urls += [f"http://a.org/like-bad/{i}" for i in range(30)] + [f"http://a.org/like-good/x/{i}/about" for i in range(30)]
+    urls += [f"http://a.org/deep/{i}/{i}/{i}/{i}" for i in range(30)] + [f"http://a.org/few/{i}" for i in range(4)]
+    urls += [f"http://a.org/mixed/{i}" for i in range(15)] + [f"http://a.org/mixed/{i}/text" for i in range(15)]
+    urls += [f"http://b.org/like-bad/{i}" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = collections.Counter((r["host"], r["path"].split("/")[1], r["verdict"]) for r in url_filter.judged(rows, rules).collect())
+    assert got == {
+        ("a.org", "bad", "block"): 40, ("a.org", "good", "allow"): 40, ("a.org", "like-bad", "block"): 30, ("a.org", "like-good", "allow"): 30,
+        ("a.org", "deep", "allow"): 30, ("a.org", "few", "allow"): 4, ("a.org", "mixed", "allow"): 30, ("b.org", "like-bad", "allow"): 30,
+    }
+
+
 # ---- simhash
 
 
