@@ -1,7 +1,7 @@
 """A small byte-level convolutional network in numpy: forward over whole texts, training by backpropagation.
 
 A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by a filter's width, so each run of ``WIDTH`` bytes
-lies whole in some chunk. Learned byte vectors, ``FILTERS`` learned filters at every ``STRIDE``-th place, the maximum over a
+lies whole in some chunk. Learned byte vectors, ``FILTERS`` learned filters at every place, the maximum over a
 chunk's places, then over a document's chunks the mean and the maximum, and one logistic unit.
 """
 
@@ -9,20 +9,19 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 2, 4, 24
+CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 1, 4, 24
 HOP = CHUNK - WIDTH
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
-ROWS = 512  # chunks convolved at once
+ROWS = 256  # chunks convolved at once
 
 
-def chunks(text: str | None, most: int | None = None) -> np.ndarray:
-    """(n, CHUNK) bytes, zero-padded; ``most`` keeps that many evenly spread ones (training only). Empty: one zero chunk."""
+def chunks(text: str | None) -> np.ndarray:
+    """(n, CHUNK) bytes, zero-padded. Empty: one zero chunk."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     n = max(1, -(-(len(raw) - WIDTH) // HOP))
     flat = np.zeros(n * HOP + WIDTH, np.uint8)
     flat[: len(raw)] = raw
-    out = np.lib.stride_tricks.as_strided(flat, (n, CHUNK), (HOP, 1))
-    return out if most is None or n <= most else out[np.linspace(0, n - 1, most).astype(int)]
+    return np.lib.stride_tricks.as_strided(flat, (n, CHUNK), (HOP, 1))
 
 
 def init(seed: int = 7) -> dict[str, np.ndarray]:

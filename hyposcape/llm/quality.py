@@ -1,8 +1,8 @@
 """Quality filter: the byte-level network of ``byte_net`` trained on labelled documents and applied to every whole text.
 
 Training reads labels of documents outside the held-out fold (crc32 of the id's text mod 4 is 2) and takes at most ``per_class``
-documents of each class in hash order, each with at most ``most_chunks`` evenly spread chunks: the bounds of the fitting sample,
-2 x 1200 x 24 x 256 bytes = 15 MB on the driver. The class shares are counted over all training labels. Scoring sees every byte
+documents of each class in hash order, each with all chunks of its whole text: the number of labelled rows is the one bound of the
+fitting sample. The texts of these rows come to the driver as bytes; of a repeated id only the smallest text is taken. The class shares are counted over all training labels. Scoring sees every byte
 of every text and no label, language, source or id.
 
 Defined cases: null and empty texts are scored as one empty chunk. Without labels, or with one class only, the score is a
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import byte_net, common
 
-PER_CLASS, MOST_CHUNKS, THRESHOLD, SLICE = 1200, 24, 0.7, 4 << 20
+PER_CLASS, THRESHOLD, SLICE = 1200, 0.7, 4 << 20
 
 
 def held_out(doc_id):
@@ -30,7 +30,7 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chunks: int = MOST_CHUNKS) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, np.ndarray]:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     share = known.agg(F.avg("quality")).first()[0]
@@ -38,16 +38,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chu
     ids = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class) for q in (0, 1)]
     sample = ids[0].union(ids[1]).withColumnsRenamed({"doc_id": "_id", "quality": "_quality"})  # at most 2 x per_class rows
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [byte_net.chunks(t, most_chunks).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("_quality"), pa.array(parts, pa.binary())], names=["doc_id", "quality", "chunks"])
-
-    met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
-    rows = sorted(met.mapInArrow(cut, "doc_id long, quality int, chunks binary").collect(), key=lambda r: (r[0], r[2]))
-    parts = [np.frombuffer(r[2], np.uint8).reshape(-1, byte_net.CHUNK) for r in rows]
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = met.groupBy("doc_id", "_quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()  # a row an id
+    parts = [byte_net.chunks(r["text"]) for r in rows]
     epochs = min(100, max(20, math.ceil(48_000 / max(1, len(parts)))))  # enough steps for small samples
-    return byte_net.train(parts, np.array([r[1] for r in rows]), share=min(0.99, max(0.01, share or 0.5)), epochs=epochs)
+    return byte_net.train(parts, np.array([r["_quality"] for r in rows]), share=min(0.99, max(0.01, share or 0.5)), epochs=epochs)
 
 
 def scored(docs: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
