@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
 from ..session import cut_lineage
-from .kernels import BlockKernel, Kernel, Points, affinity_degrees, cross_apply, distances, group_similarity, neighbours
+from .kernels import BlockKernel, Kernel, Points, affinity_degrees, cross_apply, group_similarity, neighbours
 from .ordered import attach, hash_take, quantile_row, row_prefix
 from .sampling import corrupt_labels
-from .solver import check_bounded, median_of
+from .summaries import ward_selection
 from .testing import rank_p_values
 
 
@@ -190,95 +190,7 @@ def four_group_sample(
     return first.unionByName(nulls).withColumn("label", F.when(F.col("group_id") == 0, 0).otherwise(1).cast("int"))
 
 
-# --- Ward selection on a bounded pool: one dense problem per dataset ---
-
-
-def ward_merges(d: np.ndarray) -> np.ndarray:
-    """Ward linkage of a distance matrix by the nearest-neighbour chain: rows (a, b, height) in order of height."""
-    n = len(d)
-    d2 = d.astype(float) ** 2
-    np.fill_diagonal(d2, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
-    for _ in range(n - 1):
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        while True:
-            a = chain[-1]
-            row = np.where(alive, d2[a], np.inf)
-            b = int(np.argmin(row))
-            if len(chain) > 1 and row[chain[-2]] <= row[b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        lo, hi = min(a, b), max(a, b)
-        merges.append((lo, hi, math.sqrt(d2[a, b])))
-        na, nb, gap = size[lo], size[hi], d2[lo, hi]
-        new = ((na + size) * d2[lo] + (nb + size) * d2[hi] - size * gap) / (na + nb + size)
-        new[[lo, hi]] = np.inf
-        d2[lo], d2[:, lo] = new, new
-        d2[hi], d2[:, hi] = np.inf, np.inf
-        size[lo], alive[hi] = na + nb, False
-    return np.array(sorted(merges, key=lambda m: m[2]))
-
-
-def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Labels after the first n - k merges."""
-    parent = np.arange(n)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b, _ in merges[: n - k]:
-        parent[root(int(b))] = root(int(a))
-    roots = np.array([root(i) for i in range(n)])
-    return np.unique(roots, return_inverse=True)[1]
-
-
-def pick_clusters(k: np.ndarray, n_pick: int, min_size: int) -> tuple[np.ndarray, float, int]:
-    """Best Ward cut and the greedily most distant clusters: a label per row (-1 = not picked), cut height, cut size."""
-    diag = np.sqrt(np.diag(k))
-    dist = np.clip(1 - k / (np.outer(diag, diag) + 1e-10), 0, None)
-    merges = ward_merges(dist)
-    n, best = len(k), None
-    for cut in range(2, n // min_size + 1):
-        labels = cut_tree(merges, n, cut)
-        counts = np.bincount(labels)
-        valid = np.flatnonzero(counts >= min_size)
-        if len(valid) >= n_pick and (best is None or len(valid) > len(best[1])):
-            best = (labels, valid, counts, cut)
-    if best is None:
-        raise ValueError(f"no cut has {n_pick} clusters of at least {min_size} rows")
-    labels, valid, counts, cut = best
-    centre = {c: k[labels == c].mean(axis=0) for c in valid}
-    picked = [max(valid, key=lambda c: counts[c])]
-    while len(picked) < n_pick:
-        left = [c for c in valid if c not in picked]
-        picked.append(max(left, key=lambda c: min(np.linalg.norm(centre[c] - centre[s]) for s in picked)))
-    out = np.full(n, -1)
-    for i, c in enumerate(picked):
-        out[labels == c] = i
-    return out, float(merges[n - cut - 1][2]), cut
-
-
-def ward_selection(
-    df: DataFrame, n_pick: int = 2, min_size: int = 30, sigma_factor: float = 1.0, by: Sequence[str] = ("dataset",), limit: int = 10000
-) -> DataFrame:
-    """Per dataset pool (bounded by the candidate sampler): ``selected`` cluster number or -1, ``cut_height``, ``n_cut``."""
-    check_bounded(df, by, limit)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack([np.asarray(v, dtype=float) for v in pdf["v"]])
-        d = distances(x, x, True)
-        sel, height, cut = pick_clusters(Kernel("rbf", median_of(d) * sigma_factor).of_distance(d), n_pick, min_size)
-        return pdf[[*by, "id"]].assign(selected=sel, cut_height=height, n_cut=cut)
-
-    keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    return df.select(*by, "id", "v").groupBy(*by).applyInPandas(fn, keys + ", id bigint, selected int, cut_height double, n_cut int")
+# --- designs on Ward clusters of all rows ---
 
 
 def hierarchical_design(
@@ -312,63 +224,6 @@ def hierarchical_design(
     return flipped.unionByName(bg.withColumn("label", F.lit(1))).drop("selected")
 
 
-def similarity_selection(df: DataFrame, n: int, n_clusters: int, sigma_factor: float = 1.0, by: Sequence[str] = ("dataset",), sweeps: int = 20) -> DataFrame:
-    """Approximate quadratic selection: n rows in n_clusters groups that maximise within-group similarity minus half the
-    between-group similarity.  No integer-programming solver exists here, so this is farthest-point seeding and
-    best-exchange search on the bounded pool; ``objective`` reports what was reached."""
-    check_bounded(df, by, 5000)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack([np.asarray(v, dtype=float) for v in pdf["v"]])
-        d = distances(x, x, True)
-        k = Kernel("rbf", median_of(d) * sigma_factor).of_distance(d)
-        np.fill_diagonal(k, 0.0)
-        seeds = [int(k.sum(1).argmax())]
-        while len(seeds) < n_clusters:
-            far = k[:, seeds].max(1)
-            far[seeds] = np.inf
-            seeds.append(int(far.argmin()))
-        lab = np.full(len(k), -1)
-        lab[seeds] = np.arange(n_clusters)
-        s = np.stack([k[:, [c]].sum(1) for c in seeds], 1)
-
-        def gains():
-            return s - 0.5 * (s.sum(1, keepdims=True) - s)
-
-        def move(i, new):
-            if lab[i] >= 0:
-                s[:, lab[i]] -= k[:, i]
-            if new >= 0:
-                s[:, new] += k[:, i]
-            lab[i] = new
-
-        for _ in range(n - n_clusters):
-            g = np.where((lab < 0)[:, None], gains(), -np.inf)
-            i, c = np.unravel_index(int(g.argmax()), g.shape)
-            move(int(i), int(c))
-        for _ in range(sweeps):
-            g, inside = gains(), np.flatnonzero(lab >= 0)
-            own = g[inside, lab[inside]]
-            free = np.bincount(lab[inside], minlength=n_clusters)[lab[inside]] > 1
-            out = int(inside[np.where(free, own, np.inf).argmin()])
-            was, loss = int(lab[out]), float(own[np.where(free, own, np.inf).argmin()])
-            move(out, -1)
-            g = np.where((lab < 0)[:, None], gains(), -np.inf)
-            i, c = np.unravel_index(int(g.argmax()), g.shape)
-            if g[i, c] <= loss + 1e-12:
-                move(out, was)
-                break
-            move(int(i), int(c))
-        on = lab >= 0
-        within = sum(k[np.ix_(lab == c, lab == c)].sum() / 2 for c in range(n_clusters))
-        between = k[np.ix_(on, on)].sum() / 2 - within
-        return pdf[[*by, "id"]][on].assign(cluster=lab[on], objective=within - 0.5 * between)
-
-    keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    return df.select(*by, "id", "v").groupBy(*by).applyInPandas(fn, keys + ", id bigint, cluster int, objective double")
-
-
 # --- anomaly scores ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expit, hash_uniform
-from ..operators import centred, clustering, density, kernels, metrics, sampling, solver, tuning
+from ..operators import centred, clustering, density, kernels, metrics, sampling, solver, summaries, tuning
 from ..operators.kernels import BlockKernel, Kernel, Points
 from ..operators.solver import GLOBAL_PRESETS, SolverConfig, make_config
 from ..plans import experiments
@@ -357,15 +357,15 @@ def four_group_sample(spark, sf):
 
 @query("ward_selection")
 def ward_selection(spark, sf):
-    pool = cut_lineage(sampling.candidate_pool(points(spark, sf), 10000).withColumn("dataset", F.lit("points")))
-    out = clustering.ward_selection(pool.select("dataset", "id", "v"))
+    """Ward clusters of all rows on clustering features."""
+    out = summaries.ward_selection(points(spark, sf).withColumn("dataset", F.lit("points")))
     return out.groupBy("selected", "n_cut").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("similarity_selection")
 def similarity_selection(spark, sf):
-    pool = cut_lineage(sampling.candidate_pool(points(spark, sf), 1000).withColumn("dataset", F.lit("points")))
-    out = clustering.similarity_selection(pool, 60, 3)
+    """Sixty rows of three groups, candidates being all rows."""
+    out = summaries.similarity_selection(points(spark, sf).withColumn("dataset", F.lit("points")), 60, 3)
     return out.groupBy("cluster", "objective").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hyposcape.operators import clustering, enrichment, features, graph, metrics
+from hyposcape.operators import clustering, enrichment, features, graph, metrics, summaries
 from hyposcape.operators.kernels import Kernel, Points
 from hyposcape.sources import config
 
@@ -124,7 +124,7 @@ def test_ward_against_direct_search():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(25, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    heights = clustering.ward_merges(d)[:, 2]
+    heights = summaries.ward_merges(d)[:, 2]
     groups, want = [[i] for i in range(25)], []
     while len(groups) > 1:  # direct Ward: merge the pair with the smallest increase of within-variance
         best = min(
@@ -135,7 +135,7 @@ def test_ward_against_direct_search():
         merged = groups[best[1]] + groups[best[2]]
         groups = [g for t, g in enumerate(groups) if t not in best[1:]] + [merged]
     assert np.allclose(heights, want)
-    assert len(set(clustering.cut_tree(clustering.ward_merges(d), 25, 4))) == 4
+    assert len(set(summaries.cut_tree(summaries.ward_merges(d), 25, 4))) == 4
 
 
 def test_spectral_embedding_and_gap(spark):
@@ -185,7 +185,7 @@ def test_designs(spark):
     assert (out[out.group_id == 2].label == 1).all()
     mixed = clustering.mixed_cluster_sample(df.select("id", F.floor(F.col("id") / 80).cast("int").alias("cluster")), 100).toPandas()
     assert len(mixed) == 100 and mixed.id.is_unique and mixed.groupby("group_id").size().to_dict() == {0: 25, 1: 25, 2: 50}
-    sel = clustering.similarity_selection(df, 30, 3).toPandas()
+    sel = summaries.similarity_selection(df, 30, 3).toPandas()
     assert len(sel) == 30 and set(sel.cluster) == {0, 1, 2}
 
 
