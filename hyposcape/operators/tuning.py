@@ -25,6 +25,10 @@ FULL_GRID = {
     "gradient_clip": [5.0, 10.0, 20.0],
 }
 
+# Kernel widths in median distances, penalties of the sensitivity run.
+WIDTHS = (0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.5, 2.0)
+PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+
 
 def settings(spark, grid: dict[str, Sequence[float]]) -> DataFrame:
     """Cartesian product of the given value lists as a small relation with a setting number."""

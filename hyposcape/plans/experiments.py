@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clip, expit, hash_uniform, local_fdr
 from ..operators import centred, clustering, density, features, kernels, metrics, sampling, testing, tuning
 from ..operators.kernels import Kernel
-from ..operators.ordered import hash_take
+from ..operators.ordered import attach, hash_take
 from ..operators.solver import GLOBAL_PRESETS, GlobalConfig, SolverConfig, fit_pointwise
 from ..session import cut_lineage
 
@@ -20,15 +20,15 @@ def replicates(
 ) -> DataFrame:
     """Evaluation sets side by side: (condition, seed, id, v, label, p), each a fresh sample with fresh labels.
 
-    One pass draws the row keys of all replicates; only the drawn rows (n_samples * reps of them, broadcast) meet
-    the features again, and the conditions are unfolded on those.
+    One pass draws the row keys of all replicates; only the drawn rows (n_samples * reps of them) meet the features
+    again, and the conditions are unfolded on those.
     """
     signal = sampling.signal_groups(points, group).withColumn("is_signal", F.lit(True))
     seeds = points.select("id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     seeds = seeds.withColumn("key", F.concat_ws("|", F.col("id").cast("string"), F.col("seed").cast("string")))
     drawn = hash_take(seeds, "key", "rep", n_samples, ["seed"])
-    rows = points.select("id", "v", group).join(F.broadcast(drawn), "id")
-    rows = rows.join(F.broadcast(signal), group, "left").withColumn("is_signal", F.coalesce("is_signal", F.lit(False)))
+    rows = points.select("id", "v", group).join(drawn, "id")
+    rows = attach(rows, cut_lineage(signal), [group], "left").withColumn("is_signal", F.coalesce("is_signal", F.lit(False)))
     table = F.array(*[
         F.struct(F.lit(s).alias("condition"), *[F.lit(x).alias(n) for n, x in zip(("inside", "outside"), sampling.CLUSTER_STRENGTH[s])])
         for s in strengths

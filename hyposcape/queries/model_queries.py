@@ -204,8 +204,8 @@ def empirical_null_fit_predict(spark, sf):
 
 @query("optimizer_history")
 def optimizer_history(spark, sf):
-    df = sampling.subsample(densities(spark, sf), 400)
-    methods = [make_config("default", max_iter=400), make_config("single_run", max_iter=400), make_config("facade", max_iter=400)]
+    df = sampling.subsample(densities(spark, sf), 500)
+    methods = [make_config("default"), make_config("single_run"), make_config("facade")]
     out = None
     for cfg in methods:
         one = df.withColumn("dataset", F.lit(cfg.method))
@@ -225,24 +225,23 @@ def cross_validation(spark, sf):
 @query("euclidean_cv_run")
 def euclidean_cv_run(spark, sf):
     """Ward design, kernel-width cross-validation, refit, step-up decisions and metrics."""
-    design = cut_lineage(experiments.euclidean_design(points(spark, sf), [50, 100, 100], 30))
-    cfg = make_config("euclidean_cv", max_iter=300)
-    out = experiments.euclidean_cv(design, [0.5, 1.0, 2.0], cfg)
+    design = cut_lineage(experiments.euclidean_design(points(spark, sf), [50, 200, 200], 30))
+    out = experiments.euclidean_cv(design, tuning.WIDTHS, make_config("euclidean_cv"))
     return metrics.compute_metrics(out, ["dataset", "sigma_factor"])
 
 
 @query("replicated_evaluation")
 def replicated_evaluation(spark, sf):
     """Conditions times replicates, baseline against spatial method, summarised."""
-    sets = experiments.replicates(points(spark, sf), ["none", "medium", "strong"], "medium", reps=3, n_samples=200)
-    runs = experiments.evaluate_sets(cut_lineage(sets), K15, make_config("default", max_iter=300))
+    sets = experiments.replicates(points(spark, sf), ["none", "weak", "medium", "strong"], "medium", reps=100, n_samples=500)
+    runs = experiments.evaluate_sets(cut_lineage(sets), K15, make_config("default", lambda_reg=1.0))
     return metrics.summarize(cut_lineage(runs), ["power", "FDR"], ["method", "condition"])
 
 
 @query("lambda_sensitivity")
 def lambda_sensitivity(spark, sf):
-    sets = experiments.replicates(points(spark, sf), ["medium"], "medium", reps=3, n_samples=200)
-    return experiments.lambda_sensitivity(cut_lineage(sets), K15, make_config("default", max_iter=200), [0.1, 1.0, 10.0])
+    sets = experiments.replicates(points(spark, sf), ["medium"], "medium", reps=20, n_samples=500)
+    return experiments.lambda_sensitivity(cut_lineage(sets), K15, make_config("default"), tuning.PENALTIES)
 
 
 @query("allspace_prediction")
