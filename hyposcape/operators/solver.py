@@ -301,18 +301,6 @@ def fit_history(df: DataFrame, kernel: Kernel, cfg: SolverConfig, by: Sequence[s
     return df.select(*by, "id", "v", "f0", "f1").groupBy(*by).applyInPandas(fit, schema)
 
 
-def conditioning(df: DataFrame, kernel: Kernel, by: Sequence[str] = ("dataset",), jitter: float = 0.0, sigma_factor: float | None = None) -> DataFrame:
-    """Condition number of each bounded dataset's kernel."""
-    check_bounded(df, by, DENSE_LIMIT)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = gram(pdf.sort_values("id"), kernel, sigma_factor, jitter)
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "n": len(k), "condition": float(np.linalg.cond(k))}])
-
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.select(*by, "id", "v").groupBy(*by).applyInPandas(fn, keys + ", n int, condition double")
-
-
 def fit_stage2(
     df: DataFrame, kernel: Kernel, cfg: GlobalConfig, by: Sequence[str] = ("dataset",), sigma_factor: float | None = None
 ) -> DataFrame:

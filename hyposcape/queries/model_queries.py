@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expit, hash_uniform
-from ..operators import centred, clustering, density, kernels, metrics, sampling, solver, summaries, tuning
+from ..operators import centred, clustering, density, kernels, metrics, sampling, solver, spectrum, summaries, tuning
 from ..operators.kernels import BlockKernel, Kernel, Points
 from ..operators.solver import GLOBAL_PRESETS, SolverConfig, make_config
 from ..plans import experiments
@@ -386,8 +386,8 @@ def isolation_forest(spark, sf):
 
 @query("kernel_conditioning")
 def kernel_conditioning(spark, sf):
-    df = cut_lineage(sampling.subsample(points(spark, sf), 500).withColumn("dataset", F.lit("points")))
-    return solver.conditioning(df, K15, jitter=1e-6)
+    """Both ends of the spectrum over all rows."""
+    return spectrum.conditioning(cut_lineage(points(spark, sf)), K15, jitter=1e-6)
 
 
 @query(
