@@ -124,3 +124,18 @@ def test_strips_inside_a_block_change_nothing(cloud, spark, monkeypatch):
     got = bk.matvec(y).toPandas().sort_values("id").y
     assert np.allclose(got, (k + 0.1 * np.eye(90)) @ np.arange(90.0), atol=1e-4)
     bk.release()
+
+
+def test_block_kernel_keeps_points_not_entries(spark):
+    n = 4000
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "v": list(x)}), "id bigint, v array<double>")
+    bk = BlockKernel.build(Points.pack(df, block_rows=500), Kernel("rbf", 1.0))
+    y = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "y": np.arange(n) / n}))
+    got = bk.matvec(y).toPandas().sort_values("id").y
+    d2 = ((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T).clip(0)
+    assert np.allclose(got, np.exp(-d2 / 2) @ (np.arange(n) / n), atol=1e-6)
+    kept = sum(r.memSize() + r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    bk.release()
+    assert kept < n * n  # the entries alone would be 8 n^2 bytes
