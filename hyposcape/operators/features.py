@@ -32,10 +32,11 @@ def standardize(df: DataFrame, features: str = "v", by: Sequence[str] = ()) -> D
     return out.withColumn(features, F.zip_with(centred, F.col("_std"), lambda a, b: a / b)).drop("_mean", "_std")
 
 
-def keep_first(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Drop duplicate keys keeping the first row in a stated order; combines map-side, so hot keys do not pile up."""
-    rest = [c for c in df.columns if c not in key and c != order]
-    first = df.groupBy(*key).agg(F.min(F.struct(order, *rest)).alias("_s"))
+def keep_first(df: DataFrame, key: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Drop duplicate keys keeping the first row in a stated order; combines map-side, so hot keys do not pile up.  Rows that the
+    order leaves open go by the ``ties`` columns, which are not returned."""
+    rest = [c for c in df.columns if c not in (*key, *ties) and c != order]
+    first = df.groupBy(*key).agg(F.min(F.struct(order, *ties, *rest)).alias("_s"))
     return first.select(*key, *[F.col(f"_s.{c}").alias(c) for c in (order, *rest)])
 
 

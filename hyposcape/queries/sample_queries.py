@@ -181,10 +181,12 @@ def corrupt_labels(spark, sf):
  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey*10+l_linenumber) AS r FROM lineitem) WHERE r=1""",
 )
 def keep_first(spark, sf):
+    """Lines with equal keys go by their place in the stored table."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
     li = table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("gene"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("q")
+        F.col("l_partkey").alias("gene"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("q"), *place
     )
-    return features.keep_first(li, ["gene"], "ord")
+    return features.keep_first(li, ["gene"], "ord", ["file", "at"])
 
 
 @query(
