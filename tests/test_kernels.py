@@ -139,3 +139,22 @@ def test_block_kernel_keeps_points_not_entries(spark):
     kept = sum(r.memSize() + r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
     bk.release()
     assert kept < n * n  # the entries alone would be 8 n^2 bytes
+
+
+@pytest.mark.parametrize("nu", [0.5, 1.5, 2.5])
+def test_general_matern_is_exact_from_copies_to_far_points(nu):
+    d = np.concatenate([[0.0, 1e-14, 1e-11, 1e-9], np.geomspace(1e-8, 400, 5001)])
+    want = Kernel("matern", 1.0, nu).of_distance(d)
+    got = Kernel("matern", 1.0, nu + 1e-12).of_distance(d)
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-10)
+
+
+def test_general_matern_costs_a_look_up_a_cell():
+    import time
+
+    d = np.random.default_rng(0).random((1000, 4000)) * 3
+    k = Kernel("matern", 1.0, 1.5 + 1e-11)
+    k.of_distance(d[:2])
+    start = time.process_time()
+    k.of_distance(d)
+    assert time.process_time() - start < 5  # the integral a cell takes ten times that
