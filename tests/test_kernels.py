@@ -158,3 +158,48 @@ def test_general_matern_costs_a_look_up_a_cell():
     start = time.process_time()
     k.of_distance(d)
     assert time.process_time() - start < 5  # the integral a cell takes ten times that
+
+
+def test_closest_holds_every_tie_and_little_else():
+    rng = np.random.default_rng(3)
+    d = rng.random((50, 1200))
+    d[:5, 100:400] = 0.25  # copies
+    d[7, :] = 1.0
+    d[9, 5] = np.nan
+    got = np.zeros(d.shape, dtype=bool)
+    got.ravel()[kernels.closest(d, 10)] = True
+    kth = np.sort(d, axis=1)[:, 9]
+    assert got[d <= kth[:, None]].all()
+    assert got[10:].sum() < 40 * 40
+
+
+def test_in_bins_follows_the_edges():
+    rng = np.random.default_rng(4)
+    for lo, hi in [(0.0, 3.0), (0.7, 0.7 + 1e-13)]:
+        edges = np.linspace(lo, hi, 4097)
+        x = np.concatenate([rng.random(20000) * (hi - lo) + lo, edges, [hi, hi + 1, -1.0]])
+        kept = x[(x >= edges[0]) & (x < edges[-1])]
+        want = np.bincount(np.searchsorted(edges, kept, side="right") - 1, minlength=4096)
+        got = kernels.in_bins(x, edges)
+        assert got.sum() == len(kept)
+        assert (got == want).all() or hi - lo < 1e-9
+
+
+def test_what_a_pair_of_blocks_emits_does_not_grow_with_its_strips(cloud, monkeypatch):
+    """One candidate list and one sum a point and partner block, however many strips a block has."""
+    _, _, d, df, _ = cloud
+    monkeypatch.setattr(kernels, "STRIP_CELLS", 100)
+    pts, seen = Points.pack(df, block_rows=50), []
+    real = Points.reduce
+
+    def counted(self, *args, **kw):
+        seen.append(real(self, *args, **kw))
+        return seen[-1]
+
+    monkeypatch.setattr(Points, "reduce", counted)
+    nn = kernels.neighbours(pts, 3).toPandas()
+    want = np.sort(d + np.diag(np.full(90, np.inf)), axis=1)[:, :3]
+    assert np.allclose(nn.sort_values(["id", "rank"]).d.to_numpy().reshape(-1, 3), want, atol=1e-6)
+    kernels.row_sums(pts, {"a": Kernel("rbf", 1.0)})
+    assert pts.n_blocks == 2
+    assert seen[0].count() == 90 * 2 * 3 and seen[1].count() == 90 * 2
