@@ -119,7 +119,8 @@ def allspace(
 def square_experiment(ids: DataFrame, n_centres: int = 400, steps: int = 100, length_scale: float = 0.2) -> DataFrame:
     """Unit-square check: noisy Stage-1 values at every row, Stage 2, prediction on a regular grid with the true value."""
     data = sampling.noisy_alpha(sampling.square_data(ids))
-    train = cut_lineage(data.select("id", F.array("x", "y").alias("v"), "alpha"))
+    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # a stored table of few row groups would keep most cores idle
+    train = cut_lineage(data.select("id", F.array("x", "y").alias("v"), "alpha").repartition(width, "id"))
     kernel = Kernel("rbf", length_scale)
     drawn = cut_lineage(sampling.subsample(train.select("id", "v"), n_centres))
     coef = centred.fit_stage2(train.select("v", "alpha"), drawn, kernel, GLOBAL_PRESETS["allspace"]).frame(ids.sparkSession)
