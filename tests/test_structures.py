@@ -285,3 +285,44 @@ def test_graph_bench_on_separate_communities(spark):
     assert set(got) == {"baseline", "smooth"}
     assert got["smooth"].n_genes == got["baseline"].n_genes > 80
     assert got["smooth"].auc == 1.0 and got["smooth"].n_discoveries > 0
+
+
+def sparse_case(n, degree, seed):
+    rng = np.random.default_rng(seed)
+    src, dst = rng.integers(0, n - 3, (2, n * degree // 2))  # the last nodes have no edge
+    e = pd.DataFrame({"src": src, "dst": dst, "w": rng.random(len(src))})[src != dst]
+    both = pd.concat([e, e.rename(columns={"src": "dst", "dst": "src"})]).groupby(["src", "dst"], as_index=False).w.sum()
+    return pd.DataFrame({"id": np.arange(n)}), both
+
+
+@pytest.mark.parametrize(("n", "degree", "seed"), [(300, 6, 0), (200, 1, 1), (40, 20, 2)])
+def test_sparse_diffusion_is_the_dense_kernel(n, degree, seed):
+    nodes, edges = sparse_case(n, degree, seed)
+    for beta in (0.5, 2.0, 9.0):
+        dense, vals = graph.dense_diffusion(nodes, edges, beta)
+        sparse = graph.SparseDiffusion(nodes, edges, beta)
+        x = np.random.default_rng(3).standard_normal(n)
+        assert np.abs(sparse @ x - dense @ x).max() < 1e-11
+        assert sparse.verdict() == graph.structure_check(np.exp(-beta * vals))[2]
+    assert abs(sparse.second() - np.sort(1 - vals)[-2]) < 1e-9
+    none = graph.SparseDiffusion(nodes, edges[:0], 2.0)
+    assert none.verdict() == graph.structure_check(np.full(n, np.exp(-2.0)))[2]
+    assert np.allclose(none @ x, np.exp(-2.0) * x)
+
+
+def test_small_graphs_run_in_tasks_of_their_own(spark):
+    from pyspark import TaskContext
+
+    nodes = spark.range(40).select((F.col("id") % 4).alias("dataset"), "id")
+    edges = nodes.select("dataset", F.col("id").alias("src"), (F.col("id") + 4).alias("dst"), F.lit(1.0).alias("w"))
+    where = graph.per_graph(nodes, edges, ["dataset"], lambda n, e: pd.DataFrame({"part": [TaskContext.get().partitionId()]}), "part int")
+    assert len({r.part for r in where.collect()}) == 4
+
+
+def test_subgraph_of_drawn_nodes_is_that_of_the_whole_graph(spark):
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame(pd.DataFrame({"src": rng.integers(0, 60, 400), "dst": rng.integers(0, 60, 400), "w": rng.random(400)}))
+    drawn = spark.range(0, 60, 3)
+    got = graph.drawn_graph(e, drawn).select("src", "dst", "w").toPandas().sort_values(["src", "dst"]).reset_index(drop=True)
+    want = graph.induced(graph.symmetrize(e), drawn).select("src", "dst", "w").toPandas().sort_values(["src", "dst"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want)
