@@ -326,3 +326,11 @@ def test_subgraph_of_drawn_nodes_is_that_of_the_whole_graph(spark):
     got = graph.drawn_graph(e, drawn).select("src", "dst", "w").toPandas().sort_values(["src", "dst"]).reset_index(drop=True)
     want = graph.induced(graph.symmetrize(e), drawn).select("src", "dst", "w").toPandas().sort_values(["src", "dst"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_symmetrize_sums_a_pair_once(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 1, 2.0), (1, 2, 4.0), (3, 3, 9.0), (4, 1, 1.0)], "src long, dst long, w double")
+    got = sorted(map(tuple, graph.symmetrize(e).select("src", "dst", "w").collect()))
+    assert got == [(1, 2, 3.5), (1, 4, 0.5), (2, 1, 3.5), (4, 1, 0.5)]
+    plan = graph.symmetrize(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.index("Generate") < plan.index("Aggregate")  # both directions only after the sum
