@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .kernels import Kernel, distances, unpack
+from .kernels import STRIP_CELLS, Kernel, distances, unpack
 from .ordered import attach, hash_take
 
 BLOCK_ROWS = 4096
@@ -39,6 +39,12 @@ def key_types(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
 
 
+def in_strips(x: np.ndarray, centres: np.ndarray, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``fn`` makes of the distances of rows to centres, a number a row; few rows at once, so memory does not follow the block."""
+    step = max(1, STRIP_CELLS // len(centres))
+    return np.concatenate([fn(distances(x[at : at + step], centres, False)) for at in range(0, len(x), step)])
+
+
 def assign(blocks: DataFrame, by: Sequence[str], features: DataFrame) -> DataFrame:
     """Blocks against the packed centres of their dataset: (by, id, s)."""
 
@@ -46,7 +52,7 @@ def assign(blocks: DataFrame, by: Sequence[str], features: DataFrame) -> DataFra
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 x = unpack(row["x"], len(row["ids"]))
-                s = distances(x, unpack(row["c"], row["m"]), False).argmin(1)
+                s = in_strips(x, unpack(row["c"], row["m"]), lambda d: d.argmin(1))
                 yield pd.DataFrame({**{b: [row[b]] * len(x) for b in by}, "id": row["ids"], "s": s.astype("int32")})
 
     return attach(blocks, features, by).mapInPandas(run, key_types(blocks, by) + "id bigint, s int")
@@ -75,19 +81,24 @@ def summarise(df: DataFrame, by: Sequence[str], most: int = 2000) -> tuple[DataF
 def weighted_median(values: np.ndarray, weight: np.ndarray) -> float:
     """Median of values that stand ``weight`` (whole) times each."""
     order = np.argsort(values, kind="stable")
-    cum = np.cumsum(weight[order])
+    cum = weight[order]
+    np.cumsum(cum, out=cum)
     at = [math.floor((cum[-1] - 1) / 2), math.ceil((cum[-1] - 1) / 2)]
-    return float(np.mean([values[order][np.searchsorted(cum, p, side="right")] for p in at]))
+    return float(np.mean([values[order[np.searchsorted(cum, p, side="right")]] for p in at]))
 
 
 def median_distance(mean: np.ndarray, n: np.ndarray, var: np.ndarray) -> float:
     """Median of all row pair distances, rows of one summary standing at its mean; pairs inside one at their root mean square."""
-    n = n.astype(float)
-    i, j = np.triu_indices(len(n), 1)
-    inside = np.sqrt(2 * var * n / np.maximum(n - 1, 1))
-    values = np.concatenate([distances(mean, mean, True)[i, j], inside])
-    weight = np.concatenate([n[i] * n[j], n * (n - 1) / 2])
-    return weighted_median(values[weight > 0], weight[weight > 0]) if (weight > 0).any() else 0.0
+    n, m = n.astype(float), len(n)
+    inside = np.flatnonzero(n > 1)
+    values, at = np.empty(m * (m - 1) // 2 + len(inside)), 0
+    weight, step = np.empty(len(values)), max(1, STRIP_CELLS // max(1, m))
+    for lo in range(0, m, step):
+        for i, d in enumerate(distances(mean[lo : lo + step], mean, True, lo), lo):
+            to = at + m - i - 1
+            values[at:to], weight[at:to], at = d[i + 1 :], n[i] * n[i + 1 :], to
+    values[at:], weight[at:] = np.sqrt(2 * var[inside] * n[inside] / (n[inside] - 1)), n[inside] * (n[inside] - 1) / 2
+    return weighted_median(values, weight) if len(values) else 0.0
 
 
 def scale_of(g: pd.DataFrame, factor: float) -> tuple[np.ndarray, Kernel]:
@@ -351,7 +362,8 @@ def first_seeds(blocks: DataFrame, feats: DataFrame, by: Sequence[str], states:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 x, w = unpack(row["x"], len(row["ids"])), np.asarray(row["w"], dtype=float)
-                g = states[tuple(row[b] for b in by)].kernel.of_distance(distances(x, unpack(row["c"], len(w)), False)) @ w
+                kernel = states[tuple(row[b] for b in by)].kernel
+                g = in_strips(x, unpack(row["c"], len(w)), lambda d, kernel=kernel, w=w: kernel.of_distance(d) @ w)
                 i = np.lexsort((np.asarray(row["ids"]), -g))[0]
                 yield pd.DataFrame({**{b: [row[b]] for b in by}, "score": g[i], "id": row["ids"][i], "v": [x[i]]})
 

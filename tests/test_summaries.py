@@ -117,3 +117,39 @@ def test_similarity_selection_ends_where_no_exchange_gains(spark):
     out, own = st.weakest()
     st.rows.pop(out)
     assert st.best_of(dict(enumerate(x)))[0] <= own + 1e-9
+
+
+class Local:
+    """Stands for joined blocks; the function of a pass runs here, where its memory can be seen."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+
+    def mapInPandas(self, fn, schema):
+        return pd.concat(fn(iter([pd.DataFrame(self.rows)])))
+
+
+def test_passes_over_blocks_hold_few_rows_at_once(monkeypatch):
+    """A block of 4,096 rows against 2,000 centres: 65 MB of distances if held whole, with two or more such arrays."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(4096, 3)), rng.normal(size=(2000, 3))
+    row = {"ids": np.arange(4096), "x": x.ravel(), "m": 2000, "c": c.ravel()}
+    monkeypatch.setattr(summaries, "attach", lambda blocks, features, by: Local([row]))
+    tracemalloc.start()
+    got = summaries.assign(Local([]), (), None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got.s.to_numpy() == ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)).all()
+    assert peak < 40e6
+
+
+def test_median_distance_of_weighted_rows():
+    """Summaries that stand for copies: the median of all pairs of the rows."""
+    rng = np.random.default_rng(4)
+    mean, n = rng.normal(size=(40, 3)), rng.integers(1, 6, 40)
+    rows = np.repeat(mean, n, axis=0)
+    d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))[np.triu_indices(len(rows), 1)]
+    assert np.isclose(summaries.median_distance(mean, n, np.zeros(40)), np.median(d))
+    assert summaries.median_distance(mean[:1], np.array([1]), np.zeros(1)) == 0.0
