@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .kernels import Kernel, distances
 from .solver import GlobalConfig, SolverConfig, lbfgs, start_of
 
-STRIP_CELLS = 4_000_000
+STRIP_CELLS = 500_000  # distances a task holds at once; several arrays of this size live beside each other
 MOST_CENTRES = 5000  # K and its factor lie on the driver: m * m doubles
 NEWTON_CENTRES = 1500  # beyond it a task's m * m curvature sums are too much to send; quasi-Newton steps do without
 LADDER = np.r_[1.0, np.arange(0.9, 0.05, -0.1), 2.0 ** -np.arange(4, 30)]  # step lengths tried in one pass

@@ -234,3 +234,32 @@ def test_grid_descent_equals_single_descents():
     for j, v in enumerate(lam):
         want = solver.descend(k, f0, f1, solver.make_config("default", lambda_reg=v, **common))[0]
         assert np.allclose(got[:, j], want, rtol=1e-7, atol=1e-9)
+
+
+def test_passes_over_rows_hold_few_distances_at_once(spark):
+    """One batch of 10,000 rows against 400 centres is four million distances, 32 MB an array with several beside each other."""
+    from hyposcape.operators import centred
+    from hyposcape.operators.kernels import Kernel, cross_apply
+
+    class Watched(Kernel):
+        def of_distance(self, d):
+            if d.size > 1_000_000:
+                raise MemoryError(f"{d.size} distances at once")
+            return super().of_distance(d)
+
+    rng = np.random.default_rng(8)
+    x, z, kernel = rng.normal(size=(10_000, 2)), rng.normal(size=(400, 2)), Watched("matern", 1.0, 1.5)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(10_000), "v": x.tolist(), "alpha": rng.random(10_000)})).coalesce(1).cache()
+    c, d = rng.normal(size=400) * 0.01, rng.normal(size=400) * 0.01
+    k = Kernel("matern", 1.0, 1.5).of_distance(np.sqrt(((x[:, None] - z[None]) ** 2).sum(2)))
+    want = centred.stage2_terms(k @ c, np.array([r["alpha"] for r in rows.orderBy("id").collect()]))
+    loss, pull, _ = centred.linear_pass(rows, ["alpha"], z, kernel, centred.stage2_terms)(c)
+    assert np.isclose(loss, want[0].sum()) and np.allclose(pull, want[1] @ k)
+    second, ladder = centred.newton_passes(rows, ["alpha"], z, kernel, centred.stage2_terms, centred.stage2_curvature)
+    value, _, pull, h = second(c)
+    assert np.isclose(value, loss) and np.allclose(pull, want[1] @ k)
+    assert np.allclose(h, k.T @ (centred.stage2_curvature(k @ c, 0)[:, None] * k))
+    assert len(ladder(c, d)) == len(centred.LADDER)
+    at = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "v": z.tolist(), "c": c}))
+    got = cross_apply(rows.select("id", "v"), at, kernel, ["c"]).orderBy("id").toPandas()
+    assert np.allclose(got.k_c, k @ c)
