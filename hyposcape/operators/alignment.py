@@ -25,6 +25,7 @@ from ..session import cut_lineage
 
 CELL = 1 << 18  # values sorted by one task at once
 FLUSH = 1 << 15  # nodes of a task whose draws are held at once
+PLAIN = 1 << 12  # neighbouring places that go together where nothing is to be ranked
 TILE = 24_000_000  # edges a task holds, nine bytes each or thirteen
 PACK = 1 << 19  # edges of a packed row
 GROUP_BYTES = 640 << 20  # values sent to one task
@@ -138,7 +139,7 @@ def unpermuted(places: DataFrame, tiles: Tiles) -> DataFrame:
         order = np.argsort(k)
         return cut_places(0, int(k[order[0]]), z[order], tiles.size)
 
-    return places.select(F.floor(F.col("k") / CELL).alias("cell"), F.col("k").cast("bigint").alias("k"), "z").groupBy("cell").applyInArrow(rank, PIECE)
+    return places.select(F.floor(F.col("k") / PLAIN).alias("cell"), F.col("k").cast("bigint").alias("k"), "z").groupBy("cell").applyInArrow(rank, PIECE)
 
 
 def tiled(pairs: DataFrame, tiles: Tiles) -> DataFrame:
