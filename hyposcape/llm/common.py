@@ -73,6 +73,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged.  Spark takes a table's size from its compressed file and counts an exploded
+    array as one element, so a table of many rows can pass for one that fits a broadcast, which the driver builds in its memory."""
+    return df.hint("merge")
+
+
 def unique_name(taken: list[str], stem: str) -> str:
     """A column name that clashes with none of ``taken`` (names compare without case)."""
     low = {c.lower() for c in taken}

@@ -12,14 +12,14 @@ def _stars(edges: DataFrame) -> DataFrame:
     """Large star: every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = both.where("b > a").join(common.dealt(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
 
 def _small_stars(edges: DataFrame) -> DataFrame:
     """Small star (a > b): u and its smaller neighbours are linked to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    moved = edges.join(common.dealt(least), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
 

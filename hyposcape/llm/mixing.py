@@ -75,7 +75,7 @@ def _crossed(k: Column, offset: Column) -> Column:
 
 
 def _meet(keyed: DataFrame, starts: DataFrame) -> DataFrame:
-    return keyed.join(starts, _BUCKET)
+    return keyed.join(common.dealt(starts), _BUCKET)
 
 
 def sampling_plan(light: DataFrame, weights: list[int], most: int, seed: str = "mix") -> DataFrame:

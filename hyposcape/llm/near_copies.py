@@ -116,7 +116,7 @@ def greedy_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
 def compared(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """units(bucket, i, j, m) -> (a, b, node): links between members of a unit, a < b, with the node of the larger id."""
     spark = units.sparkSession
-    placed = units.join(sets, F.col("m.node") == sets["node"]).select("bucket", "i", "j", F.col("m.least").alias("least"), "node", "shingles")
+    placed = units.join(common.dealt(sets), F.col("m.node") == sets["node"]).select("bucket", "i", "j", F.col("m.least").alias("least"), "node", "shingles")
     placed = placed.repartition(common.shuffle_width(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "least", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +148,16 @@ def compared(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def crowded(members: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one."""
-    return members.join(members.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
+    return members.join(common.dealt(members.groupBy("bucket").count().where("count > 1").select("bucket")), "bucket", "left_semi")
 
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """nodes(node, least, n, keys, one doc_id of it) -> (a, b): links that leave no two near copies unlinked to a smaller id."""
     at = nodes.select(F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("least"), "node", "n").alias("m"), F.posexplode("keys").alias("band", "key"))
     everyone = common.scratch(crowded(at.select("band", F.xxhash64("band", "key").alias("bucket"), "m")), "buckets")
-    wanted = everyone.select("m.node").distinct()
+    wanted = common.dealt(everyone.select("m.node").distinct())
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.join(common.dealt(ids), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     sets = common.scratch(sets_of(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
     out = docs.sparkSession.createDataFrame([], "a long, b long")
     gone = docs.sparkSession.createDataFrame([], "node long")  # nodes linked to a smaller id: they need no other link
@@ -170,7 +170,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, wor
             out, gone = out.union(found.select("a", "b")), common.scratch(gone.union(found.select("node")).distinct(), "gone")
             if not whole:
                 large = common.scratch(parts_of(members).where("parts > 1"), "large-buckets")
-                left = common.scratch(crowded(without(members.join(large, "bucket", "left_semi"), gone)), "buckets")
+                left = common.scratch(crowded(without(members.join(common.dealt(large), "bucket", "left_semi"), gone)), "buckets")
                 common.delete(members)
                 members = left
                 if large.isEmpty():
@@ -186,7 +186,7 @@ def parts_of(members: DataFrame) -> DataFrame:
 
 def units_of(members: DataFrame, whole: bool) -> DataFrame:
     """Members dealt to the parts of their bucket by hash; ``whole``: to every pair of parts that holds theirs, so all members meet."""
-    met = members.join(parts_of(members), "bucket")
+    met = members.join(common.dealt(parts_of(members)), "bucket")
     part = F.pmod(F.xxhash64("m.node"), F.col("parts")).cast("int")
     if not whole:
         return met.select("bucket", part.alias("i"), part.alias("j"), "m")
@@ -195,7 +195,7 @@ def units_of(members: DataFrame, whole: bool) -> DataFrame:
 
 
 def without(members: DataFrame, gone: DataFrame) -> DataFrame:
-    return members.join(gone, F.col("m.node") == gone["node"], "left_anti")
+    return members.join(common.dealt(gone), F.col("m.node") == gone["node"], "left_anti")
 
 
 def components_of(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -203,9 +203,9 @@ def components_of(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     marked = common.scratch(signed(docs, words), "signatures")
     nodes = common.scratch(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "set-nodes")
     member = components(links(docs, nodes, similarity, words)).withColumnRenamed("node", "_node")
-    grouped = nodes.join(member, nodes["node"] == member["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    grouped = nodes.join(common.dealt(member), nodes["node"] == member["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(grouped.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(common.dealt(grouped.join(common.dealt(least), "root").select("node", "component_id")), "node").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:

@@ -124,14 +124,15 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         raise ValueError("the two-half grid is exact for 0 to 3 differing bits")
     rows = grid_rows(fps)
     occupied = rows.where("own").groupBy("cell").agg(F.count("*").alias("n_own"))
-    met = rows.join(occupied, "cell").where("not own or n_own > 1")
+    met = rows.join(common.dealt(occupied), "cell").where("not own or n_own > 1")
     met = common.scratch(met, "grid")
     # a cell's own members matter if it has two of them or a member from below
     size = met.groupBy("cell").agg(F.count("*").alias("n_all"), F.max("n_own").alias("n"))
-    alone = rows.where("own").join(met.where("not own").select("cell").distinct(), "cell", "left_semi").select("cell", "fp")
+    alone = rows.where("own").join(common.dealt(met.where("not own").select("cell").distinct()), "cell", "left_semi").select("cell", "fp")
     left = alone.union(met.where("own").select("cell", "fp")).distinct()
     blocks = size.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_left"), F.ceil((F.col("n_all") + F.col("n")) / BLOCK).cast("int").alias("n_right"))
     h = F.xxhash64("fp")
+    blocks = common.dealt(blocks)
     lefts = left.join(blocks, "cell").select(
         "cell", F.pmod(h, F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"), "fp", F.lit(0).alias("side")
     )
@@ -182,10 +183,10 @@ def components_of(docs: DataFrame, words: int = 3, seed: int = 42, max_bits: int
     fps = common.scratch(fingerprints(docs, words, seed), "fingerprints")
     nodes = common.scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     member = components(links(nodes.select("fp"), max_bits))  # (node, root) over fingerprints
-    grouped = nodes.join(member, nodes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = nodes.join(common.dealt(member), nodes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(common.dealt(least), "root").select("fp", "component_id")
+    return fps.join(common.dealt(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp):
